@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import token_file
+from syllabary.llm import mixing, token_file
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -31,3 +31,62 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-file').path}/file"
     token_file.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_file.load(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _mixing_sql(weights=(5, 2, 1), share=1.5, repeats=2, block=128, shard=1 << 14, seed=17) -> str:
+    """The mix of ``mixing`` in SQL, its eight rounds written out."""
+    p, a, b = mixing.PRIME, mixing.STEP, mixing.TURN
+
+    def draw(x: str, key: str) -> str:
+        return f"(((({x}) % {p} * {a} + ({key})) % {p} * {b} + ({key}) * {a}) % {p})"
+
+    rounds, last = [], "slots0"
+    for i in range(mixing.ROUNDS):
+        key = f"((place * 8191 + round * 131 + {seed + i}) % {p})"
+        mate = f"((({draw(str(i + 1), key)} - x) % blocks + blocks) % blocks)"
+        coin = f"({draw('greatest(x, mate)', key)} // 65536) % 2"
+        rounds.append(
+            f"slots{i + 1} AS (SELECT place, round, blocks, CASE WHEN {coin} = 1 THEN mate ELSE x END AS x FROM (SELECT *, {mate} AS mate FROM {last}))"
+        )
+        last = f"slots{i + 1}"
+    return f"""
+    WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+')) AS BIGINT) AS size FROM documents),
+    per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sizes GROUP BY source),
+    seated AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM per),
+    weighed AS (SELECT *, CAST(list_extract([{', '.join(map(str, weights))}], CAST(place % {len(weights)} AS INTEGER) + 1) AS DOUBLE) AS weight,
+                {float(repeats)}::DOUBLE * source_size AS cap FROM seated),
+    levels AS (SELECT *, ({share}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+    aims AS (SELECT source, place, source_size, n_docs, least(cap, max(level) OVER () * weight) AS target,
+             (source_size + {block - 1}) // {block} AS blocks FROM levels),
+    sources AS (SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS slots FROM aims),
+    docs AS (SELECT d.doc_id, d.size, s.place, s.source_size, s.target,
+             coalesce(sum(d.size) OVER (PARTITION BY s.place ORDER BY
+               (((coalesce(d.doc_id, -1) % {p} + {p}) % {p}) * {a} % {p}) % (1 + s.n_docs // {mixing.BUCKET}), d.doc_id NULLS FIRST, d.size
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+             FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+    parts AS (SELECT *, slots / shards AS part, slots / shards - floor(slots / shards) AS fraction FROM
+              (SELECT *, greatest(ceil(sum(slots) OVER () / {shard}), 1)::BIGINT AS shards FROM sources WHERE slots > 0)),
+    ends AS (SELECT *, sum(fraction) OVER (ORDER BY place) AS high, coalesce(sum(fraction) OVER (ORDER BY place
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, sum(fraction) OVER () AS whole FROM parts),
+    spins AS (SELECT shard, {draw('shard * 7919 + i', str(seed))} / {float(p)}::DOUBLE * whole AS u
+              FROM (SELECT DISTINCT shards, whole, round(whole)::BIGINT AS n FROM ends) e, unnest(range(shards)) AS t(shard), unnest(range(1, n + 1)) AS r(i)),
+    counts AS (SELECT shard, e.place, e.blocks, floor(e.part)::BIGINT + (SELECT count(*) FROM spins s WHERE s.shard = t.shard AND s.u >= e.low AND s.u < e.high) AS n
+               FROM ends e, unnest(range(e.shards)) AS t(shard)),
+    numbered AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY place ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM counts),
+    slots0 AS (SELECT place, blocks, k // blocks AS round, k % blocks AS x FROM numbered, unnest(range(begun, begun + n)) AS t(k) WHERE k < {repeats} * blocks),
+    {', '.join(rounds)},
+    uses AS (SELECT place, x AS block, count(*) AS uses FROM {last} GROUP BY place, x),
+    pieces AS (SELECT place, first, block, least(first + size, (block + 1) * {block}) - greatest(first, block * {block}) AS n
+               FROM docs, unnest(range(first // {block}, (first + size - 1) // {block} + 1)) AS t(block) WHERE size > 0),
+    taken AS (SELECT p.place, p.first, sum(p.n * u.uses) AS taken FROM pieces p JOIN uses u ON p.place = u.place AND p.block = u.block GROUP BY ALL)
+    SELECT d.doc_id, d.size, d.source_size, d.target, coalesce(t.taken, 0)::BIGINT AS taken
+    FROM docs d LEFT JOIN taken t ON d.place = t.place AND d.first = t.first AND d.size > 0
+    """
+
+
+@query("op9_mix_sources", _mixing_sql())
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents: weights 5, 2, 1 in turn, 150% of all words, no source more than twice; words taken of each document."""
+    return mixing.accounts(mixing.Mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, repeats=2))
