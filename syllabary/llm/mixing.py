@@ -171,7 +171,7 @@ def taken_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     # Equal rows are told apart by their number among their equals, so both sides are dealt by (doc_id, row hash) once.
     found = found.select(F.coalesce("doc_id", F.lit(-1)).alias("mix_id"), F.col("row_hash").alias("mix_hash"), "place", "first", "round", "mix_runs")
     found = found.withColumn("mix_n", F.dense_rank().over(Window.partitionBy("mix_id", "mix_hash").orderBy("place", "first")))
-    marked = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("own_id"), _row_hash(docs).alias("own_hash"), F.struct(*[docs[c] for c in names]).alias("row"))
+    marked = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("own_id"), _row_hash(docs).alias("own_hash"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     marked = marked.withColumn("own_n", F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy(F.lit(1))))
     on = (F.col("own_id") == F.col("mix_id")) & (F.col("own_hash") == F.col("mix_hash")) & (F.col("own_n") - F.col("mix_n") == 0)
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

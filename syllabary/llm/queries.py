@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import mixing, token_file
+from syllabary.llm import line_chunks, mixing, token_file
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -90,3 +90,30 @@ def _mixing_sql(weights=(5, 2, 1), share=1.5, repeats=2, block=128, shard=1 << 1
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: weights 5, 2, 1 in turn, 150% of all words, no source more than twice; words taken of each document."""
     return mixing.accounts(mixing.Mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, repeats=2))
+
+
+@query(
+    "op8_line_chunks",
+    r"""
+    WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    lines AS (SELECT doc_id, parts, i AS line, parts[i] AS body, ('0x' || substr(md5(parts[i]), 1, 8))::BIGINT AS h,
+              len(regexp_extract_all(parts[i], '[^ \t\n\x0b\f\r]+')) AS words
+              FROM parts, unnest(range(1, len(parts) + 1)) AS t(i)),
+    ended AS (SELECT *, line = len(parts) OR words >= 50 OR coalesce(lead(words) OVER w, 0) >= 50
+              OR ((h * 31 + coalesce(lag(h) OVER w, 0)) // 64) % 4 = 0 AS ends FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended),
+    chunks AS (SELECT doc_id, chunk, min(line) AS start, max(line) AS stop, string_agg(body, chr(10) ORDER BY line) AS body,
+               count(*) FILTER (WHERE words > 0) AS filled, count(*) AS n, max(words) AS most FROM numbered GROUP BY doc_id, chunk),
+    fit AS (SELECT * FROM chunks WHERE filled >= 2 OR (n = 1 AND most >= 50)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS place FROM fit),
+    gone AS (SELECT doc_id, i AS line FROM ranked, unnest(range(start, stop + 1)) AS t(i) WHERE place > 1)
+    SELECT d.doc_id, CAST(count(g.line) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(l.line - 1 AS VARCHAR), ',' ORDER BY l.line) FILTER (WHERE g.line IS NOT NULL), '') AS removed_lines,
+    CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(l.body, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') END AS text
+    FROM documents d LEFT JOIN lines l ON d.doc_id = l.doc_id LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY d.doc_id, d.text
+    """,
+)
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the chunks of lines that an earlier place holds already, and which lines went."""
+    kept = line_chunks.remove_repeats(read(spark, sf_dir, "documents"))
+    lines = F.array_join(F.col("removed_lines").cast("array<string>"), ",")
+    return kept.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), lines.alias("removed_lines"), "text")
