@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import line_chunks, mixing, token_file
+from syllabary.llm import line_chunks, mixing, near_dups, token_file
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -117,3 +117,9 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_chunks.remove_repeats(read(spark, sf_dir, "documents"))
     lines = F.array_join(F.col("removed_lines").cast("array<string>"), ",")
     return kept.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), lines.alias("removed_lines"), "text")
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component at a similarity of 0.85 on five-word shingles."""
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
