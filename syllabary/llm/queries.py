@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import line_chunks, mixing, near_dups, token_file
+from syllabary.llm import line_chunks, mixing, near_dups, packing, token_file
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -123,3 +123,10 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component at a similarity of 0.85 on five-word shingles."""
     return near_dups.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op7_pack_sequences")
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of 4096 ids; place, length and checksum of each piece."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, sequence=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

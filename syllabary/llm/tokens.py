@@ -20,6 +20,8 @@ _loaded: dict[str, ChunkTokenizer] = {}
 _SPACE_AT_EDGE = re.compile(r"\s | \s")
 _CHUNKS = re.compile(r"(?<=\S)(?= )")
 _MARK = "~"
+#: Letters of two Latin blocks, then marks: what every pre-tokenizer at hand cuts in at most two.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|*$%&#]*")
 
 
 class ChunkTokenizer:
@@ -35,12 +37,16 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         layout = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        self.starts, self.mark = None, None
+        self.starts, self.mark, self.ends = None, None, None
         if layout.get("type") == "ByteLevel" and layout.get("use_regex"):
             self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
             self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         elif len(mark := self._ids(_MARK)) == 1 and self._ids(f" a {_MARK} b") == self._ids("a") + mark + self._ids("b"):
             self.mark = mark[0]
+            suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+            if suffix and self._pieces_as_expected():
+                self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+                self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.first: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -48,6 +54,28 @@ class ChunkTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _pieces_as_expected(self) -> bool:
+        """Whether the tokenizer takes a run of letters, and one of marks after it, as one piece each."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return all(len(cut(x)) == n for x, n in (("abéß", 1), ("ab.", 2), ("àb,!|", 2), ("Zürich?", 2)))
+
+    def _by_ends(self, words: list[str]) -> list[bytes] | None:
+        """Ids of plain words from the marks at their ends: one for the letters, one for what follows them."""
+        import numpy as np
+
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)
+        out, size = [], self.dtype.itemsize
+        for group, ids in zip(groups, found, strict=True):
+            ids = np.array(ids.ids, self.dtype)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([1 if w[-1].isalpha() else 2 for w in group])
+            if len(at) != last[-1]:
+                return None
+            edges, packed = [0, *at[last - 1].tolist()], ids.tobytes()
+            out += [packed[a * size : b * size] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
+
     def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -80,6 +108,11 @@ class ChunkTokenizer:
             again = missing.intersection(self.old)
             self.new.update((w, self.old[w]) for w in again)
             missing -= again
+        if self.ends is not None:
+            plain = [w for w in missing if _PLAIN.fullmatch(w)]
+            if (ids := self._by_ends(plain)) is not None:
+                self.new.update(zip(plain, ids, strict=True))
+                missing.difference_update(plain)
         odd = [w for w in missing if not w or " " in w or (_MARK in w and self.starts is None)]
         plain = list(missing.difference(odd)) if odd else list(missing)
         ids = self._joined(plain) if self.starts is not None or self.mark is not None else None
