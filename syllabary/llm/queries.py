@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import line_chunks, mixing, near_dups, packing, token_file
+from syllabary.llm import line_chunks, mixing, near_dups, packing, quality, token_file
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -130,3 +130,15 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of 4096 ids; place, length and checksum of each piece."""
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, sequence=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The quality model of a folder: its labelled documents of quality 1 are the trusted target."""
+    trusted = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("trusted")).filter("trusted is not null")
+    return quality.learn(read(spark, sf_dir, "documents"), trusted)
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base rules and the verdict of the log-likelihood ratio for every document."""
+    return quality.judge(read(spark, sf_dir, "documents"), quality_model(spark, sf_dir), ["doc_id"])
