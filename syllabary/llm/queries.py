@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import line_chunks, mixing, near_dups, packing, quality, token_file
+from syllabary.llm import line_chunks, mixing, near_dups, packing, quality, token_file, top_k
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -142,3 +142,19 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base rules and the verdict of the log-likelihood ratio for every document."""
     return quality.judge(read(spark, sf_dir, "documents"), quality_model(spark, sf_dir), ["doc_id"])
+
+
+@query(
+    "op6_top_k",
+    """
+    WITH fit AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+               FROM fit q JOIN fit c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+    """,
+)
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows by integer inner product for every row whose id is divisible by 50."""
+    return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
