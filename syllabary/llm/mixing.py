@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syllabary.llm.common import WORD, Scratch, text_of
+from syllabary.llm.common import WORD, Scratch, partitions, text_of
 
 #: Documents of a bucket and buckets of a group, about.
 BUCKET, GROUP = 512, 4096
@@ -110,6 +110,8 @@ def draws(sources: DataFrame, shard_slots: int, repeats: int, seed: int) -> Data
     per_shard = table.select("shard", F.inline(counts))
     earlier = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     per_shard = per_shard.withColumn("from", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter("n > 0")
+    # A row becomes thousands of slots: they are dealt out by number, as the few bytes before would all go to one task.
+    per_shard = per_shard.repartition(partitions(sources.sparkSession), "shard", "place")
     slots = per_shard.withColumn("k", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)))
     slots = slots.filter(F.col("k") < F.col("blocks") * repeats)
     slots = slots.select("shard", "place", "blocks", F.floor(F.col("k") / F.col("blocks")).alias("round"), (F.col("k") % F.col("blocks")).alias("x"))
@@ -145,7 +147,8 @@ class Mix:
         self.documents = scratch.keep(placed(sizes, self.sources), "documents")
         slots = draws(self.sources, shard_slots, repeats, seed)
         #: shard, place, round, block, first, word, n: words [word, word + n) of the document at ``first`` of source ``place``.
-        self.spans = slots.join(pieces(self.documents, block_words), ["place", "block"])
+        # Slots look small to the planner, which sees them before they are numbered out; a sort-merge join never broadcasts them.
+        self.spans = slots.hint("merge").join(pieces(self.documents, block_words), ["place", "block"])
 
 
 def accounts(mix: Mix) -> DataFrame:
