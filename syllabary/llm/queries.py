@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import chat, line_chunks, mixing, near_dups, packing, quality, token_file, top_k
+from syllabary.llm import chat, line_chunks, mixing, near_dups, packing, quality, token_file, top_k, toxicity
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -168,3 +168,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     written = Scratch(spark, "chat").keep(chat.format_conversations(turns.unionByName(extra)), "formatted")
     return chat.read_back(written)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a model of the labelled rows outside the held-out third."""
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = read(spark, sf_dir, "labels").filter(third != 1).select("doc_id", "toxic")
+    docs = read(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.learn(docs, labels))
+    held_out = F.coalesce(third == 1, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
