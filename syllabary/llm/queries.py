@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import chat, line_chunks, mixing, near_dups, packing, quality, token_file, top_k, toxicity
+from syllabary.llm import chat, licenses, line_chunks, mixing, near_dups, packing, quality, token_file, top_k, toxicity
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -179,3 +179,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.score(docs, toxicity.learn(docs, labels))
     held_out = F.coalesce(third == 1, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def _licenses_sql() -> str:
+    """The scan of ``licenses`` in SQL, with its known texts written out."""
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def canonical(column: str) -> str:
+        out = f"regexp_replace(lower({column}), {text(licenses.COPYRIGHT)}, chr(10), 'g')"
+        out = f"' ' || regexp_replace({out}, {text(licenses.PUNCTUATION)}, ' ', 'g') || ' '"
+        for spelling, one in licenses.SPELLINGS:
+            out = f"replace({out}, ' {spelling} ', ' {one} ')"
+        return f"trim(regexp_replace({out}, ' {{2,}}', ' ', 'g'))"
+
+    known = ", ".join(f"({text(a)}, {text(b)})" for a, b in licenses.known_texts())
+    return f"""
+    WITH known AS (SELECT sha256(form) AS digest, min(license) AS license FROM
+                   (SELECT license, {canonical('body')} AS form FROM (VALUES {known}) AS t(license, body)) WHERE form <> '' GROUP BY 1),
+    whole AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM (SELECT doc_id, {canonical("coalesce(text, '')")} AS form FROM documents)),
+    hits AS (SELECT l.doc_id, k.license FROM (SELECT doc_id, {canonical('line')} AS form FROM
+             (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)) l JOIN known k ON l.form <> '' AND sha256(l.form) = k.digest),
+    notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM hits GROUP BY doc_id)
+    SELECT w.doc_id, w.digest, k.license, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, coalesce(n.notices, '') AS notices
+    FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN notices n ON w.doc_id = n.doc_id
+    """
+
+
+@query("op2_license_scan", _licenses_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look every document, and every line of it, up among the known licence texts and notices."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
