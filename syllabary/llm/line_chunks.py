@@ -60,21 +60,22 @@ def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4) -> D
     names = [c for c in docs.columns if c != "removed_lines"]
     places = scratch.keep(chunk_places(docs, long_words, divisor), "places")
     again = places.groupBy("hash", "bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    suspects = places.join(again, ["hash", "bytes"]).groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "length", "hash")).alias("found"))
+    suspects = places.hint("merge").join(again, ["hash", "bytes"]).groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "length", "hash")).alias("found"))
     # The bytes of the suspects alone: one shuffle of the texts against the documents that hold any.
     texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("text").alias("h0"), "text")
-    held = texts.join(suspects.select(F.coalesce("doc", F.lit(-1)).alias("id0"), F.col("row_hash").alias("h0"), "doc", "found"), ["id0", "h0"])
+    # Sort-merge at every size: how many documents are suspect grows with the input, so none of these sides is broadcast.
+    held = texts.hint("merge").join(suspects.select(F.coalesce("doc", F.lit(-1)).alias("id0"), F.col("row_hash").alias("h0"), "doc", "found"), ["id0", "h0"])
     held = held.withColumn("parts", F.split("text", "\n")).select("doc", "h0", "parts", F.inline("found"))
     chunk = F.array_join(F.slice("parts", F.col("start") + 1, F.col("length")), "\n")
     held = scratch.keep(held.select("doc", "h0", "start", "length", "hash", chunk.alias("chunk")), "held")
     first = F.min(F.struct("doc", "h0", "start"))
     groups = held.groupBy("hash", "chunk").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = held.join(groups, ["hash", "chunk"])  # equal hash and equal bytes
+    later = held.hint("merge").join(groups, ["hash", "chunk"])  # equal hash and equal bytes
     later = later.filter(~(F.struct("doc", "h0", "start").eqNullSafe(F.col("first"))))
     gone = later.groupBy(F.coalesce("doc", F.lit(-1)).alias("id0"), "h0").agg(F.collect_set(F.struct("start", "length")).alias("gone"))
     gone = scratch.keep(gone, "gone")
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("text").alias("h0"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    rows = rows.join(gone, ["id0", "h0"], "left")
+    rows = rows.hint("merge").join(gone, ["id0", "h0"], "left")
     numbers = F.array_sort(F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["length"] - 1))))
     rows = rows.withColumn("numbers", F.coalesce(numbers, F.array().cast("array<int>")))
     rows = rows.withColumn("parts", F.when(F.size("numbers") > 0, F.split("row.text", "\n")))
