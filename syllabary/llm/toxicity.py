@@ -36,8 +36,9 @@ INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "wo
 REPORTS = frozenset("called calling said says wrote writes quote quoted quotes word words term terms insult insults meaning means".split())
 QUOTES = frozenset("\"'“”„«»‘’")
 WINDOW = 6
-#: Bounds of what a model takes from the labelled rows: entries of its lexicon, rows of its logistic fit.
-MOST_TERMS, MOST_ROWS = 2000, 20000
+#: Bounds of what a model takes from the labelled rows: entries of its lexicon, rows of its logistic fit, labelled rows in all
+#: (the first by a hash of their ids; the ids are broadcast).
+MOST_TERMS, MOST_ROWS, MOST_LABELLED = 2000, 20_000, 50_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¿¡"
 
 
@@ -251,7 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the rows of ``labels`` (doc_id, toxic 0/1; training rows only) over ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    known = scratch.keep(docs.select("doc_id", text_of().alias("text")).join(marks, "doc_id").select("doc_id", "text", "label"), "known")
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    # The labels' bounded ids go to the texts, so no text is shuffled.
+    known = scratch.keep(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label"), "known")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     forms = known.select("text", "label").mapInArrow(_count_forms, "form string, toxic long, clean long")
     forms = forms.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
