@@ -27,7 +27,8 @@ def test_titles(spark):
         "1 - A (open": ("1", "A (open", []),
         "1 - A) b (": ("1", "A) b (", []),
         "1 - A () (-x) b": ("1", "A   b", []),
-        "1 - A – 3 CFU — 4 cfu": ("1", "A — 4 cfu", ["3 CFU "]),
+        "1 - A – 3 CFU": ("1", "A – 3 CFU", []),
+        "1 - A - 3 CFU — 4 cfu": ("1", "A— 4 cfu", ["3 CFU "]),
         "": ("", "", []),
     }
     found = values(spark, titles.split_title, *cases)
