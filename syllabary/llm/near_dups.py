@@ -4,8 +4,8 @@
 2. Equal sets are one class, by an aggregate over two 64-bit sums and the size; the smallest doc_id stands for it.
 3. Members of a bucket (a band key that several classes share) meet in cells of bounded size. In a cell, sketches are compared as
    arrays, and pairs of different components whose estimate comes within ``SIGMAS`` standard errors of the threshold come out:
-   each member's best one in the first round, its eight best in the second, after which most of a bucket is one component.
-4. In the last round the members outside the largest component of a bucket meet every member of it, in blocks against blocks, and
+   each member's best one, after which most of a group of copies is one component. A pair is looked at in one cell alone.
+4. In the second round the members outside the largest component of a bucket meet every member of it, in blocks against blocks, and
    every such pair comes out. So no pair that shares a band is left unseen unless both ends are linked already.
 5. Pairs are verified on their full sets; links make components (``graphs``).
 
@@ -46,8 +46,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 registers = shingles.sketch(own)
                 sums = own.sum(dtype=np.uint64), shingles.mixed(own + np.uint64(1)).sum(dtype=np.uint64)
                 ka, kb = np.array(sums, np.uint64).view(np.int64).tolist()
-                keys = shingles.bands(registers).view(np.int64).tolist() if len(own) else []
-                rows.append({"doc_id": doc_id, "n": len(own), "ka": ka, "kb": kb, "bands": keys, "sketch": registers.tobytes()})
+                rows.append({"doc_id": doc_id, "n": len(own), "ka": ka, "kb": kb, "sketch": registers.tobytes()})
+            keys = shingles.band_keys(np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(len(rows), -1)).view(np.int64)
+            for row, own in zip(rows, keys, strict=True):
+                row["bands"] = own[own != 0].tolist()
             yield pa.RecordBatch.from_pylist(rows, _SETS_ARROW)
 
 
@@ -55,16 +57,23 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _compare(similarity: float, most: int | None):
-    """Cells (columns cell, part, probe, id, comp, n, sketch; sorted by cell and part) to candidate pairs."""
+    """Cells (columns cell, part, probe, id, comp, n, sketch; sorted by cell and part) to candidate pairs.
 
-    def cell(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    A pair is looked at in the cell of the first band that it shares, and in no other.
+    """
+
+    def cell(rows: list[tuple], key: int) -> tuple[np.ndarray, np.ndarray]:
         probe = np.array([r[0] for r in rows], bool)
         ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
         registers = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
+        keys, own = shingles.band_keys(registers), np.array([key], np.int64).view(np.uint64)[0]
         target = np.flatnonzero(~probe)
         left, right = [], []
         for i in np.flatnonzero(probe) if most is None else range(len(rows)):
             near = target[(comp[target] != comp[i]) & (np.minimum(n[target], n[i]) >= similarity * np.maximum(n[target], n[i]) - 1e-9)]
+            if len(near):
+                shared = (keys[near] == keys[i]) & (keys[i] != 0)
+                near = near[keys[i][shared.argmax(1)] == own]
             if not len(near):
                 continue
             found, error = shingles.estimate(registers[near], registers[i], n[near], n[i])
@@ -83,11 +92,11 @@ def _compare(similarity: float, most: int | None):
             for c, part, *rest in zip(*columns, strict=True):
                 if (c, part) != key:
                     if len(held) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell(held)], schema=_PAIRS)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell(held, key[0])], schema=_PAIRS)
                     held, key = [], (c, part)
                 held.append(rest)
         if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell(held)], schema=_PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell(held, key[0])], schema=_PAIRS)
 
     return run
 
@@ -128,7 +137,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # A doc_id of several classes (several rows) links them.
     links = spark.createDataFrame([], "a long, b long")
     roots = None
-    for turn, most in enumerate((1, 8, None)):
+    for turn, most in enumerate((1, None)):
         labelled = members.withColumn("comp", F.col("id"))
         if roots is not None:
             labelled = members.join(roots, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")

@@ -101,18 +101,18 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
-    """Keys of the bands of a sketch, without bands that hold nothing."""
-    groups = registers.reshape(COARSE, -1)
-    at = (groups > 0).argmax(1)
-    coarse = groups[np.arange(COARSE), at].astype(np.uint64)
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """Keys of the bands of each row of registers; 0 for a band that holds nothing."""
+    groups = registers.reshape(len(registers), COARSE, -1)
+    at = (groups > 0).argmax(2)
+    coarse = np.take_along_axis(groups, at[:, :, None], 2)[:, :, 0].astype(np.uint64)
     coarse = np.where(coarse > 0, coarse << _u(8) | at.astype(np.uint64), _u(0))
-    used = coarse[: COARSE // ROWS * ROWS].reshape(-1, ROWS)
-    keys = np.zeros(len(used), np.uint64)
+    used = coarse[:, : COARSE // ROWS * ROWS].reshape(len(registers), -1, ROWS)
+    keys = np.zeros(used.shape[:2], np.uint64)
     for j in range(ROWS):
-        keys = mixed(keys * _u(_ODD) + used[:, j] + _u(j + 1))
-    keys = mixed(keys + np.arange(len(used), dtype=np.uint64))
-    return keys[used.any(1)]
+        keys = mixed(keys * _u(_ODD) + used[:, :, j] + _u(j + 1))
+    keys = mixed(keys + np.arange(keys.shape[1], dtype=np.uint64)) | _u(1)
+    return np.where(used.any(2), keys, _u(0))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
