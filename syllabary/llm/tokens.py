@@ -12,7 +12,7 @@ import os
 import re
 
 #: Chunks kept by one generation of the lookup; two generations live at once, which bounds a worker's memory.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 500_000
 #: New chunks that are joined into one string for the tokenizer.
 JOINED = 256
 
