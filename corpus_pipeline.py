@@ -39,7 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each near-duplicate group at a similarity of 0.8."""
     groups = near_dups.near_duplicates(docs, percent=80)
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # How many go grows with the input, so they are never broadcast.
+    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
