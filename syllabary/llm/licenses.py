@@ -24,7 +24,9 @@ SPELLINGS = (
     ("analog", "analogue"), ("judgement", "judgment"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("v2 0", "version 2 0"),
 )
 COPYRIGHT = r"(^|\n)[ \t#*/;-]*((copyright[ \t]*)?(\(c\)|©)|copyright[ \t]*[0-9<\[{]|copyright by |all rights reserved)[^\n]*"
-PUNCTUATION = r"[!-/:-@\[-`{-~“”‘’«»–—\x00-\x20\x{00A0}]+"
+#: What a line must hold for the pattern above to be tried.
+COPYRIGHT_MARKS = ("copyright", "(c)", "©", "all rights reserved")
+PUNCTUATION = r"[!-/:-@\[-`{-~“”‘’«»–—\x00-\x1f\x{00A0}]+"
 #: Known texts that a caller may give.
 MOST_KNOWN = 20_000
 
@@ -79,19 +81,30 @@ def known_texts() -> list[tuple[str, str]]:
     return [*_TEXTS, *notices]
 
 
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with x computed once, however often the body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
+
+    def without_copyright(low: Column) -> Column:
+        marked = F.contains(low, F.lit(COPYRIGHT_MARKS[0]))
+        for mark in COPYRIGHT_MARKS[1:]:
+            marked = marked | F.contains(low, F.lit(mark))
+        return F.when(marked, F.regexp_replace(low, COPYRIGHT, "\n")).otherwise(low)
+
+    out = F.concat(F.lit(" "), F.regexp_replace(_let(F.lower(text), without_copyright), PUNCTUATION, " "), F.lit(" "))
+    out = F.regexp_replace(out, " {2,}", " ")
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {one} "))
-    return F.trim(F.regexp_replace(out, " {2,}", " "))
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null where that is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return _let(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
@@ -107,7 +120,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     notices, and their licenses, sorted."""
     digests = F.broadcast(known_digests(docs.sparkSession, known_texts() if known is None else known))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("doc_id", "text").alias("h0"), text_of().alias("text"))
-    lines = keyed.select("id0", "h0", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", digest(F.col("line")))
+    lines = keyed.select("id0", "h0", F.posexplode(F.transform(F.split("text", "\n"), digest)).alias("at", "line"))
     hits = lines.join(digests, F.col("line") == F.col("known_digest")).groupBy("id0", "h0").agg(F.collect_set(F.struct("at", "license")).alias("found"))
     rows = keyed.withColumn("digest", digest(F.col("text"))).drop("text").join(digests, F.col("digest") == F.col("known_digest"), "left")
     rows = rows.join(hits, ["id0", "h0"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,license:string>>")))

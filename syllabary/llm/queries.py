@@ -189,10 +189,10 @@ def _licenses_sql() -> str:
 
     def canonical(column: str) -> str:
         out = f"regexp_replace(lower({column}), {text(licenses.COPYRIGHT)}, chr(10), 'g')"
-        out = f"' ' || regexp_replace({out}, {text(licenses.PUNCTUATION)}, ' ', 'g') || ' '"
+        out = f"regexp_replace(' ' || regexp_replace({out}, {text(licenses.PUNCTUATION)}, ' ', 'g') || ' ', ' {{2,}}', ' ', 'g')"
         for spelling, one in licenses.SPELLINGS:
             out = f"replace({out}, ' {spelling} ', ' {one} ')"
-        return f"trim(regexp_replace({out}, ' {{2,}}', ' ', 'g'))"
+        return f"trim({out})"
 
     known = ", ".join(f"({text(a)}, {text(b)})" for a, b in licenses.known_texts())
     return f"""
