@@ -30,8 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; those left without a word, whose every line stands elsewhere, go."""
-    left = line_chunks.remove_repeats(docs)
+    """Documents without repeated chunks of lines and repeated runs of lines of over 50 words; those left without a word, whose
+    every line stands elsewhere, go."""
+    left = line_chunks.remove_repeats(docs, runs_over=50)
     return left.filter((F.size("removed_lines") == 0) | F.col("text").rlike(WORD)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -6,6 +6,12 @@ line of ``long_words`` words or more is a passage by itself: it closes the chunk
 eligible with two lines with a word or more, or when it is such a passage. An eligible chunk that occurs again, byte for byte, is
 removed everywhere but at its first place, the smallest (doc_id, row hash, line).
 
+Chunks alone miss most passages of several short lines, for a chunk must lie wholly inside the passage. With ``runs_over`` the
+shortest runs of more than so many words, one from every line on and one up to every line, are eligible besides. Whatever run of
+lines of more than ``runs_over`` words stands at an earlier place that it doesn't overlap, wherever it begins and however its lines
+are laid out, is the union of such runs that stand there too; so all of it goes, and there are two rows a line, never pairs of places.
+As such runs overlap, SHA-256 digests of runs and chunks are compared there, in place of their bytes.
+
 DataFrame functions only. 64-bit hashes and lengths of chunks are counted first, and only chunks whose hash repeats travel with
 their bytes for the comparison. No group is gathered: counts and first places are aggregates, hot chunks meet their group's
 single row in an ordinary equi-join, which Spark splits where it is skewed.
@@ -17,7 +23,7 @@ whatever their names, but one named ``removed_lines`` is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabary.llm.common import WORD, Scratch, text_of
@@ -40,8 +46,8 @@ def _chunk_spans(lines: Column, long_words: int, divisor: int) -> Column:
     return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
 
 
-def chunk_places(docs: DataFrame, long_words: int, divisor: int) -> DataFrame:
-    """``doc, row_hash, start, length, hash, bytes`` of every eligible chunk of ``doc_id, text``."""
+def chunk_places(docs: DataFrame, long_words: int, divisor: int, summed: bool = False) -> DataFrame:
+    """``doc, row_hash, start, length, hash, bytes`` of every eligible chunk of ``doc_id, text``; ``summed``: with the hashes of ``run_places``."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row_hash"), F.split("text", "\n").alias("parts")).filter("parts is not null")
     counted = F.transform("parts", lambda x: F.struct(line_hash(F.encode(x, "UTF-8")).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words")))
     rows = rows.withColumn("lines", counted)
@@ -50,15 +56,47 @@ def chunk_places(docs: DataFrame, long_words: int, divisor: int) -> DataFrame:
     filled = F.size(F.filter(own, lambda x: x["words"] > 0))
     rows = rows.filter((filled >= 2) | ((F.col("length") == 1) & (F.get("lines", F.col("start"))["words"] >= long_words)))
     text = F.array_join(F.slice("parts", F.col("start") + 1, F.col("length")), "\n")
-    return rows.select("doc", "row_hash", "start", "length", F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))
+    lines = F.transform(F.slice("parts", F.col("start") + 1, F.col("length")), lambda x: F.shiftrightunsigned(F.xxhash64(x), 24))
+    total = F.xxhash64(F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x), F.col("length")) if summed else F.xxhash64(text)
+    return rows.select("doc", "row_hash", "start", "length", total.alias("hash"), F.octet_length(text).alias("bytes"))
+
+
+def run_places(docs: DataFrame, over: int) -> DataFrame:
+    """``doc, row_hash, start, length, hash, bytes`` of the shortest runs of more than ``over`` words from and up to every line.
+
+    ``hash`` is a sum over the lines, so that running totals give it for every run; equal runs have equal hashes and bytes.
+    """
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row_hash"), F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("parts"))
+    rows = rows.filter("parts is not null").select("doc", "row_hash", "row", F.posexplode("parts").alias("line", "body"))
+    # 40 bits a line: the totals of eight million lines stay within 63.
+    own = {"words": F.regexp_count("body", F.lit(WORD)).cast("long"), "h": F.shiftrightunsigned(F.xxhash64("body"), 24), "bytes": F.octet_length("body") + F.lit(1).cast("long")}
+    rows = rows.select("doc", "row_hash", "row", "line", *[c.alias(k) for k, c in own.items()])
+    text = Window.partitionBy("doc", "row_hash", "row")
+    upto = text.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *[F.sum(k).over(upto).alias(f"{k}_to") for k in own]).select("*", *[(F.col(f"{k}_to") - F.col(k)).alias(f"{k}_at") for k in own])
+    # All totals grow with the line, so the largest of a frame are those of its last line and the least those of its first.
+    after = text.orderBy("words_at").rangeBetween(Window.currentRow, over)
+    before = text.orderBy("words_to").rangeBetween(-over, Window.currentRow)
+    rows = rows.select("*", F.max("line").over(after).alias("stop"), *[F.max(f"{k}_to").over(after).alias(f"{k}_stop") for k in own])
+    rows = rows.select("*", F.min("line").over(before).alias("begin"), *[F.min(f"{k}_at").over(before).alias(f"{k}_begin") for k in own])
+
+    def run(start: str, length: Column, h: Column, size: Column) -> Column:
+        return F.struct(F.col(start).alias("start"), length.cast("int").alias("length"), F.xxhash64(h, length.cast("int")).alias("hash"), (size - 1).cast("int").alias("bytes"))
+
+    there = F.col("words_stop") - F.col("words_at") > over
+    back = (F.col("words_to") - F.col("words_begin") > over) & (F.col("words_at") - F.col("words_begin") > over)  # else it is the one from its first line
+    forward = run("line", F.col("stop") - F.col("line") + 1, F.col("h_stop") - F.col("h_at"), F.col("bytes_stop") - F.col("bytes_at"))
+    backward = run("begin", F.col("line") - F.col("begin") + 1, F.col("h_to") - F.col("h_begin"), F.col("bytes_to") - F.col("bytes_begin"))
+    return rows.select("doc", "row_hash", F.inline(F.array_compact(F.array(F.when(there, forward), F.when(back, backward)))))
 
 
-def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4) -> DataFrame:
-    """``docs`` without repeated chunks: its columns with the new ``text`` (and ``n_chars``, where there is one), and
-    ``removed_lines``, the numbers of the lines removed, counted from 0."""
+def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4, runs_over: int | None = None) -> DataFrame:
+    """``docs`` without repeated chunks, and with ``runs_over`` without repeated runs of more words: its columns with the new
+    ``text`` (and ``n_chars``, where there is one), and ``removed_lines``, the numbers of the lines removed, counted from 0."""
     scratch = Scratch(docs.sparkSession, "line-chunks")
     names = [c for c in docs.columns if c != "removed_lines"]
-    places = scratch.keep(chunk_places(docs, long_words, divisor), "places")
+    chunks = chunk_places(docs, long_words, divisor, summed=runs_over is not None)
+    places = scratch.keep(chunks if runs_over is None else chunks.unionByName(run_places(docs, runs_over)), "places")
     again = places.groupBy("hash", "bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     suspects = places.hint("merge").join(again, ["hash", "bytes"]).groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "length", "hash")).alias("found"))
     # The bytes of the suspects alone: one shuffle of the texts against the documents that hold any.
@@ -67,16 +105,22 @@ def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4) -> D
     held = texts.hint("merge").join(suspects.select(F.coalesce("doc", F.lit(-1)).alias("id0"), F.col("row_hash").alias("h0"), "doc", "found"), ["id0", "h0"])
     held = held.withColumn("parts", F.split("text", "\n")).select("doc", "h0", "parts", F.inline("found"))
     chunk = F.array_join(F.slice("parts", F.col("start") + 1, F.col("length")), "\n")
+    if runs_over is not None:  # runs overlap: their bytes would be many times the text's
+        chunk = F.unhex(F.sha2(chunk, 256))
     held = scratch.keep(held.select("doc", "h0", "start", "length", "hash", chunk.alias("chunk")), "held")
+    scratch.drop("places")
     first = F.min(F.struct("doc", "h0", "start"))
     groups = held.groupBy("hash", "chunk").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = held.hint("merge").join(groups, ["hash", "chunk"])  # equal hash and equal bytes
-    later = later.filter(~(F.struct("doc", "h0", "start").eqNullSafe(F.col("first"))))
+    # The first place stays, and so does what overlaps it: of a line that is said on and on, one passage is left.
+    same = F.struct("doc", "h0").eqNullSafe(F.struct("first.doc", "first.h0"))
+    later = later.filter(~(same & (F.col("start") < F.col("first.start") + F.col("length"))))
     gone = later.groupBy(F.coalesce("doc", F.lit(-1)).alias("id0"), "h0").agg(F.collect_set(F.struct("start", "length")).alias("gone"))
     gone = scratch.keep(gone, "gone")
+    scratch.drop("held")
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("text").alias("h0"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     rows = rows.hint("merge").join(gone, ["id0", "h0"], "left")
-    numbers = F.array_sort(F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["length"] - 1))))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["length"] - 1)))))
     rows = rows.withColumn("numbers", F.coalesce(numbers, F.array().cast("array<int>")))
     rows = rows.withColumn("parts", F.when(F.size("numbers") > 0, F.split("row.text", "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "numbers")

@@ -119,6 +119,36 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), lines.alias("removed_lines"), "text")
 
 
+@query(
+    "op8_line_runs",
+    r"""
+    WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    lines AS (SELECT doc_id, i AS line, parts[i] AS body, ('0x' || substr(md5(parts[i]), 1, 8))::BIGINT AS h,
+              len(regexp_extract_all(parts[i], '[^ \t\n\x0b\f\r]+')) AS words
+              FROM parts, unnest(range(1, len(parts) + 1)) AS t(i)),
+    ended AS (SELECT *, lead(line) OVER w IS NULL OR words >= 50 OR coalesce(lead(words) OVER w, 0) >= 50
+              OR ((h * 31 + coalesce(lag(h) OVER w, 0)) // 64) % 4 = 0 AS ends, sum(words) OVER w AS upto FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended),
+    chunks AS (SELECT doc_id, min(line) AS start, max(line) AS stop FROM numbered GROUP BY doc_id, chunk
+               HAVING count(*) FILTER (WHERE words > 0) >= 2 OR (count(*) = 1 AND max(words) >= 50)),
+    runs AS (SELECT a.doc_id, a.line AS start, b.line AS stop FROM ended a JOIN ended b ON a.doc_id = b.doc_id AND a.line <= b.line
+             WHERE b.upto - a.upto + a.words > 50 AND (b.upto - b.words - a.upto + a.words <= 50 OR b.upto - a.upto <= 50)),
+    spans AS (SELECT * FROM chunks UNION SELECT * FROM runs),
+    bodies AS (SELECT s.doc_id, start, stop, array_to_string(parts[start:stop], chr(10)) AS body FROM spans s JOIN parts p ON s.doc_id = p.doc_id),
+    placed AS (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(stop) OVER w AS first_stop FROM bodies WINDOW w AS (PARTITION BY body ORDER BY doc_id, start)),
+    gone AS (SELECT DISTINCT doc_id, i AS line FROM placed, unnest(range(start, stop + 1)) AS t(i) WHERE doc_id <> first_doc OR start > first_stop)
+    SELECT d.doc_id, CAST(count(g.line) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(l.line - 1 AS VARCHAR), ',' ORDER BY l.line) FILTER (WHERE g.line IS NOT NULL), '') AS removed_lines,
+    CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(l.body, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') END AS text
+    FROM documents d LEFT JOIN lines l ON d.doc_id = l.doc_id LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY d.doc_id, d.text
+    """,
+)
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the chunks, and without the runs of lines of over 50 words, that an earlier place holds already."""
+    kept = line_chunks.remove_repeats(read(spark, sf_dir, "documents"), runs_over=50)
+    lines = F.array_join(F.col("removed_lines").cast("array<string>"), ",")
+    return kept.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), lines.alias("removed_lines"), "text")
+
+
 @query("op3_near_duplicates")
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component at a similarity of 0.85 on five-word shingles."""

@@ -97,6 +97,36 @@ def test_repeated_chunks_go_but_for_the_first(spark):
     assert line_chunks.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeated_runs_of_short_lines_go_whole(spark):
+    rng, rows, filler = random.Random(5), [], iter(range(10**6))
+    passages = [[" ".join(words_of(rng.randint(52 // n, 49), 100 * n + k)) for k in range(n)] for n in (2, 3, 4, 5, 6)]
+    passages = [p for p in passages if sum(len(x.split()) for x in p) > 50]
+    for i in range(40):
+        lines = [f"own {next(filler)}" for _ in range(rng.randint(0, 5))]
+        for p in rng.sample(passages, 2):
+            lines += p + [rng.choice(["", f"own {next(filler)}"]) for _ in range(rng.randint(0, 3))]
+        rows.append((i, "\n".join(lines)))
+    rows += [(90, "\n".join(["ten words " * 5] * 20)), (91, "")]
+    spans, gone = {}, {r[0]: set() for r in rows}
+    for doc, text in rows:  # every run of more than 50 words, by its bytes
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(x.split()) for x in lines[a : b + 1]) > 50:
+                    spans.setdefault("\n".join(lines[a : b + 1]), []).append((doc, a, b))
+    for places in spans.values():
+        first = min(places)
+        for doc, a, b in places:
+            if doc != first[0] or a > first[2]:
+                gone[doc] |= set(range(a, b + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = {r["doc_id"]: set(r["removed_lines"]) for r in line_chunks.remove_repeats(df).collect()}
+    found = {r["doc_id"]: r for r in line_chunks.remove_repeats(df, runs_over=50).collect()}
+    assert {k: set(r["removed_lines"]) for k, r in found.items()} == {k: v | chunks[k] for k, v in gone.items()}
+    assert any(v - chunks[k] for k, v in gone.items()) and len(passages) == 5 and gone[90] == set(range(6, 20))
+    assert all(found[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in found[d]["removed_lines"]) for d, t in rows)
+
+
 def test_mix_keeps_to_its_targets(spark):
     rows = [(i, " ".join(words_of(40 + i % 90, i)), f"s{i % 4}" if i % 4 else None) for i in range(300)] + [(900, None, "s1"), (901, " \n", "s2"), (None, "a b c", "s1"), (5, "same x", "s3"), (5, "same x", "s3")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
