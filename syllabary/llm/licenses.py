@@ -64,6 +64,64 @@ to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 """
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+"""
+_BSD_TERMS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and
+to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to
+the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE_HEAD = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+_APACHE_END = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""
+
+
+def _bsd(terms: int, title: str) -> tuple[str, ...]:
+    """The BSD text of so many terms: numbered or with bullets, with and without its title."""
+    forms = ["\n".join([_BSD_HEAD, *(f"{mark.format(i)} {t}" for i, t in enumerate(_BSD_TERMS[:terms], 1)), _BSD_END]) for mark in ("{}.", "*")]
+    return (*forms, *(f"{title}\n{x}" for x in forms))
+
+
 _TEXTS = (
     ("MIT", _MIT + _WARRANTY),
     ("MIT", "MIT License\n" + _MIT + _WARRANTY),
@@ -71,6 +129,13 @@ _TEXTS = (
     ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AUTHOR}"),
     ("ISC", f"ISC License\n{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AUTHOR}"),
     ("0BSD", f"{_ISC}.\n{_AUTHOR}"),
+    *(("BSD-2-Clause", x) for x in _bsd(2, "BSD 2-Clause License")),
+    *(("BSD-3-Clause", x) for x in _bsd(3, "BSD 3-Clause License")),
+    ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB),
+    *(("Unlicense", _UNLICENSE + f"For more information, please refer to <{at}unlicense.org{end}>") for at in ("http://", "https://") for end in ("", "/")),
+    ("BSL-1.0", _BSL), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BSL),
+    ("Apache-2.0", _APACHE_HEAD),
+    *(("Apache-2.0", f"{_APACHE_HEAD}\n{at}://www.apache.org/licenses/LICENSE-2.0\n{_APACHE_END}") for at in ("http", "https")),
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
 
@@ -115,6 +180,20 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFram
     return rows.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license").alias("license")).filter("known_digest is not null")
 
 
+#: Between blocks: a line of nothing but blanks and comment marks.
+BLANK_LINE = r"\n[ \t\r#*/;-]*\n"
+
+
+def scan_blocks(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``doc_id, n_blocks, licenses``: the blocks between blank lines that are known texts or notices, however they are wrapped."""
+    digests = F.broadcast(known_digests(docs.sparkSession, known_texts() if known is None else known))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("doc_id", "text").alias("h0"), text_of().alias("text"))
+    blocks = keyed.select("id0", "h0", F.posexplode(F.transform(F.split("text", BLANK_LINE), digest)).alias("at", "block"))
+    hits = blocks.join(digests, F.col("block") == F.col("known_digest")).groupBy("id0", "h0").agg(F.collect_set(F.struct("at", "license")).alias("found"))
+    rows = keyed.drop("text").join(hits, ["id0", "h0"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,license:string>>")))
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_blocks"), F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"))
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``doc_id, digest, license, n_notices, notices``: the digest and license of the entire text, the number of lines that are
     notices, and their licenses, sorted."""

@@ -241,3 +241,28 @@ def _licenses_sql() -> str:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look every document, and every line of it, up among the known licence texts and notices."""
     return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def _blocks_sql() -> str:
+    """``licenses.scan_blocks`` in SQL; the canonical forms of the known texts and of the blocks are one expression."""
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    form = f"regexp_replace(lower(body), {text(licenses.COPYRIGHT)}, chr(10), 'g')"
+    form = f"regexp_replace(' ' || regexp_replace({form}, {text(licenses.PUNCTUATION)}, ' ', 'g') || ' ', ' {{2,}}', ' ', 'g')"
+    for spelling, one in licenses.SPELLINGS:
+        form = f"replace({form}, ' {spelling} ', ' {one} ')"
+    known = ", ".join(f"({text(a)}, {text(b)})" for a, b in licenses.known_texts())
+    return f"""
+    WITH known AS (SELECT form, min(license) AS license FROM (SELECT license, trim({form}) AS form FROM (VALUES {known}) AS t(license, body)) WHERE form <> '' GROUP BY 1),
+    blocks AS (SELECT doc_id, trim({form}) AS form FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), {text(licenses.BLANK_LINE)})) AS body FROM documents)),
+    hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM blocks JOIN known USING (form) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_blocks, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id
+    """
+
+
+@query("op2_license_blocks", _blocks_sql())
+def op2_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look every block between blank lines up among the known licence texts and notices, so that wrapped ones are found."""
+    return licenses.scan_blocks(read(spark, sf_dir, "documents"))

@@ -95,6 +95,16 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_short_texts_and_wrapped_notices(spark):
+    bsd = licenses._bsd(3, "")[0]
+    head = ' * Copyright 2020 A\n *\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n * more\n'
+    rows = [(1, "BSD 3-Clause License\n\nCopyright (c) 2020, A\n" + bsd), (2, licenses._ZLIB), (3, licenses._BSL), (4, head), (5, "own\n\nReleased under\nthe MIT\nLicense.\n\nown"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()} == {1: "BSD-3-Clause", 2: "Zlib", 3: "BSL-1.0", 4: None, 5: None, 6: None}
+    found = {r["doc_id"]: (r["n_blocks"], r["licenses"]) for r in licenses.scan_blocks(df).collect()}
+    assert {k: found[k] for k in (4, 5, 6)} == {4: (1, "Apache-2.0"), 5: (1, "MIT"), 6: (0, "")}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("\\<>|[]/INSTim_startend\ns"), max_size=40), st.text(st.sampled_from("user\n\\<s>\""), max_size=8))
 def test_chat_round_trip(text, role):
