@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of the Arrow batches between Spark and its Python workers, and of texts that a worker looks at together: both sides of
+#: the pipe hold a batch outside the heap, and array operations need about forty times the bytes they look at.
+BATCH, TOGETHER = 8 << 20, 1 << 20
+
 _own_folder: list[str] = []
 
 
@@ -20,10 +28,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset, as in local tests, a temporary folder of this process."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder of this process on a local master, as in
+    tests, and an error on a cluster, whose machines share no such folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"file://{_own_folder[0]}"
@@ -35,6 +46,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(spark.conf.get(bound).rstrip("b")) > BATCH:
+            spark.conf.set(bound, f"{BATCH}b")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -57,3 +71,16 @@ def text_of(name: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def together(batch: pa.RecordBatch, *texts: int, most: int = TOGETHER, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes in the columns numbered ``texts``, or one longer row, and ``rows`` rows."""
+    if not len(batch):
+        return
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(k)), 0)).astype(np.int64) for k in texts)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        before = int(ends[start - 1]) if start else 0
+        stop = min(max(int(np.searchsorted(ends, before + most, side="right")), start + 1), start + rows)
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabary.llm import shingles
-from syllabary.llm.common import Scratch, text_of
+from syllabary.llm.common import Scratch, text_of, together
 from syllabary.llm.graphs import components
 
 #: Members of a cell, and of a block of outsiders in the last round.
@@ -39,8 +39,7 @@ _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ka", pa.in
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, len(batch), 500):
-            some = batch.slice(i, 500)
+        for some in together(batch, 1):
             rows = []
             for doc_id, own in zip(some.column(0).to_pylist(), shingles.shingle_sets([x.encode() for x in some.column(1).to_pylist()]), strict=True):
                 registers = shingles.sketch(own)
@@ -104,8 +103,8 @@ def _compare(similarity: float, most: int | None):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                a, b, left, right = (x.to_pylist() for x in batch.slice(i, 200).columns)
+            for some in together(batch, 2, 3):
+                a, b, left, right = (x.to_pylist() for x in some.columns)
                 sets = shingles.shingle_sets([x.encode() for x in left + right])
                 keep = []
                 for k in range(len(a)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Registers of a sketch (a power of two), bits of the mantissa in each.
@@ -24,39 +26,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u(31))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once, but for the rest of a word; longer tables of powers than for that and ``SPARE`` are not kept.
+PIECE, SPARE = 1 << 20, 1 << 12
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_ODD, _INVERSE):
+        rest = np.full(n, base, np.uint64)
+        rest[0] = 1
+        out.append(np.multiply.accumulate(rest))
+    return out[0], out[1]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        for k, base in enumerate((_ODD, _INVERSE)):
-            rest = np.full(size, base, np.uint64)
-            rest[0] = 1
-            _powers[k] = np.multiply.accumulate(rest)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the multiplier and of its inverse."""
+    if n > PIECE + SPARE:
+        return _made_powers(n)
+    if not _powers:
+        _powers.append(_made_powers(PIECE + SPARE))
+    return _powers[0][0][:n], _powers[0][1][:n]
+
+
+def _hashed(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of a piece, where each begins)."""
+    data = np.frombuffer(piece, np.uint8)
+    space = _SPACE[data]
+    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    power, inverse = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + _u(1)) * power[: len(data)], dtype=np.uint64, out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64)), begins
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word, in order; words of each text). A-Z count as a-z where ``lower``.
 
-    Each hash is a polynomial of the word's bytes modulo 2^64, from differences of one running sum.
+    Each hash is a polynomial of the word's bytes modulo 2^64, from differences of one running sum over a piece of the texts.
     """
     joined = b"\n".join([*texts, b""])
     if lower:
         joined = joined.translate(_LOWER)
-    data = np.frombuffer(joined, np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    space = _SPACE[data]
-    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    power, inverse = _power(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _u(1)) * power[: len(data)], dtype=np.uint64)])
-    hashes = mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+    hashes, begins, start = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while start < len(joined):  # a piece ends with white space, so no word lies in two
+        found = _BREAK.search(joined, min(start + PIECE, len(joined)) - 1)
+        stop = found.end() if found else len(joined)
+        own, at = _hashed(joined[start:stop])
+        hashes.append(own)
+        begins.append(at + start)
+        start = stop
     edges = np.concatenate([[0], np.cumsum(lengths)])
-    return hashes, np.diff(np.searchsorted(begins, edges))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(begins), edges))
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syllabary.llm import tokens
-from syllabary.llm.common import Scratch, text_of
+from syllabary.llm.common import TOGETHER, Scratch, text_of, together
 
 #: Tokens between two bit-offset checkpoints.
 BLOCK = 256
@@ -138,8 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         encoder, part, row, first = tokens.load(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                some = batch.slice(i, 1000)
+            for some in together(batch, 1, most=2 * TOGETHER):
                 ids = [x + end for x in encoder.encode(some.column(1).to_pylist())]
                 sizes = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
                 firsts = first + np.cumsum(sizes) - sizes
@@ -184,8 +183,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
         held, size = [], 0
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                for x in batch.slice(i, 1000).to_pylist():
+            for some in together(batch, 5, most=2 * TOGETHER):
+                for x in some.to_pylist():
                     if held and (size + x["n_tokens"] > SEGMENT or (x["part"], x["row"]) != (held[-1]["part"], held[-1]["row"] + 1)):
                         yield segment(held)
                         held, size = [], 0

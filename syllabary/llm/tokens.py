@@ -2,7 +2,8 @@
 
 A text is cut before every blank that follows a character which is no white space. A pre-tokenizer that splits at white space
 yields the same pieces from each chunk alone as from the whole text, so ids of a chunk are looked up where it was seen before
-and only new chunks reach the tokenizer, many in one call.
+and only new chunks reach the tokenizer, many in one call. A text that holds one of the vocabulary's added tokens goes to the
+tokenizer whole, which cuts it there and gives that token's id.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import json
 import os
 import re
 
-#: Chunks kept by one generation of the lookup; two generations live at once, which bounds a worker's memory.
-KEPT_CHUNKS = 500_000
+#: Chunks kept by one generation of the lookup, and characters of a chunk that is kept; two generations live at once, which bounds
+#: a worker's memory.
+KEPT_CHUNKS, LONGEST_KEPT = 500_000, 64
 #: New chunks that are joined into one string for the tokenizer.
 JOINED = 256
 
@@ -33,7 +35,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = tuple(t.content for t in added)
+        self.always_whole = any(t.normalized for t in added)  # such a token may stand for other spellings of it
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         layout = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
@@ -47,7 +51,8 @@ class ChunkTokenizer:
             if suffix and self._pieces_as_expected():
                 self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
                 self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.first: dict[str, bytes] = {}
+        # Whether line feeds and tabs are as good as blanks.
+        self.drops_space = self.mark is not None and self._ids("\ta\n\n b\t \nc\n") == self._ids("a b c")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -99,8 +104,8 @@ class ChunkTokenizer:
             out += [packed[(a + skip) * size : b * size] for a, b in zip(at.tolist(), ends, strict=True)]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Give every word an entry in the younger generation."""
+    def _learn(self, words: set[str]) -> list[str]:
+        """Give every word an entry in the younger generation; those are returned that are too long to stay there."""
         if len(self.new) > KEPT_CHUNKS:
             self.old, self.new = self.new, {}
         missing = words.difference(self.new)
@@ -108,6 +113,7 @@ class ChunkTokenizer:
             again = missing.intersection(self.old)
             self.new.update((w, self.old[w]) for w in again)
             missing -= again
+        long = [w for w in missing if len(w) > LONGEST_KEPT]
         if self.ends is not None:
             plain = [w for w in missing if _PLAIN.fullmatch(w)]
             if (ids := self._by_ends(plain)) is not None:
@@ -120,14 +126,24 @@ class ChunkTokenizer:
             odd, plain, ids = odd + plain, [], []
         self.new.update(zip(plain, ids, strict=True))
         self.new.update(zip(odd, self._one_by_one([" " + w for w in odd]), strict=True))
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        cut = [_cut(text) for text in texts]
-        begun = self._one_by_one([x.pop(0) for x in cut])
-        self._learn(set().union(*cut))
+        whole = [i for i, t in enumerate(texts) if self.always_whole or any(x in t for x in self.added)]
+        if whole:
+            kept = dict(zip(whole, self._one_by_one([texts[i] for i in whole]), strict=True))
+            others = [t for i, t in enumerate(texts) if i not in kept]
+            rest = iter(self.encode(others) if others else ())
+            return [kept[i] if i in kept else next(rest) for i in range(len(texts))]
+        cut = [_blanks(text) if self.drops_space else _cut(text) for text in texts]
+        begun = [b""] * len(cut) if self.drops_space else self._one_by_one([x.pop(0) for x in cut])
+        long = self._learn(set().union(*cut))
         get = self.new.__getitem__
-        return [first + b"".join(map(get, rest)) for first, rest in zip(begun, cut, strict=True)]
+        out = [first + b"".join(map(get, rest)) for first, rest in zip(begun, cut, strict=True)]
+        for w in long:
+            del self.new[w]
+        return out
 
 
 def _cut(text: str) -> list[str]:
@@ -138,6 +154,11 @@ def _cut(text: str) -> list[str]:
     return [first, *(x[1:] for x in rest)]
 
 
+def _blanks(text: str) -> list[str]:
+    """Chunks between blanks, line feeds and tabs, for a tokenizer that drops them."""
+    return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+
 def load(path: str) -> ChunkTokenizer:
     """The tokenizer of a file, once in each Python worker."""
     if path not in _loaded:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabary.llm.common import Scratch, text_of
+from syllabary.llm.common import Scratch, text_of, together
 
 #: General insults every model knows.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "jerk", "dumb")
@@ -308,8 +308,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits(Matcher(model))
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                some = batch.slice(i, 1000)
+            for some in together(batch, 1):
                 found = np.array([features(t, hits) for t in some.column(1).to_pylist()]).reshape(-1, 4)
                 logits = np.clip(weights[0] + found @ weights[1:], -30, 30)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(1 / (1 + np.exp(-logits)))], names=["doc_id", "score"])

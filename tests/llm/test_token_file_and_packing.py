@@ -16,6 +16,7 @@ from syllabary.llm import packing, token_file, tokens
 ROWS = [
     (3, "It's  a test.\n\n  Ünïcode ~ marks ~~ and 123 numbers!", "x"),
     (1, "", "x"), (2, None, "x"), (None, "no id", "x"), (5, "same", "x"), (5, "same", "x"), (4, "word " * 9000, "x"), (9, "<|endoftext|> plain", "x"),
+    (10, "hello <|endoftext|> there<|startoftext|><|ENDOFTEXT|> <|endoftext|", "x"),
 ]
 SCHEMA = "doc_id long, text string, ids string"
 
@@ -24,12 +25,11 @@ def direct(name: str, text: str | None, end: int) -> np.ndarray:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from(" \n\tab~'1é.,İ<|-A"), max_size=40), max_size=6))
+@given(st.lists(st.lists(st.sampled_from([*" \n\tab~'1é.,İ<|-A", "<|endoftext|>", "<|startoftext|>"]), max_size=40).map("".join), max_size=6))
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_encode_as_whole_texts(name, texts):
     encoder = tokens.load(public_tokenizers.path(name))
@@ -59,7 +59,7 @@ def test_token_file(spark, tmp_path):
     path = f"file://{tmp_path}/f"
     token_file.write(df, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     found = token_file.load(spark, path).orderBy("start").collect()
-    assert [r["doc_id"] for r in found] == [None, 1, 2, 3, 4, 5, 5, 9]
+    assert [r["doc_id"] for r in found] == [None, 1, 2, 3, 4, 5, 5, 9, 10]
     texts, start = {r[0]: r[1] for r in ROWS}, 0
     for r in found:
         ids = direct("byte_bpe_50k.json", texts[r["doc_id"]], 0)
@@ -83,6 +83,35 @@ def test_patterns_hold_every_piece(demand):
     assert sum(n for _, n in patterns) <= 1.3 * least / 16 + 12 + demand[8:].sum()
 
 
+def test_every_added_token_is_one_id(spark, tmp_path):
+    """As the library gives them, through the registered queries too."""
+    from syllabary.llm import queries
+
+    texts = {i: f"a{x}b {x} c" for i, x in enumerate(["<|endoftext|>", "<|startoftext|>", "</w>", "Ġ"])}
+    for name, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)):
+        encoder = tokens.load(public_tokenizers.path(name))
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(list(texts.values()))] == [direct(name, t, end)[:-1].tolist() for t in texts.values()]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    for name, end, query in (("byte_bpe_50k.json", 0, "op1_token_file"), ("word_bpe_49k.json", 2, "op7_pack_sequences")):
+        rows = queries.QUERIES[query](spark, f"file://{tmp_path}").collect()
+        assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {i: zlib.crc32(direct(name, t, end).tobytes()) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("length", [1, 6, 17, 41, 201, 511])
+def test_little_padding_at_any_length(length):
+    n = 400 * 4096 // length
+    found = packing.Seats({length: n}, 4096).find(length, np.arange(n))
+    assert np.bincount(found).max() * length <= 4096 and n * length >= 0.98 * 4096 * len(np.unique(found))
+
+
+def test_seats_hold_what_they_say():
+    counts = {int(k): int(v) for k, v in zip(*np.unique(np.random.default_rng(3).integers(1, 4097, 3000), return_counts=True), strict=True)}
+    seats, used = packing.Seats(counts, 4096), np.zeros(6000, np.int64)
+    for length, n in counts.items():
+        np.add.at(used, seats.find(length, np.arange(n)), length)
+    assert used.max() <= 4096 and sum(k * n for k, n in counts.items()) >= 0.97 * 4096 * np.count_nonzero(used)
+
+
 def test_packing(spark):
     rows = packing.pack(spark.createDataFrame(ROWS, SCHEMA), public_tokenizers.path("word_bpe_49k.json"), end_id=2, sequence=256).collect()
     assert packing.pack(spark.createDataFrame([], SCHEMA), public_tokenizers.path("word_bpe_49k.json"), end_id=2).count() == 0
