@@ -2,7 +2,9 @@
 
 The layout of a record is known by its schema fingerprint: a hash of its nested field paths, array elements written ``[]``. A
 fingerprint selects a declarative mapping (``Mapping``): where the turns are, which fields hold role and text, or which single
-fields are a prompt and its answer. Tables have their fingerprint taken from their schema, JSON records one by one.
+fields are a prompt and its answer. As records carry more fields than a mapping needs, the fingerprint is taken over those of a
+record's paths that the mapping names, and the mapping of most paths goes first. Tables have their fingerprint taken from their
+schema (``turn_rows``), JSON records one by one (``canonical_turns``).
 
 Formatted text marks turns with two strings. Wherever a control string begins in a text, a backslash is put after its first
 character, and backslashes of the text are doubled, so no text can be taken for a mark and every text can be had back. The
@@ -12,8 +14,9 @@ A conversation is written as one row a turn, in order; formatted text of a conve
 of any length streams through sorted partitions and none is gathered.
 
 Null roles and texts are empty; rows without a turn come first, equal turns are ordered by role and text and all kept; a null
-conv_id is a conversation of its own; an empty table gives no rows; columns beyond the layout's do not change its fingerprint
-where the mapping says which it needs. A record whose layout no mapping knows gives a row with null role and text, never an error.
+conv_id is a conversation of its own; an empty table gives no rows; fields beyond the layout's change nothing. An array without
+turns gives no rows. A record that is no JSON, nests too deep or has a layout that no mapping knows gives a row with null role and
+text, never an error; lone surrogates become replacement characters. A table of an unknown layout is an error.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from syllabary.llm.common import together
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that some template takes for control.
 CONTROLS = (START, END, "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -41,12 +46,15 @@ class Mapping:
     """How one layout becomes turns.
 
     ``paths``: the nested field paths that make its fingerprint. ``turns``: the array that holds the turns, or None for a record
-    that is one turn (``role``, ``text`` are field names) or a fixed dialogue (``fixed``: (role, field) pairs, empty ones skipped).
+    that is one turn (``conv``, ``turn``, ``role``, ``text`` are field names) or a fixed dialogue (``fixed``: (role, field) pairs,
+    empty ones skipped). Roles have other names translated but in records of one turn.
     """
 
     name: str
     paths: tuple[str, ...]
     turns: str | None = None
+    conv: str | None = None
+    turn: str | None = None
     role: str | None = None
     text: str | None = None
     fixed: tuple[tuple[str, str], ...] = ()
@@ -62,7 +70,7 @@ def fingerprint(paths) -> str:
 
 
 MAPPINGS = (
-    Mapping("turn rows", ("conv_id", "turn", "role", "text"), role="role", text="text"),
+    Mapping("turn rows", ("conv_id", "turn", "role", "text"), conv="conv_id", turn="turn", role="role", text="text"),
     Mapping("messages", ("messages[].role", "messages[].content"), turns="messages", role="role", text="content"),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
     Mapping("prompt and response", ("prompt", "response"), fixed=(("user", "prompt"), ("assistant", "response"))),
@@ -89,56 +97,96 @@ def value_paths(value, at: str = "") -> set[str]:
     if isinstance(value, dict):
         return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
     if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, f"{at}[]")}
+        return {p for v in value for p in value_paths(v, f"{at}[]")} or {f"{at}[]"}
     return {at}
 
 
-def turn_rows(table: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``conv_id, turn, role, text`` of a table whose rows are turns, by the mapping of its schema's fingerprint.
+def choose(paths, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
+    """The mapping whose fingerprint the paths have, restricted to those it names; of several that of most paths, then the first."""
+    for mapping in sorted(mappings, key=lambda m: -len(m.paths)):
+        own = set(mapping.paths).intersection(paths)
+        if mapping.turns and f"{mapping.turns}[]" in paths and not any(p.startswith(f"{mapping.turns}[].") for p in paths):
+            own = mapping.paths  # an array without elements shows none of their fields
+        if fingerprint(own) == mapping.fingerprint:
+            return mapping
+    return None
+
 
-    Other columns are left aside first: the fingerprint is taken over the paths that some mapping of single turns names.
+def turn_rows(table: DataFrame, conv_id: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """``conv_id, turn, role, text`` of a table, by the mapping that the fingerprint of its schema selects.
+
+    A table whose rows hold whole conversations names them by the column ``conv_id``.
     """
-    for mapping in mappings:
-        if mapping.turns is None and mapping.role and set(mapping.paths) <= set(schema_paths(table.schema)):
-            chosen = table.select(*mapping.paths)
-            if fingerprint(schema_paths(chosen.schema)) == mapping.fingerprint:
-                rest = [p for p in mapping.paths if p not in (mapping.role, mapping.text)]
-                return chosen.select(F.col(rest[0]).alias("conv_id"), F.col(rest[1]).alias("turn"), F.coalesce(mapping.role, F.lit("")).alias("role"), F.coalesce(mapping.text, F.lit("")).alias("text"))
-    raise ValueError("no mapping for a table of turns with these columns: " + ", ".join(schema_paths(table.schema)))
+    mapping = choose(schema_paths(table.schema), mappings)
+    if mapping is None:
+        raise ValueError("no mapping for a table with these columns: " + ", ".join(schema_paths(table.schema)))
+    if mapping.role and not mapping.turns:
+        return table.select(F.col(mapping.conv).alias("conv_id"), F.col(mapping.turn).alias("turn"), _filled(F.col(mapping.role)).alias("role"), _filled(F.col(mapping.text)).alias("text"))
+    if mapping.turns:
+        turns = F.transform(F.col(mapping.turns), lambda t: F.struct(_filled(t[mapping.role]).alias("role"), _filled(t[mapping.text]).alias("text")))
+    else:
+        turns = F.filter(F.array(*[F.struct(F.lit(role).alias("role"), _filled(F.col(field)).alias("text")) for role, field in mapping.fixed]), lambda t: t["text"] != "")
+    rows = table.select(F.col(conv_id).alias("conv_id"), F.posexplode(turns).alias("at", "said"))
+    return rows.select("conv_id", F.col("at").cast("long").alias("turn"), _role(F.col("said.role")).alias("role"), F.col("said.text").alias("text"))
+
+
+def _filled(x: Column) -> Column:
+    return F.coalesce(x.cast("string"), F.lit(""))
+
+
+def _role(role: Column) -> Column:
+    """The usual name of a role."""
+    out = role
+    for other, usual in ROLES.items():
+        out = F.when(role == other, usual).otherwise(out)
+    return out
 
 
 _TURNS = "conv_id long, turn long, role string, text string, layout string"
+_TURNS_ARROW = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string())])
+_UNKNOWN = None, [(None, None, None)]
 
 
-def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``conv_id, turn, role, text, layout`` of JSON records (columns conv_id and ``record``)."""
-    known = {m.fingerprint: m for m in mappings}
-
-    def turns(text: str | None) -> tuple[str | None, list[tuple[str | None, str | None]]]:
-        try:
-            value = json.loads(text or "")
-        except ValueError:
-            return None, [(None, None)]
-        mapping = known.get(fingerprint(value_paths(value)))
-        if mapping is None or not isinstance(value, dict):
-            return None, [(None, None)]
+def _text(value) -> str:
+    """A JSON value as text that can be encoded."""
+    out = "" if value is None else value if isinstance(value, str) else json.dumps(value)
+    return out if out.isascii() else out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def record_turns(record: str | None, mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[str | None, list[tuple[int | None, str | None, str | None]]]:
+    """(layout, turns (number, role, text)) of a JSON record."""
+    try:
+        value = json.loads(record or "")
+        mapping = choose(value_paths(value), mappings) if isinstance(value, dict) else None
+        if mapping is None:
+            return _UNKNOWN
         if mapping.turns:
-            found = [(x.get(mapping.role), x.get(mapping.text)) for x in value[mapping.turns]]
+            if not all(isinstance(x, dict) for x in value[mapping.turns]):
+                return _UNKNOWN
+            found = [(i, _text(x.get(mapping.role)), _text(x.get(mapping.text))) for i, x in enumerate(value[mapping.turns])]
         elif mapping.role:
-            found = [(value[mapping.role], value[mapping.text])]
+            turn = value[mapping.turn]
+            number = turn if isinstance(turn, int) and -(1 << 63) <= turn < 1 << 63 else None
+            return mapping.name, [(number, _text(value[mapping.role]), _text(value[mapping.text]))]
         else:
-            found = [(role, value[field]) for role, field in mapping.fixed if value[field]]
-        as_text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x)
-        return mapping.name, [(ROLES.get(as_text(r), as_text(r)), as_text(t)) for r, t in found]
+            filled = [(role, x) for role, field in mapping.fixed if (x := _text(value[field]))]
+            found = [(i, role, x) for i, (role, x) in enumerate(filled)]
+        return mapping.name, [(i, ROLES.get(role, role), x) for i, role, x in found]
+    except (ValueError, RecursionError, KeyError, TypeError):
+        return _UNKNOWN
+
+
+def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """``conv_id, turn, role, text, layout`` of JSON records (columns conv_id and ``record``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for conv_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                layout, found = turns(text)
-                rows += [{"conv_id": conv_id, "turn": i, "role": r, "text": t, "layout": layout} for i, (r, t) in enumerate(found)]
-            schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for some in together(batch, 1):
+                rows = []
+                for conv_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    layout, found = record_turns(text, mappings)
+                    rows += [{"conv_id": conv_id, "turn": i, "role": r, "text": t, "layout": layout} for i, r, t in found]
+                yield pa.RecordBatch.from_pylist(rows, _TURNS_ARROW)
 
     return records.select(F.col("conv_id").cast("long"), F.col(record).cast("string")).mapInArrow(run, _TURNS)
 

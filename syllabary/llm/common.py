@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of the Arrow batches between Spark and its Python workers, and of texts that a worker looks at together: both sides of
 #: the pipe hold a batch outside the heap, and array operations need about forty times the bytes they look at.
 BATCH, TOGETHER = 8 << 20, 1 << 20
+#: A key is hot with more than one in ``HOT`` of all rows, so there are at most so many hot keys; each is dealt over ``SALTS`` tasks.
+HOT, SALTS = 2000, 64
 
 _own_folder: list[str] = []
 
@@ -84,3 +86,18 @@ def together(batch: pa.RecordBatch, *texts: int, most: int = TOGETHER, rows: int
         stop = min(max(int(np.searchsorted(ends, before + most, side="right")), start + 1), start + rows)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def hot_keys(counted: DataFrame, key: str, rows: int) -> DataFrame:
+    """The keys of ``counted`` (a row a key, with ``n`` rows of ``rows`` in all) that are hot: ``HOT`` at most, so they are broadcast."""
+    return F.broadcast(counted.filter(F.col("n") > F.lit(rows) / HOT).select(F.col(key).alias("hot_key")).distinct())
+
+
+def salted_join(many: DataFrame, one: DataFrame, on: list[str], key: str, hot: DataFrame, deal: list[str]) -> DataFrame:
+    """``many`` with the row of ``one`` that has its ``on``. Rows of a hot ``key`` are dealt by ``deal`` over many tasks, to each of
+    which its row of ``one`` is copied; others meet under one salt. A sort-merge join at every size."""
+    left = many.join(hot, F.col(key) == F.col("hot_key"), "left")
+    left = left.withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int"))).drop("hot_key")
+    salts = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    right = one.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.explode(salts)).drop("hot_key")
+    return left.hint("merge").join(right, [*on, "salt"]).drop("salt")

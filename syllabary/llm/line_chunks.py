@@ -13,8 +13,8 @@ are laid out, is the union of such runs that stand there too; so all of it goes,
 As such runs overlap, SHA-256 digests of runs and chunks are compared there, in place of their bytes.
 
 DataFrame functions only. 64-bit hashes and lengths of chunks are counted first, and only chunks whose hash repeats travel with
-their bytes for the comparison. No group is gathered: counts and first places are aggregates, hot chunks meet their group's
-single row in an ordinary equi-join, which Spark splits where it is skewed.
+their bytes for the comparison. No group is gathered: counts and first places are aggregates, and rows meet their group's
+single row in an equi-join, in which chunks that are very common are salted.
 
 Null and empty texts have no chunks and stay as they are; rows equal in doc_id and text lose the same lines (they count as one
 place); a null doc_id comes before all others; an empty table gives an empty table; other columns are kept,
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syllabary.llm.common import WORD, Scratch, text_of
+from syllabary.llm.common import WORD, Scratch, hot_keys, salted_join
 
 
 def line_hash(line: Column) -> Column:
@@ -90,6 +90,14 @@ def run_places(docs: DataFrame, over: int) -> DataFrame:
     return rows.select("doc", "row_hash", F.inline(F.array_compact(F.array(F.when(there, forward), F.when(back, backward)))))
 
 
+_ROW = ["id0", "no_id", "h0"]
+
+
+def _row(doc: Column, text_hash: Column) -> tuple[Column, Column, Column]:
+    """What rows of one document share, as keys that a join can hash: no id is another key than any id."""
+    return F.coalesce(doc.cast("long"), F.lit(0)).alias("id0"), doc.isNull().alias("no_id"), text_hash.alias("h0")
+
+
 def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4, runs_over: int | None = None) -> DataFrame:
     """``docs`` without repeated chunks, and with ``runs_over`` without repeated runs of more words: its columns with the new
     ``text`` (and ``n_chars``, where there is one), and ``removed_lines``, the numbers of the lines removed, counted from 0."""
@@ -97,29 +105,35 @@ def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4, runs
     names = [c for c in docs.columns if c != "removed_lines"]
     chunks = chunk_places(docs, long_words, divisor, summed=runs_over is not None)
     places = scratch.keep(chunks if runs_over is None else chunks.unionByName(run_places(docs, runs_over)), "places")
-    again = places.groupBy("hash", "bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    suspects = places.hint("merge").join(again, ["hash", "bytes"]).groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "length", "hash")).alias("found"))
-    # The bytes of the suspects alone: one shuffle of the texts against the documents that hold any.
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("text").alias("h0"), "text")
-    # Sort-merge at every size: how many documents are suspect grows with the input, so none of these sides is broadcast.
-    held = texts.hint("merge").join(suspects.select(F.coalesce("doc", F.lit(-1)).alias("id0"), F.col("row_hash").alias("h0"), "doc", "found"), ["id0", "h0"])
+    # A hash with one place alone, in however many equal rows, is no repeat.
+    place = F.xxhash64("doc", F.col("doc").isNull(), "row_hash", "start")
+    counted = places.groupBy("hash", "bytes").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+    again = scratch.keep(counted.filter("low < high").select("hash", "bytes", "n"), "again")
+    hot = hot_keys(again, "hash", places.count())
+    found = salted_join(places, again.drop("n"), ["hash", "bytes"], "hash", hot, ["doc", "row_hash", "start"])
+    suspects = found.groupBy("doc", "row_hash").agg(F.collect_set(F.struct("start", "length", "hash")).alias("found"))
+    # The bytes of the suspects alone: one shuffle of the texts against the documents that hold any. Sort-merge at every size: how
+    # many documents are suspect grows with the input, so none of these sides is broadcast.
+    texts = docs.select(*_row(F.col("doc_id"), F.xxhash64("text")), "text")
+    held = texts.hint("merge").join(suspects.select(*_row(F.col("doc"), F.col("row_hash")), "doc", "found"), _ROW)
     held = held.withColumn("parts", F.split("text", "\n")).select("doc", "h0", "parts", F.inline("found"))
     chunk = F.array_join(F.slice("parts", F.col("start") + 1, F.col("length")), "\n")
     if runs_over is not None:  # runs overlap: their bytes would be many times the text's
         chunk = F.unhex(F.sha2(chunk, 256))
     held = scratch.keep(held.select("doc", "h0", "start", "length", "hash", chunk.alias("chunk")), "held")
     scratch.drop("places")
-    first = F.min(F.struct("doc", "h0", "start"))
-    groups = held.groupBy("hash", "chunk").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = held.hint("merge").join(groups, ["hash", "chunk"])  # equal hash and equal bytes
+    at = F.struct("doc", "h0", "start")
+    groups = held.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    groups = groups.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    later = salted_join(held, groups, ["hash", "chunk"], "hash", hot, ["doc", "h0", "start"])  # equal hash and equal bytes
     # The first place stays, and so does what overlaps it: of a line that is said on and on, one passage is left.
     same = F.struct("doc", "h0").eqNullSafe(F.struct("first.doc", "first.h0"))
     later = later.filter(~(same & (F.col("start") < F.col("first.start") + F.col("length"))))
-    gone = later.groupBy(F.coalesce("doc", F.lit(-1)).alias("id0"), "h0").agg(F.collect_set(F.struct("start", "length")).alias("gone"))
+    gone = later.groupBy(*_row(F.col("doc"), F.col("h0"))).agg(F.collect_set(F.struct("start", "length")).alias("gone"))
     gone = scratch.keep(gone, "gone")
-    scratch.drop("held")
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.xxhash64("text").alias("h0"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    rows = rows.hint("merge").join(gone, ["id0", "h0"], "left")
+    scratch.drop("held", "again")
+    rows = docs.select(*_row(F.col("doc_id"), F.xxhash64("text")), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = rows.hint("merge").join(gone, _ROW, "left")
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["length"] - 1)))))
     rows = rows.withColumn("numbers", F.coalesce(numbers, F.array().cast("array<int>")))
     rows = rows.withColumn("parts", F.when(F.size("numbers") > 0, F.split("row.text", "\n")))

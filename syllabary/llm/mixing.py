@@ -170,15 +170,19 @@ def taken_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     names = docs.columns
     runs = mix.spans.groupBy("place", "first", "round").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("mix_runs"))
     runs = runs.select(F.col("place").alias("p"), F.col("first").alias("f"), "round", "mix_runs")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     found = mix.documents.filter("size > 0").join(runs, (F.col("place") == F.col("p")) & (F.col("first") == F.col("f")))
-    # Equal rows are told apart by their number among their equals, so both sides are dealt by (doc_id, row hash) once.
-    found = found.select(F.coalesce("doc_id", F.lit(-1)).alias("mix_id"), F.col("row_hash").alias("mix_hash"), "place", "first", "round", "mix_runs")
-    found = found.withColumn("mix_n", F.dense_rank().over(Window.partitionBy("mix_id", "mix_hash").orderBy("place", "first")))
-    marked = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("own_id"), _row_hash(docs).alias("own_hash"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    marked = marked.withColumn("own_n", F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy(F.lit(1))))
-    on = (F.col("own_id") == F.col("mix_id")) & (F.col("own_hash") == F.col("mix_hash")) & (F.col("own_n") - F.col("mix_n") == 0)
+    # Equal rows are told apart by their number among their equals. Documents and what is taken of them stand in one table, dealt
+    # by (doc_id, row hash) once: two windows over that number them and hand each document's row to what is taken of it.
+    key = lambda doc, h: (F.coalesce(doc.cast("long"), F.lit(-1)).alias("id0"), h.alias("h0"))
+    found = found.select(*key(F.col("doc_id"), F.col("row_hash")), F.lit(1).alias("side"), "place", "first", "mix_runs", F.lit(None).cast(docs.select(row).schema["row"].dataType).alias("row"))
+    marked = docs.select(*key(docs["doc_id"], _row_hash(docs)), F.lit(0).alias("side"), F.monotonically_increasing_id().alias("place"), F.lit(0).cast("long").alias("first"), F.lit(None).cast(found.schema["mix_runs"].dataType).alias("mix_runs"), row)
+    both = marked.unionByName(found)
+    both = both.withColumn("number", F.dense_rank().over(Window.partitionBy("id0", "h0", "side").orderBy("place", "first")))
+    own = Window.partitionBy("id0", "h0", "number").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("row", F.first("row", ignorenulls=True).over(own)).filter("side = 1")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    joined = marked.join(found, on).withColumn("words", words)
+    joined = both.withColumn("words", words)
     text = F.array_join(F.flatten(F.transform("mix_runs", lambda r: F.slice("words", (r["word"] + 1).cast("int"), r["n"].cast("int")))), "")
     out = [F.ltrim(text).alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
     return joined.select(*out)

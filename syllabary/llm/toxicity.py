@@ -39,6 +39,8 @@ WINDOW = 6
 #: Bounds of what a model takes from the labelled rows: entries of its lexicon, rows of its logistic fit, labelled rows in all
 #: (the first by a hash of their ids; the ids are broadcast).
 MOST_TERMS, MOST_ROWS, MOST_LABELLED = 2000, 20_000, 50_000
+#: States of the automaton that a worker keeps before it begins anew.
+MOST_STATES = 20_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¿¡"
 
 
@@ -84,6 +86,10 @@ class Matcher:
             self.term[at] = (entry, weight, budget)
             for p in path:
                 self.below[p] = max(self.below[p], budget)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all states but the first."""
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -129,6 +135,8 @@ class Matcher:
                 break
             if "" in node:
                 return node[""]
+        if len(self.sets) > MOST_STATES:
+            self.clear()
         state, moves = self.begin, self.moves
         for c in word:
             state = moves[state].get(c) if c in moves[state] else self._step(state, c)
@@ -265,7 +273,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     best = forms.filter(low >= 0.4).orderBy(F.desc(low), F.desc("toxic"), "form").limit(MOST_TERMS)
     learnt = choose_entries([(r["form"], r["toxic"], r["clean"]) for r in best.collect()], sizes.get(1, 0), sizes.get(0, 0))
     entries = tuple(sorted({**dict.fromkeys(INSULTS, 0.9), **learnt}.items()))
-    sample = scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS).select("text", "label"), "sample")
+    # The bound of the sample is found among hashes of ids; no text leaves its task.
+    ranked = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(MOST_ROWS)
+    last = ranked.agg(F.max("h")).first()[0]
+    sample = scratch.keep(known.filter(F.xxhash64("doc_id") <= F.lit(last)).select("text", "label"), "sample")
     open_model = Model(entries, frozenset(), tuple(_PRIOR))
     misspelt = sample.filter("label = 0").mapInArrow(_misspelt(open_model), "term string").groupBy("term").agg(F.count("*").alias("n"))
     most = 0.0003 * sample.filter("label = 0").count()

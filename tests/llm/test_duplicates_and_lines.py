@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from syllabary.llm import graphs, line_chunks, mixing, near_dups, shingles
-from syllabary.llm.common import Scratch
+from syllabary.llm.common import Scratch, hot_keys, salted_join, together
 
 
 def words_of(n: int, seed: int) -> list[str]:
@@ -97,6 +99,66 @@ def test_repeated_chunks_go_but_for_the_first(spark):
     assert line_chunks.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_no_passage_is_lost_between_null_and_other_ids(spark):
+    passage = "\n".join(" ".join(words_of(60, s)) for s in (7, 8))
+    for ids in ((None, -1), (None, 0), (-1, 0)):
+        for over in (None, 50):
+            df = spark.createDataFrame([(i, passage) for i in ids], "doc_id long, text string")
+            assert sorted(r["text"] for r in line_chunks.remove_repeats(df, runs_over=over).collect()) == ["", passage]
+
+
+def test_equal_rows_cost_what_they_are(spark):
+    passage = "\n".join(" ".join(words_of(60, s)) for s in (7, 8))
+    equal = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(passage).alias("text"))
+    other = spark.createDataFrame([(9, passage), (10, "own")], "doc_id long, text string")
+    begun = time.perf_counter()
+    rows = {(r["doc_id"], r["text"]): r["n"] for r in line_chunks.remove_repeats(equal.union(other)).groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
+    assert rows == {(7, passage): 100_000, (9, ""): 1, (10, "own"): 1} and time.perf_counter() - begun < 90
+
+
+def test_hot_keys_are_salted(spark):
+    many = spark.range(5000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = many.groupBy("k").agg(F.count("*").alias("n"))
+    hot = hot_keys(one, "k", 5000)
+    joined = salted_join(many, one, ["k"], "k", hot, ["v"])
+    assert joined.columns == ["k", "v", "n"] and joined.count() == 5000 and joined.filter("k = -1 and n = 4000").count() == 4000
+    assert [r["hot_key"] for r in hot.collect()] == [-1]
+
+
+def test_rows_of_one_id_link_their_classes(spark):
+    a, b = " ".join(words_of(30, 1)), " ".join(words_of(30, 2))
+    df = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (6, " ".join(words_of(30, 3)))], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dups.near_duplicates(df).collect()} == {(1, 1), (2, 1), (5, 1), (6, 6)}
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = [" ".join(words_of(400, 3)).encode(), b"x" * 5000 + b" y", b"", b" \n", " ".join(words_of(30, 4)).encode()]
+    whole = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    monkeypatch.setattr(shingles, "SPARE", 16)
+    monkeypatch.setattr(shingles, "_powers", [])
+    pieces = shingles.word_hashes(texts)
+    assert np.array_equal(whole[0], pieces[0]) and whole[1].tolist() == pieces[1].tolist() == [400, 2, 0, 0, 30]
+    assert len(shingles._powers[0][0]) == 80
+
+
+def test_slices_are_bounded_in_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n is not None else None for n in (3, 0, None, 50, 4, 4, 4)])], names=["t"])
+    assert [len(x) for x in together(batch, 0, most=8)] == [3, 1, 2, 1] and [len(x) for x in together(batch, 0, rows=2)] == [2, 2, 2, 1]
+    assert list(together(batch.slice(0, 0), 0)) == []
+
+
+def test_a_long_text_takes_bounded_memory(spark):
+    """20 MB of one text, through sets, scores and counts."""
+    from syllabary.llm import quality
+
+    text = " ".join(words_of(500, 11)) + " "
+    df = spark.createDataFrame([(1, text * 6000), (2, text * 6000 + "end"), (3, "short one")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dups.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    model = quality.Model(np.zeros(1 << 15), 0.0)
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(df, model, ["doc_id"]).collect()} == {1: 3_000_000, 2: 3_000_001, 3: 2}
+
+
 def test_repeated_runs_of_short_lines_go_whole(spark):
     rng, rows, filler = random.Random(5), [], iter(range(10**6))
     passages = [[" ".join(words_of(rng.randint(52 // n, 49), 100 * n + k)) for k in range(n)] for n in (2, 3, 4, 5, 6)]

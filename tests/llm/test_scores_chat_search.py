@@ -79,7 +79,7 @@ def test_quality_keeps_good_texts(spark):
     assert all(found[i]["kept"] == bool(i % 5) for i in range(200)) and found[500]["base_failed"] and found[501]["score"] == 0
     assert quality.judge(docs.limit(0), model, ["doc_id"]).count() == 0
     # The score is the mean log ratio of the counted features.
-    features = quality._features([rows[1][1].encode()])[0]
+    features = quality._features([rows[1][1].encode()], len(model.ratios))[0]
     assert found[1]["score"] == pytest.approx(float(model.ratios[features].mean()))
 
 
@@ -155,6 +155,89 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    vectors = [(0, [1e300, 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [float(1 << 30), 1.0]), (3, [float(1 << 30), 1.5]), (4, [-float(1 << 30), 1.0]), (5, [1e300, 0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2)
+    whole, found = {i: top_k.integers(v) for i, v in vectors}, {}
+    for r in top_k.top_k(df, F.col("vec_id") % 50 == 0, k=5).orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 50):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert found[q] == [(i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, i in want]
+    numbers = [-(10**40), -256, -9, 0, 7, 10, 255, 10**30]
+    assert sorted(numbers, key=top_k.sortable) == numbers
+
+
+def test_layouts_with_other_fields_and_odd_records(spark):
+    records = [
+        json.dumps({"id": 1, "source": {"x": 2}, "messages": [{"role": "user", "content": "q", "weight": 0}, {"role": "assistant", "content": "a"}]}),
+        json.dumps({"system": "s", "instruction": "q", "input": None, "output": "a", "id": 3}),
+        '{"prompt": "\\ud800 q", "response": "\\ud83d\\ude00"}', "[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000, '{"messages": []}', "[]", "", '{"messages": ["x"]}',
+        '{"messages[].role": 1, "messages[].content": 2}', '{"conv_id": 5, "turn": 4, "role": "human", "text": "t", "more": 1}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    found = {}
+    for r in chat.canonical_turns(df).orderBy("conv_id", "turn").collect():
+        found.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    unknown = [(None, None)]
+    assert found == {
+        0: [("user", "q"), ("assistant", "a")], 1: [("system", "s"), ("user", "q"), ("assistant", "a")], 2: [("user", "\ufffd q"), ("assistant", "\U0001f600")],
+        3: unknown, 4: unknown, 6: unknown, 7: unknown, 8: unknown, 9: unknown, 10: [("human", "t")],
+    }
+    nested = spark.createDataFrame([(7, [("human", "q", 1), ("gpt", None, 2)], "x"), (8, [], "x"), (9, None, "x")], "conv_id long, conversations array<struct<from:string,value:string,n:int>>, id string")
+    assert sorted(map(tuple, chat.turn_rows(nested).collect())) == [(7, 0, "user", "q"), (7, 1, "assistant", "")]
+    flat = spark.createDataFrame([(1, "q", "", "a", 9)], "conv_id long, instruction string, input string, output string, n int")
+    assert sorted(map(tuple, chat.turn_rows(flat).collect())) == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turn_rows(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_quality_cut_bears_wrong_labels():
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(1, 0.2, 3000), rng.normal(-2, 0.3, 800)
+    cut = quality.best_cut(good, bad)
+    assert bad.max() < cut < good.min()
+    noisy = quality.best_cut(np.append(good, [-3.0, -2.0]), np.append(bad, [1.1, 0.9]))
+    assert bad.max() <= noisy <= good.min()
+    assert quality.best_cut(np.array([1.0]), np.array([0.0])) == 0.5
+    assert [quality.buckets_for(n) for n in (0, 65_536, 65_538, 10**9)] == [1 << 15, 1 << 15, 1 << 16, 1 << 21]
+
+
+def test_quality_against_plain_counts(spark):
+    """Learning and verdict against a dictionary of features, with no array operations."""
+    from syllabary.llm import shingles
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("Lorem ipsum dolor 12% sit amet sit sit".split()) for _ in range(rng.randint(20, 60)))) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choice("x$$ 99 %%a".split()) for _ in range(30))) for i in range(20)] + [(200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i, i < 60) for i in (*range(0, 60, 2), *range(100, 120, 2))], "doc_id long, trusted boolean")
+    size = quality.FEWEST // 4
+
+    def features(text):
+        import re
+
+        words, one = (text or "").split(), lambda w, low=True: int(shingles.word_hashes([w.encode()], low)[0][0])
+        shapes = [re.sub(r"([Aa9x!-/:-@\[-`{-~])\1+", r"\1", "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in w)) for w in words]
+        pair = lambda a, b: 1 if a == b else int(shingles.mixed(np.array([(one(a) * 3 + one(b) + 1) % 2**64], np.uint64))[0])
+        return [one(w) % (2 * size) for w in words] + [2 * size + pair(a.lower(), b.lower()) % size for a, b in zip(words, words[1:], strict=False)] + [3 * size + one(s, False) % size for s in shapes]
+
+    every = {i: features(t) for i, t in rows}
+    raw, target = np.full(4 * size, 0.5), np.full(4 * size, 0.5)
+    for i, own in every.items():
+        for f in own:
+            raw[f] += 1
+            target[f] += i < 60 and i % 2 == 0
+    model = quality.learn(docs, trusted)
+    ratios = np.clip(np.log(target / target.sum() * raw.sum() / raw), -6, 6)
+    assert np.allclose(model.ratios, ratios)
+    found = {r["doc_id"]: r for r in quality.judge(docs, model, ["doc_id"]).collect()}
+    for i, own in every.items():
+        want = np.mean([ratios[f] for f in own]) if own else 0.0
+        assert found[i]["score"] == pytest.approx(want)
+        assert found[i]["kept"] == (not found[i]["base_failed"] and want >= model.threshold)
+
+
 def test_pipeline_stages_return_documents(spark):
     import corpus_pipeline
 
