@@ -7,7 +7,7 @@ the columns of ``documents``. ``run`` writes each stage as Parquet in the shared
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syllabary.llm import line_chunks, mixing, near_dups, packing, quality
@@ -23,10 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are judged where they lie and go on whole, so repeated and null doc_ids need no join.
     """
     trusted = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("trusted")).filter("trusted is not null")
-    # Under names of their own, so that no column of docs can be taken for one of the verdict's.
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(docs.columns)], "text")
-    judged = quality.judge(carried, quality.learn(docs, trusted), carried.columns[:-1])
-    return judged.filter("kept").select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # Under names of their own, so that no column of docs can be taken for one of the verdict's; the text goes as it is called.
+    names = [c if c == "text" else f"carried_{i}" for i, c in enumerate(docs.columns)]
+    carried = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    judged = quality.judge(carried, quality.learn(docs, trusted), names)
+    return judged.filter("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +38,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each near-duplicate group at a similarity of 0.8."""
+    """One document, the one with the smallest doc_id, of each near-duplicate group at a similarity of 0.8.
+
+    Rows that share a doc_id are one group, of which the first by text hash stays; rows without one are in no group and stay.
+    """
     groups = near_dups.near_duplicates(docs, percent=80)
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     # How many go grows with the input, so they are never broadcast.
-    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    named = docs.filter("doc_id is not null").hint("merge").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    place = max(docs.columns, key=len) + "_place"  # no column has this name
+    first = named.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    return first.filter(F.col(place) == 1).drop(place).unionByName(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
