@@ -2,12 +2,13 @@
 
 Only what a tokenizer of markup must see runs in Python, as Arrow-batched functions of one page; cleaning, sections and details
 are built from column functions. Markdown here is the subset that pages of a catalogue use: headings, paragraphs, lists, links,
-line breaks and code.
+line breaks, tables as lines of cells, preformatted lines between fences, and code.
 """
 
 from __future__ import annotations
 
 import textwrap
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -16,30 +17,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syllabary.functions.text import TAIL_LINE, YEAR_HEADING, course_details, let, normalize_lines, strip
+from syllabary.functions.text import TAIL_LINE, YEAR_HEADING, clean, course_details, let, normalize_lines, strip
 
-_SKIPPED = {"script", "style", "head", "template", "noscript"}
-_BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "ul", "ol", "table", "tr", "blockquote", "form"}
+_SKIPPED = {"script", "style", "template", "noscript", "title"}
+_BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "table", "tr", "blockquote", "form", "dl", "dt", "dd"}
 
 
 class _Markdown(HTMLParser):
-    """Collects the Markdown of a page."""
+    """Collects the Markdown of a page, and what its head says of it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skipped = 0
+        self.skipped: list[str] = []
         self.lists: list[int | None] = []
         self.links: list[str] = []
+        self.fenced = 0
+        self.head = {"title": "", "canonical": "", "base": ""}
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIPPED:
-            self.skipped += 1
+        given = {k: v or "" for k, v in attrs}
+        if tag == "body":
+            self.skipped.clear()  # nothing of the head reaches into it
+        elif tag in _SKIPPED:
+            self.skipped.append(tag)
+        elif tag == "base":
+            self.head["base"] = self.head["base"] or given.get("href", "")
+        elif tag == "link" and "canonical" in given.get("rel", "").lower().split():
+            self.head["canonical"] = self.head["canonical"] or given.get("href", "")
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in ("ul", "ol"):
             self.lists.append(0 if tag == "ol" else None)
-            self.out.append("\n")
+            self.out.append("\n" if len(self.lists) > 1 else "\n\n")
         elif tag == "li":
             if self.lists and self.lists[-1] is not None:
                 self.lists[-1] += 1
@@ -48,45 +58,77 @@ class _Markdown(HTMLParser):
                 self.out.append("\n- ")
         elif tag == "br":
             self.out.append("\n")
+        elif tag == "pre":
+            self.fenced += 1
+            self.out.append("\n\n```\n")
+        elif tag == "code" and not self.fenced:
+            self.out.append("`")
         elif tag == "a":
-            self.links.append(dict(attrs).get("href") or "")
+            self.links.append(given.get("href", ""))
             self.out.append("[")
+        elif tag in ("td", "th"):
+            self.out.append("| ")
         elif tag in _BLOCKS:
-            self.out.append("\n\n")
+            self.out.append("\n" if tag == "tr" else "\n\n")
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
+            while tag in self.skipped and self.skipped.pop() != tag:
+                pass
+        elif tag == "head":
+            self.skipped.clear()
         elif tag == "a" and self.links:
             href = self.links.pop()
             self.out.append(f"]({href})" if href else "]")
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
             self.out.append("\n\n")
-        elif tag in _BLOCKS or (len(tag) == 2 and tag[0] == "h"):
+        elif tag == "pre" and self.fenced:
+            self.fenced -= 1
+            self.out.append("\n```\n\n")
+        elif tag == "code" and not self.fenced:
+            self.out.append("`")
+        elif tag in ("td", "th"):
+            self.out.append(" ")
+        elif tag == "tr":
+            self.out.append("|\n")
+        elif tag in _BLOCKS or (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()):
             self.out.append("\n\n")
 
     def handle_data(self, data):
-        if not self.skipped:
-            self.out.append(" ".join(data.split()) if data.strip() else " " if data else "")
+        if self.skipped:
+            if self.skipped == ["title"] and not self.head["title"]:
+                self.head["title"] = " ".join(data.split())
+        elif self.fenced:
+            self.out.append(data)
+        elif data:  # white space is one blank, also at the ends, where the text before or after it goes on
+            words = " ".join(data.split())
+            self.out.append((" " if data[0].isspace() else "") + words + (" " if words and data[-1].isspace() else ""))
 
 
-@F.pandas_udf(T.StringType())
-def _to_markdown(pages: pd.Series) -> pd.Series:
+def _converter(front: bool):
     def one(html: str | None) -> str | None:
         if html is None:
             return None
         page = _Markdown()
         page.feed(html)
         page.close()
-        return "".join(page.out)
+        said = "".join(f"{k}: {v}\n" for k, v in page.head.items() if v) if front else ""
+        return (f"---\n{said}---\n\n" if said else "") + "".join(page.out)
+
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(one)
+
+    return run
+
 
-    return pages.map(one)
+_plain, _with_front = _converter(False), _converter(True)
 
 
-def to_markdown(html: Column) -> Column:
-    """Markdown of a page, its blank lines squeezed."""
-    return normalize_lines(_to_markdown(html))
+def to_markdown(html: Column, front: bool = False) -> Column:
+    """Markdown of a page, its blank lines squeezed; ``front``: after a block of what its head says: title, canonical, base."""
+    return normalize_lines((_with_front if front else _plain)(html))
 
 
 def line_range(markdown: Column, begin: str | None = None, end: str | None = None) -> Column:
@@ -151,8 +193,15 @@ def details_of(parts: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
 
 @F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-    """A link resolved against its page; an empty link stays empty."""
-    return pd.Series([urljoin(b or "", h) if h else "" for b, h in zip(base, href, strict=True)])
+    """A link resolved against its page; an empty link stays empty, a malformed one is null."""
+
+    def one(b: str | None, h: str | None) -> str | None:
+        try:
+            return urljoin(b or "", h) if h else ""
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -161,10 +210,19 @@ def wrapped(label: pd.Series) -> pd.Series:
     return label.map(lambda x: None if x is None else "<br>".join(textwrap.wrap(x, 32)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: None if xs is None else [unescape(x) if "&" in x else x for x in xs])
+
+
+def _without_comments(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+
+
 def elements(html: Column, tag: str) -> Column:
-    """Texts of every element of a tag that holds no element of the same tag, cleaned."""
-    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    return F.transform(inner, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")))
+    """Texts of every element of a tag that holds no element of the same tag: comments left out, references decoded, cleaned."""
+    inner = F.regexp_extract_all(_without_comments(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    return F.transform(_decoded(F.transform(inner, lambda x: F.regexp_replace(x, "<[^>]+>", " "))), clean)
 
 
 def first_element(html: Column, tag: str) -> Column:
@@ -173,5 +231,5 @@ def first_element(html: Column, tag: str) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of every link, in order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href=["']([^"']*)["']"""), F.lit(1))
+    """Targets of every link outside comments, in order, their references decoded."""
+    return _decoded(F.regexp_extract_all(_without_comments(html), F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href=["']([^"']*)["']"""), F.lit(1)))

@@ -129,10 +129,10 @@ def p8_extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def p9_language_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first URL of each language of a host, where both languages are there."""
-    pages = table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^https?://([^/]+)/", 1))
-    listed = pages.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("page_id", "url")))["url"].alias("urls"))
-    found = text.first_by_language(F.col("urls"), r"https?://[^/]+/(en|fr)/.*", ("en", "fr"))
-    return listed.select("host", found.alias("f")).filter("f is not null").select("host", "f.en", "f.fr")
+    language = F.regexp_extract("url", "^https?://[^/]+/(en|fr)/.*$", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), language.alias("language"))
+    first = [F.min_by("url", F.when(F.col("language") == v, F.col("page_id"))).alias(v) for v in ("en", "fr")]
+    return pages.groupBy("host").agg(*first).filter("en is not null and fr is not null")
 
 
 @query("p10_child_url", r"SELECT page_id, regexp_replace(url, '/+$', '') || '/teachings' AS child FROM pages")
@@ -268,9 +268,10 @@ def p25_row_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p30_last_with_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last paragraph with a given prefix."""
     said = F.concat("o_orderstatus", F.lit(": "), F.col("o_orderkey").cast("string"))
-    parts = F.array_sort(F.collect_list(F.struct("o_orderkey", said.alias("said"))))["said"]
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(parts.alias("parts"))
-    return rows.select("o_custkey", text.last_with_prefix(F.col("parts"), "F: ").alias("last_f"))
+    # Of each customer's paragraphs the last one with the prefix is kept on the way; no list of them is made.
+    last = F.max_by(said, F.when(F.startswith(said, F.lit("F: ")), F.col("o_orderkey")))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(last.alias("last"))
+    return rows.select("o_custkey", text.last_with_prefix(F.array(F.coalesce("last", F.lit(""))), "F: ").alias("last_f"))
 
 
 @query("p31_url_key", "SELECT page_id, sha256(url) AS key FROM pages")
@@ -399,7 +400,8 @@ def a1_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values of each merged entity in the order in which they first come."""
     value = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")).otherwise("")
     rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_custkey", "o_orderstatus", "o_orderkey", value.alias("v"))
-    return rows.groupBy("year", "o_custkey", "o_orderstatus").agg(F.array_join(merge.first_seen(F.col("v"), F.col("o_orderkey")), ";").alias("priorities"))
+    seen = merge.first_seen_values(rows, ["year", "o_custkey", "o_orderstatus"], "v", "o_orderkey", "seen")
+    return seen.select("year", "o_custkey", "o_orderstatus", F.array_join("seen", ";").alias("priorities"))
 
 
 @query("a4_first_and_conflicts", """
@@ -452,10 +454,11 @@ def a11_group_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def a12_credit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credits of each entry, missing ones counting as none; entries without a department are named so."""
-    course = F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 12).alias("credits"))
-    entries = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(course).alias("courses"))
+    credits = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 12)
+    # Summed on the way, so an entry is one course with all its credits and no list of orders is made.
+    entries = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(credits).alias("credits"))
     name = F.when(F.col("o_custkey") % 4 == 0, " ").otherwise(F.concat(F.lit("D\n"), F.col("o_custkey").cast("string")))
-    return report.credit_totals(entries.select("o_custkey", name.alias("department"), "courses"), keep=("o_custkey",))
+    return report.credit_totals(entries.select("o_custkey", name.alias("department"), F.array(F.struct("credits")).alias("courses")), keep=("o_custkey",))
 
 
 @query("a13_grand_totals", "SELECT count(*) AS n, sum(p_size)::BIGINT AS credits, count(DISTINCT p_brand) AS departments FROM part")
@@ -483,12 +486,19 @@ def u2_union_of_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.filter("p_size < 20").drop("p_size").unionByName(part.filter("p_size > 10").drop("p_size")).distinct()
 
 
-@query("h_title_and_links", r"""
-    SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s+', ' ', 'g')) AS heading, array_to_string(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), ' ') AS links FROM pages
+def _decoded(column: str) -> str:
+    for said, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        column = f"replace({column}, {_value(said)}, {_value(meant)})"
+    return column
+
+
+@query("h_title_and_links", rf"""
+    SELECT page_id, trim(regexp_replace({_decoded("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")}, '\s+', ' ', 'g')) AS heading, array_to_string(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), ' ') || ' /x?a=1&b=2' AS links FROM pages
 """)
 def h_title_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first heading of a page and the targets of its links."""
-    return table(spark, sf_dir, "pages").select("page_id", markup.first_element(F.col("html"), "h1").alias("heading"), F.array_join(markup.links(F.col("html")), " ").alias("links"))
+    html = F.concat(F.lit("<!-- <h1>no</h1><a href='/no'> -->"), "html", F.lit("<a class='x' href='/x?a=1&amp;b=2'>x</a><!-- <a href='/no'>"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.first_element(html, "h1").alias("heading"), F.array_join(markup.links(html), " ").alias("links"))
 
 
 @query("h8_sections", r"""
@@ -503,14 +513,30 @@ def h8_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.sections(pages, ["conv_id"], "markdown").select("conv_id", "title", "body")
 
 
-@query("h5_html_to_text")
+def _markdown_sql() -> str:
+    """``markdown`` of the given pages, whose markup is regular enough for patterns."""
+    out = r"regexp_replace(regexp_replace(html, '^.*<body>', '', 's'), '<!--.*?-->', '', 'gs')"
+    steps = (
+        (r"[ \t\r\n]+", " "), (r'<a href="([^"]*)">([^<]*)</a>', r"[\2](\1)"), ("<li>", "\n- "), ("<h1>", "\n\n# "), ("<h2>", "\n\n## "), ("<br>", "\n"), ("</?b>|</li>|</?body>|</?html>", ""),
+        ("</?(p|div|article|nav|footer|ul|h1|h2)( [^>]*)?>", "\n\n"),
+    )
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, {_value(pattern)}, {_value(by)}, 'g')"
+    out = f"regexp_replace({_decoded(out)}, ' *\n *', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({out}, ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query("h5_html_to_text", f"SELECT page_id, url, markdown, nullif(trim(regexp_extract(markdown, '(?s)(?:^|\n)(# .*)$', 1)), '') AS body FROM (SELECT page_id, url, {_markdown_sql()} AS markdown FROM pages)")
 def h5_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown, from the first heading to the tail."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", markup.to_markdown(F.col("html")).alias("markdown"))
     return pages.select("page_id", "url", "markdown", markup.syllabus_text(F.col("markdown")).alias("body"))
 
 
-@query("p13_absolute_links")
+@query("p13_absolute_links", rf"""
+    WITH h AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS site, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages)
+    SELECT page_id, (i - 1)::INTEGER AS at, site || {_decoded("h[i]")} AS link, {_decoded("h[i]")} AS wrapped FROM h, unnest(range(1, len(h) + 1)) AS t(i)
+""")
 def p13_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of a page, resolved against it."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(markup.links(F.col("html"))).alias("at", "href"))

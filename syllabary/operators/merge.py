@@ -1,6 +1,7 @@
 """Entity merging: records of one (year, course, syllabus) become one, with ordered distinct attributes and conflicts.
 
-One shuffle by the entity's key; all reductions are aggregates. "First seen" always means the smallest of an explicit order
+One shuffle by the entity's key. ``merge_courses`` gathers the records of one course, of which there are as many as it has teachers;
+``first_seen_values`` keeps one row a distinct value instead, for groups of any size. "First seen" always means the smallest of an explicit order
 column, never the order of rows.
 """
 
@@ -30,6 +31,13 @@ def first_seen(value: Column, order: Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(pairs), lambda p: p["v"]))
 
 
+def first_seen_values(rows: DataFrame, entity: list[str], value: str, order: str, out: str) -> DataFrame:
+    """``entity, out``: the same for groups of any size: only each distinct value's first place is kept before values are gathered."""
+    firsts = rows.groupBy(*entity, value).agg(F.min(F.when(has_value(F.col(value)), F.col(order))).alias("first_place"))
+    pairs = F.collect_list(F.when(has_value(F.col(value)), F.struct("first_place", F.col(value).alias("v"))))
+    return firsts.groupBy(*entity).agg(F.array_sort(pairs)["v"].alias(out))
+
+
 def first_value(value: Column, order: Column) -> Column:
     """The first non-empty value of a group (an aggregate)."""
     return F.min_by(value, F.when(has_value(value), order))
@@ -40,12 +48,22 @@ def conflicting(value: Column) -> Column:
     return F.count_distinct(F.when(has_value(value), normalize_lines(value.cast("string")))) > 1
 
 
+def letters(n: Column) -> Column:
+    """A, B, ... Z, AA, ... ZZ, AAA, ... for 0, 1, ..., of any length."""
+    begin = F.struct(n.cast("long").alias("rest"), F.lit("").alias("said"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = F.struct((F.floor(s["rest"] / 26) - 1).cast("long").alias("rest"), F.concat(F.char(s["rest"] % 26 + 65), s["said"]).alias("said"))
+        return F.when(s["rest"] >= 0, more).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), begin, step, lambda s: s["said"])
+
+
 def suffixes(groups: DataFrame, within: list[str], by: str, out: str = "suffix") -> DataFrame:
     """``out``: empty where an entity has one group, else -A, -B, ... -Z, -AA, ... in the order of ``by``."""
     own = Window.partitionBy(*within)
     n = F.row_number().over(own.orderBy(by)) - 1
-    letters = F.concat(F.when(n >= 26, F.char(F.floor(n / 26) + 64)).otherwise(""), F.char(n % 26 + 65))
-    return groups.withColumn(out, F.when(F.count("*").over(own) == 1, "").otherwise(F.concat(F.lit("-"), letters)))
+    return groups.withColumn(out, F.when(F.count("*").over(own) == 1, "").otherwise(F.concat(F.lit("-"), letters(n))))
 
 
 def merge_variants(preferred: DataFrame, other: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

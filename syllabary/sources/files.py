@@ -35,9 +35,8 @@ def head(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
     return rows if limit <= 0 else rows.orderBy(*order).limit(limit)
 
 
-
-
 def _decode(batches):
+    """(path, JSON, error) of (path, YAML) rows."""
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
@@ -75,6 +74,35 @@ def read_records(spark: SparkSession, folder: str, pattern: str = "teaching-*.ym
     return record.select(F.url_decode(F.col("parts")[0]).alias("teacher_dir"), F.col("parts")[1].cast("int").alias("year_dir"), F.col("parts")[2].alias("file"), *fields, "error")
 
 
+def read_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The entries of YAML documents that are lists, fields of ``schema`` (numbers are cast from text, so no id turns into one), and
+    ``error`` for a document that is no list."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    decoded = whole.mapInPandas(_decode, "path string, json string, error string")
+    plain = T.StructType([T.StructField(f.name, T.StringType()) if isinstance(f.dataType, T.NumericType) else f for f in schema])
+    entries = F.when(F.startswith("json", F.lit("[")), F.from_json("json", T.ArrayType(plain)))
+    rows = decoded.withColumn("entries", entries).withColumn("error", F.coalesce("error", F.when(F.col("entries").isNull(), "not a list")))
+    rows = rows.select(F.explode_outer("entries").alias("r"), "error").filter("r is not null or error is not null")
+    return rows.select(*[F.col(f"r.{f.name}").try_cast(f.dataType).alias(f.name) if isinstance(f.dataType, T.NumericType) else F.col(f"r.{f.name}").alias(f.name) for f in schema], "error")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """A dictionary file of ``key: [aliases]``, lower-case and in the file's order; it is a vocabulary, so the driver holds it."""
+    rows = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), "value").mapInPandas(_decode, "path string, json string, error string").collect()
+    if len(rows) != 1 or rows[0]["error"]:
+        raise ValueError(f"{path}: " + (rows[0]["error"] if rows else "no file"))
+    found = json.loads(rows[0]["json"])
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: not a dictionary")
+    return {key: tuple(str(a).strip().lower() for a in aliases or ()) for key, aliases in found.items()}
+
+
+def write_merged(merged: DataFrame, path: str) -> None:
+    """Merged courses as JSON lines in a folder for each year, each with the name of its file, which ends with its letter."""
+    name = F.concat(F.lit("course-"), "course_id", "suffix", F.lit(".yml"))
+    merged.withColumn("file", name).write.mode("overwrite").partitionBy("year").json(path)
+
+
 def teaching_path(email, year, teaching_id):
     """Where a teaching's record goes: folder of the e-mail's local part, year, file."""
     return F.concat_ws("/", local_part(clean(email)), year.cast("string"), F.concat(F.lit("teaching-"), teaching_id, F.lit(".yml")))
@@ -85,6 +113,8 @@ def write_folders(rows: DataFrame, keys: list[str], path: str | None = None) ->
     spark = rows.sparkSession
     if path is None:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         path = f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/folders-{uuid.uuid4().hex}"
     rows.write.partitionBy(*keys).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

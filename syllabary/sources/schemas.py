@@ -9,6 +9,7 @@ def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
+# The columns of the interchange files and the fields of the records.
 CONTACT = T.StructType(_strings("uid", "name", "role", "department", "address", "email", "website", "vcard"))
 COURSE_HEADER = T.StructType(
     _strings(
@@ -16,6 +17,8 @@ COURSE_HEADER = T.StructType(
         "integrated_course", "campus", "degree_course", "lesson_period", "schedule_url", "virtuale_url",
     )
 )
+COURSE_BLOCK = T.StructType(_strings("course_title", "course_url", "integrated_course", "campus", "degree_course", "lesson_period", "schedule_url", "virtuale_url"))
+PERSON = T.StructType(_strings("role", "affiliation", "ssd"))
 SSD = T.StructType(_strings("name", "description"))
 TEACHER = T.StructType([*_strings("id", "name", "email", "website", "role", "affiliation"), T.StructField("ssd", SSD)])
 TITLE = T.StructType([*_strings("id", "name"), T.StructField("details", T.ArrayType(T.StringType()))])
@@ -34,3 +37,4 @@ TEACHING = T.StructType(
         T.StructField("syllabus", T.MapType(T.StringType(), PAGE)),
     ]
 )
+# End of fixed values.
