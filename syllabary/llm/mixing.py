@@ -177,7 +177,7 @@ def taken_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     key = lambda doc, h: (F.coalesce(doc.cast("long"), F.lit(-1)).alias("id0"), h.alias("h0"))
     found = found.select(*key(F.col("doc_id"), F.col("row_hash")), F.lit(1).alias("side"), "place", "first", "mix_runs", F.lit(None).cast(docs.select(row).schema["row"].dataType).alias("row"))
     marked = docs.select(*key(docs["doc_id"], _row_hash(docs)), F.lit(0).alias("side"), F.monotonically_increasing_id().alias("place"), F.lit(0).cast("long").alias("first"), F.lit(None).cast(found.schema["mix_runs"].dataType).alias("mix_runs"), row)
-    both = marked.unionByName(found)
+    both = marked.unionByName(found).repartition("id0", "h0")  # both windows need no other dealing
     both = both.withColumn("number", F.dense_rank().over(Window.partitionBy("id0", "h0", "side").orderBy("place", "first")))
     own = Window.partitionBy("id0", "h0", "number").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("row", F.first("row", ignorenulls=True).over(own)).filter("side = 1")
