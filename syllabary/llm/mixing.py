@@ -164,7 +164,7 @@ def accounts(mix: Mix) -> DataFrame:
 def taken_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     """Rows of ``docs`` (all its columns), one for each document and round in which words of it are taken, with those words.
 
-    The text keeps the white space before each word that follows one in the same block. Rows equal in doc_id, source and text
+    The text keeps the white space before each word but the first. Rows equal in doc_id, source and text
     take what each of their places in the stream takes.
     """
     names = docs.columns
@@ -184,5 +184,6 @@ def taken_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     joined = both.withColumn("words", words)
     text = F.array_join(F.flatten(F.transform("mix_runs", lambda r: F.slice("words", (r["word"] + 1).cast("int"), r["n"].cast("int")))), "")
-    out = [F.ltrim(text).alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
+    joined = joined.select("row", F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "").alias("taken_text"))
+    out = [F.col("taken_text").alias(c) if c == "text" else F.length("taken_text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
     return joined.select(*out)

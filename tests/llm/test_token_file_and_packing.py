@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -21,11 +22,15 @@ ROWS = [
 SCHEMA = "doc_id long, text string, ids string"
 
 
-def direct(name: str, text: str | None, end: int) -> np.ndarray:
+@functools.cache
+def library(name: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def direct(name: str, text: str | None, end: int) -> np.ndarray:
+    return np.array([*library(name).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @settings(max_examples=60, deadline=None)
