@@ -2,8 +2,8 @@
 
 A text is put into canonical form: lower case, copyright lines gone, punctuation and white space to single blanks, equivalent
 spellings to one. Its SHA-256 meets the digests of known licence texts and notices in a hash join. Entire texts are looked up, and
-so is every line as an entire text of its own, for the notices that documents carry. Known texts are a fixed list in this module
-(or the caller's, whose size is checked), put into canonical form by the same expressions, and broadcast.
+so is every line as an entire text of its own, for the notices that documents carry. Known texts are a fixed list, the short ones in
+this module and published long ones in ``license_texts`` (or the caller's, whose size is checked), put into canonical form by the same expressions, and broadcast.
 
 Null and empty texts, and texts of nothing but punctuation or copyright lines, match nothing; rows that repeat are each looked up;
 a null doc_id is carried through; an empty table gives no rows; columns besides doc_id and text are ignored.
@@ -11,6 +11,9 @@ a null doc_id is carried through; an empty table gives no rows; columns besides
 
 from __future__ import annotations
 
+import functools
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,10 +143,25 @@ _TEXTS = (
 )
 
 
+#: Where the appendix begins that tells how to apply a licence; texts are known with and without it.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+@functools.cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(license id, text) of the published texts in ``license_texts``, one file each; the file's name is the id."""
+    out = []
+    for file in sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda f: f.name):
+        key, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        terms, end, appendix = text.partition(TERMS_END)
+        out += [(key, text)] + ([(key, terms + end), (key, terms)] if appendix else [])
+    return tuple(out)
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(license id, text) of every known licence text and notice."""
     notices = [(key, form.format(name)) for key, names in _NAMES for name in names for form in _NOTICES]
-    return [*_TEXTS, *notices]
+    return [*_TEXTS, *full_texts(), *notices]
 
 
 def _let(x: Column, body) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -95,6 +96,15 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_published_texts_are_known_entire(spark):
+    rows = list(enumerate(licenses.full_texts()))
+    assert len({key for key, _ in licenses.full_texts()}) == 10
+    changed = lambda t: re.sub(r"\bLicense\b", "Licence", t).replace("\n", "\r\n  ").upper() + "\n\nCopyright 2021 Somebody Else\n"
+    df = spark.createDataFrame([(i, f(t)) for i, (_, t) in rows for f in (str, changed)] + [(99, rows[0][1][1] + " and one clause more")], "doc_id long, text string")
+    found = licenses.scan(df).collect()
+    assert all(r["license"] == rows[r["doc_id"]][1][0] for r in found if r["doc_id"] != 99) and [r["license"] for r in found if r["doc_id"] == 99] == [None]
+
+
 def test_short_texts_and_wrapped_notices(spark):
     bsd = licenses._bsd(3, "")[0]
     head = ' * Copyright 2020 A\n *\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n * more\n'
