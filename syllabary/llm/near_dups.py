@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabary.llm import shingles
-from syllabary.llm.common import Scratch, hot_keys, salted_join, text_of, together
+from syllabary.llm.common import Scratch, text_of, together
 from syllabary.llm.graphs import components
 
 #: Members of a cell, and of a block of outsiders in the last round.
@@ -127,10 +127,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     reps = classes.select(F.col("rep").alias("doc_id"), "ka").join(sets.select("doc_id", "ka", "n", "bands", "sketch"), ["doc_id", "ka"])
     reps = scratch.keep(reps.dropDuplicates(["doc_id", "ka"]), "reps")
     keyed = reps.select(F.explode("bands").alias("cell"), F.col("doc_id").alias("id"), "ka", "n")
-    shared = scratch.keep(keyed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    sizes = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = hot_keys(shared, "cell", sizes)
-    members = scratch.keep(salted_join(keyed, shared.withColumnRenamed("n", "size"), ["cell"], "cell", hot, ["id"]), "members")
+    shared = keyed.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
+    # The other side of this join and of those by cell below has a row a cell, so Spark splits a cell that is skewed.
+    members = scratch.keep(keyed.join(shared, "cell"), "members")
     involved = members.select(F.col("id").alias("doc_id"), "ka").distinct()
     sketches = scratch.keep(reps.join(involved, ["doc_id", "ka"], "left_semi").select(F.col("doc_id").alias("id"), "ka", "sketch"), "sketches")
     scratch.drop("reps")
@@ -147,8 +146,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             labelled = members.join(roots, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
         if turn:
             open_cells = labelled.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("cell")
-            labelled = scratch.keep(salted_join(labelled, open_cells, ["cell"], "cell", hot, ["id"]), f"open-{turn}")
-            members = labelled.drop("comp")
+            labelled = scratch.keep(labelled.join(open_cells, "cell"), f"open-{turn}")
+            scratch.drop("members")
         if most is not None:
             part = F.pmod(F.xxhash64("cell", "id", F.lit(turn)), F.ceil(F.col("size") / CELL))
             dealt = labelled.withColumn("probe", F.lit(False)).withColumn("part", part)
@@ -163,8 +162,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         found = both.mapInArrow(_verify(percent), "a long, b long")
         known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")) if roots is not None else links
         roots = components(known.union(found), scratch, f"turn-{turn}")
+        scratch.drop(f"pairs-{turn}")
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("ka", "kb", F.col("n").alias("size"), F.coalesce("root", "rep").alias("component"))
-    scratch.drop("shared", "members", "open-1", "sketches", "texts", "pairs-0", "pairs-1", "links")
+    scratch.drop("open-1", "sketches", "texts", "links")
     own = sets.select("doc_id", "n", F.col("ka").alias("ka0"), F.col("kb").alias("kb0"))
     on = (F.col("ka0") == F.col("ka")) & (F.col("kb0") == F.col("kb")) & (F.col("n") == F.col("size")) & F.col("doc_id").isNotNull()
     out = own.join(named, on, "left")
