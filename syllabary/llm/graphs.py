@@ -25,7 +25,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = large.join(lowest, F.col("b") == F.col("c")).select("m", F.explode(F.array("a", "b")).alias("v"))
         now = scratch.keep(_tidy(small.select(F.col("m").alias("a"), F.col("v").alias("b"))), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        # Equal sums, without overflow, of two 64-bit hashes of every edge: the edges are those of the turn before.
+        seen = now.agg(F.count("*"), *[F.sum(F.xxhash64(*x).cast("decimal(20,0)")) for x in (("a", "b"), ("b", "a", F.lit(1)))]).first()
         if seen == mark:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         at, mark = now, seen

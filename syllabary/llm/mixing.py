@@ -26,6 +26,8 @@ BUCKET, GROUP = 512, 4096
 #: Modulus of the arithmetic generators (prime) and their multipliers.
 PRIME, STEP, TURN = 2147483647, 48271, 69621
 ROUNDS = 8
+#: Sources of a mix: each shard draws from all of them, and a row for each is broadcast. More are an error, never left out.
+MOST_SOURCES = 20_000
 
 
 def _draw(x: Column, key: Column) -> Column:
@@ -144,6 +146,8 @@ class Mix:
         scratch = Scratch(docs.sparkSession, "mix")
         sizes = scratch.keep(streams(docs), "sizes")  # texts are read once
         self.sources = scratch.keep(targets(sizes, weights, share, repeats, block_words), "sources")
+        if (n := self.sources.count()) > MOST_SOURCES:
+            raise ValueError(f"{n} sources; a mix takes {MOST_SOURCES}: group them, as domains by kind")
         self.documents = scratch.keep(placed(sizes, self.sources), "documents")
         slots = draws(self.sources, shard_slots, repeats, seed)
         #: shard, place, round, block, first, word, n: words [word, word + n) of the document at ``first`` of source ``place``.
