@@ -29,7 +29,7 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|*$%&#]*")
 class ChunkTokenizer:
     """Encodes texts to little-endian unsigned 16-bit ids (32-bit for larger vocabularies)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -53,6 +53,7 @@ class ChunkTokenizer:
                 self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         # Whether line feeds and tabs are as good as blanks.
         self.drops_space = self.mark is not None and self._ids("\ta\n\n b\t \nc\n") == self._ids("a b c")
+        self.kept = kept
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -106,7 +107,7 @@ class ChunkTokenizer:
 
     def _learn(self, words: set[str]) -> list[str]:
         """Give every word an entry in the younger generation; those are returned that are too long to stay there."""
-        if len(self.new) > KEPT_CHUNKS:
+        if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
         missing = words.difference(self.new)
         if self.old:
@@ -159,8 +160,8 @@ def _blanks(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").split(" ")
 
 
-def load(path: str) -> ChunkTokenizer:
-    """The tokenizer of a file, once in each Python worker."""
+def load(path: str, kept: int = KEPT_CHUNKS) -> ChunkTokenizer:
+    """The tokenizer of a file, once in each Python worker; ``kept`` bounds the chunks of one generation of its lookup."""
     if path not in _loaded:
-        _loaded[path] = ChunkTokenizer(path)
+        _loaded[path] = ChunkTokenizer(path, kept)
     return _loaded[path]
