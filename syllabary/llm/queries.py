@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabary.llm import chat, licenses, line_chunks, mixing, near_dups, packing, quality, token_file, top_k, toxicity
+from syllabary.llm import centroids, chat, class_lm, licenses, line_chunks, mixing, near_dups, packing, quality, token_file, top_k, toxicity, whitening
 from syllabary.llm.common import Scratch, read
 
 QUERIES: dict = {}
@@ -266,3 +266,44 @@ def _blocks_sql() -> str:
 def op2_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look every block between blank lines up among the known licence texts and notices, so that wrapped ones are found."""
     return licenses.scan_blocks(read(spark, sf_dir, "documents"))
+
+
+@query("op11_class_lm")
+def op11_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a class-based model of those outside the held-out seventh, beside add-one counts of words."""
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return class_lm.score(read(spark, sf_dir, "documents"), seventh == 2)
+
+
+def _centroids_sql(k=16, rounds=3, width=64, scale=64) -> str:
+    """The clustering of ``centroids`` in SQL, its rounds written out; all numbers stay small enough to be exact."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+    norms{i} AS (SELECT number, list_transform(c, lambda x: x::DOUBLE) AS c, list_inner_product(list_transform(c, lambda x: x::DOUBLE), list_transform(c, lambda x: x::DOUBLE)) AS norm FROM centroids{i}),
+    near{i} AS (SELECT r, vec_id, v, min((CAST(list_inner_product(d, d) - 2 * list_inner_product(d, c) + norm AS BIGINT), number)) AS best FROM kept, norms{i} GROUP BY r, vec_id, v, d)""")
+        if i < rounds:
+            steps.append(f"""
+    sums{i} AS (SELECT number, place, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT best[2] AS number, unnest(v) AS x, unnest(range({width})) AS place FROM near{i}) GROUP BY number, place),
+    means{i} AS (SELECT number, list(x ORDER BY place) AS c FROM sums{i} GROUP BY number),
+    centroids{i + 1} AS (SELECT number, coalesce(m.c, o.c) AS c FROM centroids{i} o LEFT JOIN means{i} m USING (number))""")
+    return f"""
+    WITH kept AS (SELECT row_number() OVER () AS r, vec_id, v, list_transform(v, lambda x: x::DOUBLE) AS d FROM (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                  WHERE embedding IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+    centroids0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS number, v AS c FROM kept QUALIFY number < {k}),{','.join(steps)},
+    found AS (SELECT vec_id, best[2] AS number, best[1] AS distance FROM near{rounds})
+    SELECT vec_id, number::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY number)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256 FROM found JOIN centroids{rounds} USING (number)
+    """
+
+
+@query("op12_centroids", _centroids_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of 16 centroids over all vectors of 64 components, with the final assignment."""
+    return centroids.cluster(read(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64)
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector, and how far their covariance is from the identity."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), most=4, scale=256)
