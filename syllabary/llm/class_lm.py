@@ -45,10 +45,9 @@ CHUNK, CORE, BLOCK = 16 << 20, 1 << 14, 1 << 10
 CANDIDATE = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, ends array<long>, ids binary, words array<binary>, counts array<long>"
-_CHUNK_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
-)
+#: docs: three rows of longs, of each document the id, the end of its words in ids, and flags (1: held out, 2: without an id).
+_CHUNK = "chunk long, docs binary, ids binary, words array<binary>, counts array<long>"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
 _OCCURRENCES = "word binary, chunk long, place int, n long, codes binary"
 _FOUND = "chunk long, place int, c long, class int"
 
@@ -62,10 +61,11 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk() -> pa.RecordBatch:
         nonlocal made
         made += 1
-        ends = np.cumsum([len(x) for x in ids]).astype(np.int64)
+        flags = [h + 2 * (d is None) for d, h in zip(doc_ids, held, strict=True)]
+        docs = np.array([[d or 0 for d in doc_ids], np.cumsum([len(x) for x in ids]), flags], np.int64)
         learnt = [x for x, h in zip(ids, held, strict=True) if not h]
         counts = np.bincount(np.concatenate(learnt), minlength=len(numbers)) if learnt else np.zeros(len(numbers), np.int64)
-        row = [[task + made], [doc_ids], [held], [ends], [np.concatenate(ids).tobytes()], [list(numbers)], [counts]]
+        row = [[task + made], [docs.tobytes()], [np.concatenate(ids).tobytes()], [list(numbers)], [counts]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _CHUNK_ARROW, strict=True)], schema=_CHUNK_ARROW)
 
     for batch in batches:
@@ -111,10 +111,15 @@ class Core:
         return np.append(self.classes, self.k)[places]
 
 
-def training(held: pa.Scalar, ends: pa.Scalar, ids: pa.Scalar, end: int) -> np.ndarray:
+def unpacked(docs: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, ends of the words, flags) of a chunk's documents."""
+    return tuple(np.frombuffer(docs.as_buffer(), np.int64).reshape(3, -1))
+
+
+def training(docs: pa.Scalar, ids: pa.Scalar, end: int) -> np.ndarray:
     """The words of a chunk's training documents with ``end`` between, before and after them; only ``end`` without any."""
-    words, stops = np.frombuffer(ids.as_buffer(), np.int32), ends.values.to_numpy()
-    starts, keep = np.concatenate([[0], stops[:-1]]), ~held.values.to_numpy(zero_copy_only=False)
+    words, (_, stops, flags) = np.frombuffer(ids.as_buffer(), np.int32), unpacked(docs)
+    starts, keep = np.concatenate([[0], stops[:-1]]), flags % 2 == 0
     if not keep.all():
         words = words[np.repeat(keep, stops - starts)]
         sizes = (stops - starts)[keep]
@@ -123,7 +128,7 @@ def training(held: pa.Scalar, ends: pa.Scalar, ids: pa.Scalar, end: int) -> np.n
 
 
 def _core_counts(core: Core):
-    """(held, ends, ids, words) of chunks to counts: a row of packed counts for each block of core words, and for the class pairs.
+    """(docs, ids, words) of chunks to counts: a row of packed counts for each block of core words, and for the class pairs.
 
     Of a core word: the classes before it, those after it, and itself after itself.
     """
@@ -134,10 +139,10 @@ def _core_counts(core: Core):
         near, pairs, any_rows = np.zeros((size + 1, width), np.int64), np.zeros(k1 * k1, np.int64), False
         for batch in batches:
             for i in range(len(batch)):
-                held, ends, ids, words = (batch.column(c)[i] for c in range(4))
+                docs, ids, words = (batch.column(c)[i] for c in range(3))
                 place = np.append(core.places(words.values.to_pylist()), size)
                 kind = np.append(core.classes_of(place[:-1]), 0)
-                text = training(held, ends, ids, len(place) - 1)
+                text = training(docs, ids, len(place) - 1)
                 own, cls = place[text], kind[text]
                 for start in range(0, len(text) - 1, 1 << 20):  # pairs of neighbours, a million at a time
                     a, b = slice(start, min(start + (1 << 20), len(text) - 1)), slice(start + 1, min(start + 1 + (1 << 20), len(text)))
@@ -223,16 +228,16 @@ def _exchange(core: Core, pairs: np.ndarray, turn: int):
 
 
 def _occurrences(core: Core):
-    """(chunk, held, ends, ids, words, counts) of chunks to a row for each of their words: the codes of a word outside the core are a
+    """(chunk, docs, ids, words, counts) of chunks to a row for each of their words: the codes of a word outside the core are a
     byte for each neighbour in training text, the class before it, or 128 and the class after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                chunk, held, ends, ids, words, counts = (batch.column(c)[i] for c in range(6))
+                chunk, docs, ids, words, counts = (batch.column(c)[i] for c in range(5))
                 place = np.append(core.places(words.values.to_pylist()), len(core.words))
                 kind, n = np.append(core.classes_of(place[:-1]), 0), len(place) - 1
-                text = training(held, ends, ids, n)
+                text = training(docs, ids, n)
                 inner, cls = np.append(place[:-1] == len(core.words), False)[text], kind[text]
                 second, first = np.flatnonzero(inner[1:]) + 1, np.flatnonzero(inner[:-1])
                 word = np.concatenate([text[second], text[first]])
@@ -315,8 +320,7 @@ def _settle(core: Core, pairs: np.ndarray):
     return run
 
 
-_READY = "chunk long, doc_ids array<long>, held array<boolean>, ends array<long>, ids binary, c binary, class binary"
-_READY_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64())), ("ids", pa.binary()), ("c", pa.binary()), ("class", pa.binary())])
+_READY = "docs binary, ids binary, c binary, class binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,11 +329,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def ready() -> pa.RecordBatch:
         c, cls = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
-        columns = [*head.columns[:5], pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([cls.astype(np.uint8).tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, schema=_READY_ARROW)
+        columns = [*head.columns[1:3], pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([cls.astype(np.uint8).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _READY.split(", ")])
 
     for batch in batches:
-        place = batch.column(5).to_numpy(zero_copy_only=False)
+        place = batch.column(3).to_numpy(zero_copy_only=False)
         cuts = [0, *np.flatnonzero(place < 0).tolist(), len(batch)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
@@ -338,21 +342,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield ready()
                     head, parts, a = batch.slice(a, 1), [], a + 1
                 if a < b:
-                    parts.append((batch.column(6).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(7).slice(a, b - a).to_numpy(zero_copy_only=False)))
+                    parts.append(tuple(batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (4, 5)))
     if head is not None:
         yield ready()
 
 
 def _transitions(k: int):
-    """(held, ends, ids, class) of chunks to (a, b, n): how often class b follows class a in training text."""
+    """(docs, ids, class) of chunks to (a, b, n): how often class b follows class a in training text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
         for batch in batches:
             for i in range(len(batch)):
-                held, ends, ids, kinds = (batch.column(c)[i] for c in range(4))
+                docs, ids, kinds = (batch.column(c)[i] for c in range(3))
                 kind = np.append(np.frombuffer(kinds.as_buffer(), np.uint8), 0).astype(np.int64)
-                cls = kind[training(held, ends, ids, len(kind) - 1)]
+                cls = kind[training(docs, ids, len(kind) - 1)]
                 total += np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
@@ -401,14 +405,15 @@ def _score(model: Model):
             class_log = np.log10(np.maximum(model.totals, 1))
         for batch in batches:
             for i in range(len(batch)):
-                doc_ids, held, ends, ids, counts, kinds = (batch.column(c)[i] for c in range(6))
+                docs, ids, counts, kinds = (batch.column(c)[i] for c in range(4))
+                doc_ids, stops, flags = unpacked(docs)
                 c = np.append(np.frombuffer(counts.as_buffer(), np.int64), model.documents)
                 kind = np.append(np.frombuffer(kinds.as_buffer(), np.uint8), 0).astype(np.int64)
                 end = len(c) - 1
                 base = np.log10((c + 1) / (model.tokens + model.distinct + 1))
                 word = np.log10(np.maximum(c - model.discount, 0.1)) - class_log[kind]
                 after = np.where(c > 0, kind, k)  # the row of transitions after each word
-                after[end], stops = 0, ends.values.to_numpy()
+                after[end] = 0
                 text = np.insert(np.frombuffer(ids.as_buffer(), np.int32).astype(np.int64), stops, end)
                 stops = stops + np.arange(1, len(stops) + 1)
                 starts = np.concatenate([[0], stops[:-1]])
@@ -419,7 +424,7 @@ def _score(model: Model):
                 else:
                     score = np.zeros(len(text))
                 sums = [np.add.reduceat(x, starts) for x in (base[text], score, seen.astype(np.int64))]
-                columns = [doc_ids.values, held.values, pa.array(stops - starts), pa.array(sums[2]), pa.array(np.full(len(stops), model.tokens)), pa.array(sums[0]), pa.array(sums[1])]
+                columns = [pa.array(doc_ids, mask=flags >= 2), pa.array(flags % 2 == 1), pa.array(stops - starts), pa.array(sums[2]), pa.array(np.full(len(stops), model.tokens)), pa.array(sums[0]), pa.array(sums[1])]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
     return run
@@ -441,7 +446,7 @@ def score(docs: DataFrame, held_out: Column, k: int = 64, rounds: int = 5) -> Da
     core, best = Core({w: i for i, w in enumerate(top)}, classes, k), None
     tasks = max(4 * spark.sparkContext.defaultParallelism, 1)
     for turn in range(rounds + 1):
-        counted = chunks.select("held", "ends", "ids", "words").coalesce(tasks).mapInArrow(_core_counts(core), "block int, counts binary")
+        counted = chunks.select("docs", "ids", "words").coalesce(tasks).mapInArrow(_core_counts(core), "block int, counts binary")
         summed = counted.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_block_sums, "block int, counts binary")
         summed = scratch.keep(summed, f"counts-{turn}")
         packed = summed.filter("block = -1").select("counts").collect()  # one row of (k + 1)^2 counts
@@ -459,18 +464,19 @@ def score(docs: DataFrame, held_out: Column, k: int = 64, rounds: int = 5) -> Da
         if not top:
             break
     _, core, pairs = best
-    rows = chunks.select("chunk", "held", "ends", "ids", "words", "counts").mapInArrow(_occurrences(core), _OCCURRENCES)
+    rows = chunks.select("chunk", "docs", "ids", "words", "counts").mapInArrow(_occurrences(core), _OCCURRENCES)
     settled = rows.repartition(partitions(spark), "word").sortWithinPartitions("word").mapInArrow(_settle(core, pairs), _FOUND)
     found = scratch.keep(settled, "words")
     facts = {(r["class"], r["place"]): int(r["c"]) for r in found.filter("chunk = -1").groupBy("class", "place").agg(F.sum("c").alias("c")).collect()}  # 4 k rows
-    heads = chunks.select("chunk", "doc_ids", "held", "ends", "ids", F.lit(-1).alias("place"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("class"))
-    own = found.filter("chunk >= 0").select("chunk", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("doc_ids", "held", "ends", "ids")], "place", "c", "class")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    heads = chunks.select("chunk", "docs", "ids", F.lit(-1).alias("place"), none("long", "c"), none("int", "class"))
+    own = found.filter("chunk >= 0").select("chunk", none("binary", "docs"), none("binary", "ids"), "place", "c", "class")
     met = heads.unionByName(own).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "place")
     ready = scratch.keep(met.mapInArrow(_gather, _READY), "ready")
     scratch.drop("words", "chunks")
     total = np.zeros((k, k), np.int64)
-    for r in ready.select("held", "ends", "ids", "class").mapInArrow(_transitions(k), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # k^2 rows
+    for r in ready.select("docs", "ids", "class").mapInArrow(_transitions(k), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # k^2 rows
         total[r["a"], r["b"]] = r["n"]
     words, once, twice = (np.array([facts.get((mark, c), 0) for c in range(k)]) for mark in (-2, -3, -4))
     model = model_of(total, words, int(once.sum()), int(twice.sum()))
-    return ready.select("doc_ids", "held", "ends", "ids", "c", "class").mapInArrow(_score(model), SCORES)
+    return ready.mapInArrow(_score(model), SCORES)
