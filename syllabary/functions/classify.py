@@ -1,4 +1,11 @@
-"""Classification by a dictionary of aliases: the longest alias that a value contains decides."""
+"""Classification by a dictionary of aliases: the longest alias that a value contains decides.
+
+Small dictionaries are a literal expression. Dictionaries of any size are tables: ``contained`` finds which aliases stand in which
+values by equal pieces. An alias of ``GRAM`` characters or more is known by one of its pieces of that length, its anchor: the one
+that the fewest values hold, so that common pieces are no join keys unless an alias has no other. A shorter alias is its own
+anchor. Values meet the aliases whose anchors they hold, and each such pair is compared in full. Nothing is broadcast that Spark
+has not measured, and no value meets all aliases.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +14,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Aliases that a literal expression may hold; larger dictionaries go by ``classify_distinct``, whose table is joined.
+#: Aliases that a literal expression holds; larger dictionaries are joined as tables.
 MOST_LITERALS = 1000
+#: Characters of an anchor.
+GRAM = 4
+
+Dictionary = Mapping[str, tuple[str, ...] | list[str]]
 
 
-def checklist(dictionary: Mapping[str, tuple[str, ...] | list[str]]) -> list[tuple[str, str]]:
+def checklist(dictionary: Dictionary) -> list[tuple[str, str]]:
     """(alias, key), longest alias first, equal lengths in the dictionary's order; an alias of two keys is an error."""
     keys: dict[str, str] = {}
     for key, aliases in dictionary.items():
@@ -22,11 +33,10 @@ def checklist(dictionary: Mapping[str, tuple[str, ...] | list[str]]) -> list[tup
     return sorted(keys.items(), key=lambda x: -len(x[0]))
 
 
-def classify(x: Column, dictionary: Mapping[str, tuple[str, ...] | list[str]]) -> Column:
-    """The key of the longest contained alias, as a literal expression; null where there is none."""
+def classify(x: Column, dictionary: Dictionary) -> Column:
+    """The key of the longest contained alias, null where there is none, as a literal expression: for dictionaries of some hundred
+    aliases. ``classify_distinct`` takes dictionaries of any size."""
     ranked = checklist(dictionary)
-    if len(ranked) > MOST_LITERALS:
-        raise ValueError(f"{len(ranked)} aliases; use classify_distinct beyond {MOST_LITERALS}")
     if not ranked:
         return F.lit(None).cast("string")
     aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(k).alias("key")) for a, k in ranked])
@@ -34,20 +44,79 @@ def classify(x: Column, dictionary: Mapping[str, tuple[str, ...] | list[str]]) -
     return F.get(F.filter(aliases, lambda a: F.contains(value, a["alias"])), F.lit(0))["key"]
 
 
-def classify_distinct(df: DataFrame, column: str, dictionary: Mapping[str, tuple[str, ...] | list[str]], out: str) -> DataFrame:
-    """``df`` with the class of ``column`` in ``out``: each distinct value is looked up once, and the answers are joined back."""
+def _pieces(x: Column, lengths: list[int]) -> Column:
+    """The distinct pieces of the given lengths of a text."""
+    cut = lambda n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[cut(n) for n in lengths]))
+
+
+def contained(values: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``value, found``: the aliases (of ``aliases``, a row each) that stand in each value (of ``values``, a row each, distinct).
+
+    Only a hash of a value travels with its pieces, and the value itself once with all aliases whose anchors it holds, so long texts
+    are values too. Null values and aliases are left out, and so are values without an alias; the empty alias stands in every value.
+    """
+    told = aliases.select("alias").filter("alias is not null").distinct()
+    lengths = sorted(r["n"] for r in told.select(F.least(F.length("alias"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM + 1 at most
+    held = values.select("value").filter("value is not null").withColumn("hash", F.xxhash64("value"))
+    pieces = held.select("hash", F.explode(_pieces(F.col("value"), [n for n in lengths if n] or [GRAM])).alias("piece"))
+    own = told.filter("alias <> ''").withColumn("piece", F.explode(F.when(F.length("alias") < GRAM, F.array("alias")).otherwise(_pieces(F.col("alias"), [GRAM]))))
+    common = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    # A piece that no value holds rules its alias out; else the rarest is the anchor.
+    rated = own.join(common, "piece", "left").groupBy("alias").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    near = pieces.join(rated, "piece").groupBy("hash").agg(F.collect_set("alias").alias("near"))
+    rows = held.join(near, "hash", "left" if 0 in lengths else "inner")
+    found = F.filter(F.coalesce("near", F.array().cast("array<string>")), lambda a: F.contains(F.col("value"), a))
+    found = F.concat(found, F.array(F.lit(""))) if 0 in lengths else found
+    return rows.select("value", found.alias("found")).filter(F.size("found") > 0)
+
+
+def classify_by_table(df: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
+    """``df`` with the class of ``column`` in ``out``, by a table of any size: ``alias, key, place`` (equal lengths: smaller place).
+
+    Each distinct value is looked up once. An alias of two keys is an error.
+    """
+    twice = duplicate_aliases(aliases).select("alias").limit(1).collect()
+    if twice:
+        raise ValueError(f"alias {twice[0]['alias']!r} stands for several keys")
+    raw = df.select(F.trim(F.lower(F.col(column))).alias("value")).filter("value is not null").distinct()
+    found = contained(raw, aliases).select("value", F.explode("found").alias("alias")).join(aliases.select(F.col("alias").alias("named"), "key", "place"), F.col("alias") == F.col("named"))
+    best = found.groupBy("value").agg(F.max_by("key", F.struct(F.length("alias"), -F.col("place"))).alias("class"))
+    names = [f"carried_{i}" for i in range(len(df.columns))]
+    carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
+    value = F.trim(F.lower(F.col(names[df.columns.index(column)])))
+    rows = carried.join(best, value == F.col("value"), "left")
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True) if c != out], F.col("class").alias(out))
+
+
+def classify_distinct(df: DataFrame, column: str, dictionary: Dictionary, out: str) -> DataFrame:
+    """``df`` with the class of ``column`` in ``out``, by a dictionary of any size: each distinct value is looked up once."""
+    ranked = checklist(dictionary)
+    if len(ranked) > MOST_LITERALS:
+        rows = [(a, k, i) for i, (a, k) in enumerate(ranked)]
+        return classify_by_table(df, column, df.sparkSession.createDataFrame(rows, "alias string, key string, place long"), out)
     values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
     classes = values.select(F.col("value"), classify(F.col("value"), dictionary).alias("class"))
     return df.join(classes.withColumnRenamed("class", out), F.col(column) == F.col("value"), "left").drop("value")
 
 
-def or_raw(x: Column, dictionary: Mapping[str, tuple[str, ...] | list[str]]) -> Column:
+def keywords_by_table(df: DataFrame, column: str, keywords: DataFrame, out: str) -> DataFrame:
+    """``df`` with the keywords (of ``keyword``, a row each, any number) that ``column`` holds, whatever their case, in order."""
+    told = keywords.select(F.trim(F.lower("keyword")).alias("alias")).filter("alias <> ''")
+    lists = contained(df.select(F.lower(F.col(column)).alias("value")).distinct(), told).select("value", F.sort_array("found").alias("found"))
+    names = [f"carried_{i}" for i in range(len(df.columns))]
+    carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
+    rows = carried.join(lists, F.lower(F.col(names[df.columns.index(column)])) == F.col("value"), "left")
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True) if c != out], F.coalesce("found", F.array().cast("array<string>")).alias(out))
+
+
+def or_raw(x: Column, dictionary: Dictionary) -> Column:
     """struct(value, recognised): the class, or the raw value where there is none; a missing value is empty."""
     found = classify(x, dictionary)
     return F.struct(F.coalesce(found, x, F.lit("")).alias("value"), found.isNotNull().alias("recognised"))
 
 
-def aliases_of(spark: SparkSession, dictionary: Mapping[str, tuple[str, ...] | list[str]]) -> DataFrame:
+def aliases_of(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
     """``alias, key`` as a table, to be checked for duplicates or joined."""
     return spark.createDataFrame([(a, k) for k, aliases in dictionary.items() for a in aliases], "alias string, key string")
 

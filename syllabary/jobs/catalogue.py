@@ -319,6 +319,36 @@ def c2_duplicate_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.duplicate_aliases(table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("key")))
 
 
+_NUMBERED = "p_partkey || '' AS alias, 'k' || p_partkey % 97 AS key, p_partkey AS place FROM part"
+
+
+@query("c1_classify_by_table", f"""
+    WITH a AS (SELECT {_NUMBERED}), v AS (SELECT DISTINCT o_orderkey || '/' || o_custkey AS said FROM orders),
+    best AS (SELECT said, arg_max(key, (length(alias), -place)) AS class FROM v JOIN a ON contains(said, alias) GROUP BY said)
+    SELECT o_orderkey, class FROM orders LEFT JOIN best ON said = o_orderkey || '/' || o_custkey
+""")
+def c1_classify_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values classified by an alias table that grows with the input, by equal pieces; the longest alias decides, then its place."""
+    key = F.col("p_partkey")
+    aliases = table(spark, sf_dir, "part").select(key.cast("string").alias("alias"), F.concat(F.lit("k"), (key % 97).cast("string")).alias("key"), key.alias("place"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), F.col("o_custkey").cast("string")).alias("said"))
+    return classify.classify_by_table(rows, "said", aliases, "class").select("o_orderkey", "class")
+
+
+@query("f5_keyword_tables", r"""
+    WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS keyword FROM benchmark), d AS (SELECT DISTINCT lower(text) AS said FROM documents),
+    hits AS (SELECT said, string_agg(keyword, '|' ORDER BY keyword) AS found FROM d JOIN w ON contains(said, keyword) GROUP BY said)
+    SELECT doc_id, coalesce(found, '') AS found, found IS NOT NULL AND NOT contains(lower(text), 'licens') AS passes FROM documents LEFT JOIN hits ON said = lower(text)
+""")
+def f5_keyword_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate whose white list is a table of keywords: every word of the benchmark that a whole text holds, and the verdict."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))
+    white = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("keyword"))
+    rows = classify.keywords_by_table(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", white, "found")
+    passes = report.passes_lists(F.col("found"), text.keywords_found(F.col("text"), ("licens",)), any_white=True)
+    return rows.select("doc_id", F.array_join("found", "|").alias("found"), F.coalesce(passes, F.size("found") > 0).alias("passes"))
+
+
 WHITE, BLACK = ("THE ", "licens"), ("idiot", "!!")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +54,46 @@ def test_limit_counts_ok_rows(spark):
     df = spark.createDataFrame([(i, i % 2 == 0) for i in range(10)], "i int, ok boolean")
     for limit, last in ((0, []), (2, [0, 1, 2]), (99, list(range(10)))):
         assert sorted(r["i"] for r in report.first_ok(df, F.col("ok"), ["i"], limit).collect()) == last
+
+
+def brute_class(value, aliases):
+    fit = [(len(a), -i, k) for a, k, i in aliases if value is not None and a in value.strip().lower()]
+    return max(fit)[2] if fit else None
+
+
+def test_alias_tables_equal_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda low, high: "".join(rng.choice("abc") for _ in range(rng.randint(low, high)))
+    aliases = [(a, f"k{i % 5}", i) for i, a in enumerate(sorted({word(1, 9) for _ in range(300)}, key=hash))]
+    values = [word(0, 14) for _ in range(200)] + ["", None, " AbC ", "zz", "zz"]
+    df = spark.createDataFrame([(v, i, "x") for i, v in enumerate(values)], "value string, place int, class string")
+    told = spark.createDataFrame(aliases + [(None, "k", 999)], "alias string, key string, place long")
+    found = classify.classify_by_table(df, "value", told, "class").collect()
+    assert {r["place"]: r["class"] for r in found} == {i: brute_class(v, aliases) for i, v in enumerate(values)} and len(found) == len(values)
+    with_default = classify.classify_by_table(df, "value", told.unionByName(spark.createDataFrame([("", "none", 5)], told.schema)), "class")
+    assert {r["place"]: r["class"] for r in with_default.collect()} == {i: brute_class(v, [*aliases, ("", "none", 5)]) for i, v in enumerate(values)}
+    assert classify.classify_by_table(df, "value", told.limit(0), "class").filter("class is not null").count() == 0
+    assert classify.classify_by_table(df.limit(0), "value", told, "class").count() == 0
+    with pytest.raises(ValueError, match="several keys"):
+        classify.classify_by_table(df, "value", told.unionByName(told.limit(1).withColumn("key", F.lit("other"))), "class")
+
+
+def test_a_dictionary_of_a_hundred_thousand_aliases(spark):
+    aliases = {f"dept {i}": (f"department {i:06d}", f"d{i}x") for i in range(50_000)}
+    assert sum(map(len, aliases.values())) == 100_000
+    values = [f"The Department {i:06d} of d{i + 1}x" for i in range(0, 50_000, 97)] + ["department", "d49999", None]
+    df = spark.createDataFrame([(v,) for v in values], "said string")
+    found = classify.classify_distinct(df, "said", aliases, "class").collect()
+    flat = {a: k for k, own in aliases.items() for a in own}
+    want = {v: flat.get(v.lower()[4:21]) if v else None for v in values}
+    assert {r["said"]: r["class"] for r in found} == want
+    assert sum(c is not None for c in want.values()) == len(values) - 3
+
+
+def test_keyword_tables_equal_brute_force(spark):
+    texts = ["Deep LEARNING course, " * 400, "cooking", "", None, "ab", "cooking"]
+    words = ["Learning", " deep", "b", "", None, "zebra", "course, deep"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = classify.keywords_by_table(df, "text", spark.createDataFrame([(w,) for w in words], "keyword string"), "found").collect()
+    plain = sorted({w.strip().lower() for w in words if w and w.strip()})
+    assert {r["i"]: r["found"] for r in found} == {i: [w for w in plain if w in (t or "").lower()] for i, t in enumerate(texts)}
