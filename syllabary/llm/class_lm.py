@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from syllabary.llm.common import Scratch, partitions, text_of
 
 #: Bytes of text in a chunk (or one longer text); words that are exchanged in turn; words of a block of their counts.
-CHUNK, CORE, BLOCK = 16 << 20, 1 << 14, 1 << 10
+CHUNK, CORE, BLOCK = 8 << 20, 1 << 14, 1 << 10
 #: A word stands for the core if a chunk has it once in so many tokens: sixty times rarer than the core's rarest in a usual text.
 CANDIDATE = 1 << 20
 
@@ -52,36 +52,43 @@ _OCCURRENCES = "word binary, chunk long, place int, n long, codes binary"
 _FOUND = "chunk long, place int, c long, class int"
 
 
+def numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word of the texts one after the other, where each text's words end)."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))  # the six characters between words
+    turns = np.flatnonzero(np.diff(space, prepend=True))
+    starts, stops = turns[::2], turns[1::2]
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space].tobytes())]).dictionary_encode()
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return found.dictionary, np.asarray(found.indices), np.searchsorted(starts, ends)
+
+
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, held_out, text) rows to chunks."""
     task, made = TaskContext.get().partitionId() << 32, 0
-    numbers: dict[bytes, int] = {}
-    doc_ids, held, ids, size = [], [], [], 0
+    doc_ids, held, texts, size = [], [], [], 0
 
     def chunk() -> pa.RecordBatch:
         nonlocal made
         made += 1
-        flags = [h + 2 * (d is None) for d, h in zip(doc_ids, held, strict=True)]
-        docs = np.array([[d or 0 for d in doc_ids], np.cumsum([len(x) for x in ids]), flags], np.int64)
-        learnt = [x for x, h in zip(ids, held, strict=True) if not h]
-        counts = np.bincount(np.concatenate(learnt), minlength=len(numbers)) if learnt else np.zeros(len(numbers), np.int64)
-        row = [[task + made], [docs.tobytes()], [np.concatenate(ids).tobytes()], [list(numbers)], [counts]]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _CHUNK_ARROW, strict=True)], schema=_CHUNK_ARROW)
+        words, ids, ends = numbered(texts)
+        docs = np.array([[d or 0 for d in doc_ids], ends, [h + 2 * (d is None) for d, h in zip(doc_ids, held, strict=True)]], np.int64)
+        learnt = np.repeat(~np.array(held, bool), np.diff(ends, prepend=0))
+        counts = np.bincount(ids[learnt], minlength=len(words))
+        row = [[task + made], [docs.tobytes()], [ids.tobytes()], pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), [counts]]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(row, _CHUNK_ARROW, strict=True)], schema=_CHUNK_ARROW)
 
     for batch in batches:
         for i in range(len(batch)):
             doc_id, out, text = (batch.column(k)[i].as_py() for k in range(3))
-            raw = text.encode().translate(_LOWER)
-            words = raw.split()  # exactly at the six characters between words
-            for w in words:
-                numbers.setdefault(w, len(numbers))
             doc_ids.append(doc_id)
             held.append(out)
-            ids.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            size += len(raw)
+            texts.append(text.encode().translate(_LOWER))
+            size += len(texts[-1])
             if size >= CHUNK:
                 yield chunk()
-                numbers, doc_ids, held, ids, size = {}, [], [], [], 0
+                doc_ids, held, texts, size = [], [], [], 0
     if doc_ids:
         yield chunk()
 
@@ -99,13 +106,14 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Core:
     """Words that are exchanged and their classes: 0 is the end of a document, ``k`` stands for all words outside the core."""
 
-    words: dict[bytes, int]
+    words: tuple[bytes, ...]
     classes: np.ndarray
     k: int
 
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: pa.Array) -> np.ndarray:
         """The place of each word in the core, or the core's size."""
-        return np.fromiter((self.words.get(w, len(self.words)) for w in words), np.int64, len(words))
+        found = pc.index_in(words, value_set=pa.array(self.words, pa.binary()))
+        return np.asarray(pc.fill_null(found, len(self.words))).astype(np.int64)
 
     def classes_of(self, places: np.ndarray) -> np.ndarray:
         return np.append(self.classes, self.k)[places]
@@ -136,17 +144,19 @@ def _core_counts(core: Core):
     width = 2 * k1 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, pairs, any_rows = np.zeros((size + 1, width), np.int64), np.zeros(k1 * k1, np.int64), False
+        near, pairs, any_rows = np.zeros((size, width), np.int64), np.zeros(k1 * k1, np.int64), False
         for batch in batches:
             for i in range(len(batch)):
                 docs, ids, words = (batch.column(c)[i] for c in range(3))
-                place = np.append(core.places(words.values.to_pylist()), size)
+                place = np.append(core.places(words.values), size)
                 kind = np.append(core.classes_of(place[:-1]), 0)
                 text = training(docs, ids, len(place) - 1)
                 own, cls = place[text], kind[text]
                 for start in range(0, len(text) - 1, 1 << 20):  # pairs of neighbours, a million at a time
                     a, b = slice(start, min(start + (1 << 20), len(text) - 1)), slice(start + 1, min(start + 1 + (1 << 20), len(text)))
-                    at = np.concatenate([own[b] * width + cls[a], own[a] * width + k1 + cls[b], own[a][own[a] == own[b]] * width + 2 * k1])
+                    first, second = own[a] < size, own[b] < size
+                    itself = own[a][first & (own[a] == own[b])] * width + 2 * k1
+                    at = np.concatenate([(own[b] * width + cls[a])[second], (own[a] * width + k1 + cls[b])[first], itself])
                     near += np.bincount(at, minlength=near.size).reshape(near.shape)
                     pairs += np.bincount(cls[a] * k1 + cls[b], minlength=len(pairs))
                 any_rows = True
@@ -235,7 +245,7 @@ def _occurrences(core: Core):
         for batch in batches:
             for i in range(len(batch)):
                 chunk, docs, ids, words, counts = (batch.column(c)[i] for c in range(5))
-                place = np.append(core.places(words.values.to_pylist()), len(core.words))
+                place = np.append(core.places(words.values), len(core.words))
                 kind, n = np.append(core.classes_of(place[:-1]), 0), len(place) - 1
                 text = training(docs, ids, n)
                 inner, cls = np.append(place[:-1] == len(core.words), False)[text], kind[text]
@@ -273,7 +283,7 @@ def _settle(core: Core, pairs: np.ndarray):
         def out(chunks: np.ndarray, places: np.ndarray, c: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(places), pa.array(c), pa.array(cls)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
-        def settled(words: list[bytes], c: np.ndarray, near: np.ndarray) -> np.ndarray:
+        def settled(words: pa.Array, c: np.ndarray, near: np.ndarray) -> np.ndarray:
             place = core.places(words)
             cls = np.where(place < len(core.words), np.append(core.classes, 0)[place], inserted(near)) if len(words) else np.zeros(0, np.int64)
             cls = np.where(c > 0, cls, 0)
@@ -284,22 +294,24 @@ def _settle(core: Core, pairs: np.ndarray):
         for batch in batches:
             for start in range(0, len(batch), 4096):
                 some = batch.slice(start, 4096)
-                words = some.column(0).to_pylist()
-                new = np.fromiter((w != v for w, v in zip(words, [word, *words], strict=False)), bool, len(words))
+                words, new = some.column(0), np.ones(len(some), bool)
+                new[0] = words[0].as_py() != word
+                new[1:] = np.asarray(pc.not_equal(words.slice(1), words.slice(0, len(some) - 1)))
                 group = np.cumsum(new) - (1 if word is None else 0)  # without a word before, the first one is new
-                heads = [w for w, n in zip(words, new, strict=True) if n]
+                heads = words.filter(pa.array(new))
                 if word is not None:
-                    heads = [word, *heads]
+                    heads = pa.concat_arrays([pa.array([word], pa.binary()), heads])
                 counts = np.bincount(group, weights=some.column(3).to_numpy(), minlength=len(heads)).astype(np.int64)
                 codes = some.column(4)
-                sizes = np.asarray(pc.binary_length(codes))
-                data = np.frombuffer(b"".join(codes.to_pylist()), np.uint8)
+                data = np.frombuffer(codes.buffers()[2] or b"", np.uint8)
+                stops = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+                data, sizes = data[stops[0] : stops[-1]], np.diff(stops)
                 table = np.bincount(np.repeat(group, sizes) * 256 + data, minlength=256 * len(heads)).reshape(len(heads), 256).astype(float)
                 if word is not None:
                     counts[0] += c
                     table[0] += near
                 chunks, places = some.column(1).to_numpy(), some.column(2).to_numpy()
-                done = settled(heads[:-1], counts[:-1], table[:-1])
+                done = settled(heads.slice(0, len(heads) - 1), counts[:-1], table[:-1])
                 complete = group < len(heads) - 1
                 if len(heads) > 1 and kept:
                     for a, b in kept:
@@ -308,9 +320,9 @@ def _settle(core: Core, pairs: np.ndarray):
                 if complete.any():
                     yield out(chunks[complete], places[complete], counts[group[complete]], done[group[complete]])
                 kept.append((chunks[~complete], places[~complete]))
-                word, c, near = heads[-1], int(counts[-1]), table[-1]
+                word, c, near = heads[-1].as_py(), int(counts[-1]), table[-1]
         if word is not None:
-            done = settled([word], np.array([c]), near[None])
+            done = settled(pa.array([word], pa.binary()), np.array([c]), near[None])
             for a, b in kept:
                 yield out(a, b, np.full(len(a), c), np.full(len(a), done[0]))
             kinds = np.arange(core.k, dtype=np.int32)
@@ -433,7 +445,7 @@ def _score(model: Model):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out: Column, k: int = 64, rounds: int = 5) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, k: int = 64, rounds: int = 4) -> DataFrame:
     """``SCORES`` of every document by a model of those that are not ``held_out``; ``k`` classes, the document's end among them."""
     if not 3 <= k <= 127:
         raise ValueError("there are 3 to 127 classes")
@@ -443,7 +455,7 @@ def score(docs: DataFrame, held_out: Column, k: int = 64, rounds: int = 5) -> Da
     frequent = chunks.select("words", "counts").mapInArrow(candidates, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = [bytes(r["word"]) for r in frequent.filter("n > 0").orderBy(F.desc("n"), "word").limit(CORE).collect()]  # CORE words
     classes = np.minimum(np.arange(1, len(top) + 1), k - 1)
-    core, best = Core({w: i for i, w in enumerate(top)}, classes, k), None
+    core, best = Core(tuple(top), classes, k), None
     tasks = max(4 * spark.sparkContext.defaultParallelism, 1)
     for turn in range(rounds + 1):
         counted = chunks.select("docs", "ids", "words").coalesce(tasks).mapInArrow(_core_counts(core), "block int, counts binary")
