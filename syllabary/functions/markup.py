@@ -1,33 +1,41 @@
 """Pages: HTML to Markdown, cleaned Markdown, front matter, and sections.
 
-Only what a tokenizer of markup must see runs in Python, as Arrow-batched functions of one page; cleaning, sections and details
-are built from column functions. Markdown here is the subset that pages of a catalogue use: headings, paragraphs, lists, links,
-line breaks, tables as lines of cells, preformatted lines between fences, and code.
+Only what a tokenizer of markup must see runs in Python, as Arrow-batched functions of one page; cleaning and details are built from
+column functions. Markdown here has headings, paragraphs, nested lists, links, images, line breaks, tables as lines of cells,
+preformatted lines between fences, code, and, where it is asked for, emphasis.
 """
 
 from __future__ import annotations
 
+import re
 import textwrap
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from syllabary.functions import blocks
 from syllabary.functions.text import TAIL_LINE, YEAR_HEADING, clean, course_details, let, normalize_lines, strip
 
 _SKIPPED = {"script", "style", "template", "noscript", "title"}
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "table", "tr", "blockquote", "form", "dl", "dt", "dd"}
 
 
+#: Stands for a blank of indentation until lines have been stripped.
+_INDENT = "\ue000"
+_EMPHASIS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+
+
 class _Markdown(HTMLParser):
     """Collects the Markdown of a page, and what its head says of it."""
 
-    def __init__(self) -> None:
+    def __init__(self, full: bool = False, emphasis: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.full, self.emphasis = full, emphasis
         self.out: list[str] = []
         self.skipped: list[str] = []
         self.lists: list[int | None] = []
@@ -51,11 +59,12 @@ class _Markdown(HTMLParser):
             self.lists.append(0 if tag == "ol" else None)
             self.out.append("\n" if len(self.lists) > 1 else "\n\n")
         elif tag == "li":
+            outer = "".join(_INDENT * (2 if n is None else len(f"{n}. ")) for n in self.lists[:-1]) if self.full else ""
             if self.lists and self.lists[-1] is not None:
                 self.lists[-1] += 1
-                self.out.append(f"\n{self.lists[-1]}. ")
+                self.out.append(f"\n{outer}{self.lists[-1]}. ")
             else:
-                self.out.append("\n- ")
+                self.out.append(f"\n{outer}- ")
         elif tag == "br":
             self.out.append("\n")
         elif tag == "pre":
@@ -63,6 +72,10 @@ class _Markdown(HTMLParser):
             self.out.append("\n\n```\n")
         elif tag == "code" and not self.fenced:
             self.out.append("`")
+        elif tag == "img" and self.full and not self.skipped:
+            self.out.append(f"![{' '.join(given.get('alt', '').split())}]({given.get('src', '')})")
+        elif tag in _EMPHASIS and self.emphasis:
+            self.out.append(_EMPHASIS[tag])
         elif tag == "a":
             self.links.append(given.get("href", ""))
             self.out.append("[")
@@ -82,12 +95,14 @@ class _Markdown(HTMLParser):
             self.out.append(f"]({href})" if href else "]")
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
-            self.out.append("\n\n")
+            self.out.append("\n" if self.lists and self.full else "\n\n")
         elif tag == "pre" and self.fenced:
             self.fenced -= 1
             self.out.append("\n```\n\n")
         elif tag == "code" and not self.fenced:
             self.out.append("`")
+        elif tag in _EMPHASIS and self.emphasis:
+            self.out.append(_EMPHASIS[tag])
         elif tag in ("td", "th"):
             self.out.append(" ")
         elif tag == "tr":
@@ -100,35 +115,39 @@ class _Markdown(HTMLParser):
             if self.skipped == ["title"] and not self.head["title"]:
                 self.head["title"] = " ".join(data.split())
         elif self.fenced:
-            self.out.append(data)
-        elif data:  # white space is one blank, also at the ends, where the text before or after it goes on
+            self.out.append(re.sub("(?m)^ +", lambda m: _INDENT * len(m[0]) if self.full else "", data.replace(_INDENT, "")))
+        elif data := data.replace(_INDENT, ""):  # white space is one blank, also at the ends, where the text before or after it goes on
             words = " ".join(data.split())
             self.out.append((" " if data[0].isspace() else "") + words + (" " if words and data[-1].isspace() else ""))
 
 
-def _converter(front: bool):
-    def one(html: str | None) -> str | None:
-        if html is None:
-            return None
-        page = _Markdown()
-        page.feed(html)
-        page.close()
-        said = "".join(f"{k}: {v}\n" for k, v in page.head.items() if v) if front else ""
-        return (f"---\n{said}---\n\n" if said else "") + "".join(page.out)
+def raw_markdown(html: str | None, front: bool = False, full: bool = False, emphasis: bool = False) -> str | None:
+    """A page's Markdown before its lines are tidied (``tidied``)."""
+    if html is None:
+        return None
+    page = _Markdown(full, emphasis)
+    page.feed(html)
+    page.close()
+    said = "".join(f"{k}: {v}\n" for k, v in page.head.items() if v) if front else ""
+    return (f"---\n{said}---\n\n" if said else "") + "".join(page.out)
 
-    @F.pandas_udf(T.StringType())
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(one)
 
-    return run
+def tidied(markdown: Column) -> Column:
+    """Lines stripped, their blanks and blank lines squeezed, indentation of lists and preformatted lines kept."""
+    return F.replace(normalize_lines(markdown), F.lit(_INDENT), F.lit(" "))
 
 
-_plain, _with_front = _converter(False), _converter(True)
+def to_markdown(html: Column, front: bool = False, full: bool = False, emphasis: bool = False) -> Column:
+    """Markdown of a page, its blank lines squeezed; ``front``: after a block of what its head says: title, canonical, base.
 
+    ``full``: with images and the indentation of nested lists and preformatted lines; ``emphasis``: with its marks.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: raw_markdown(x, front, full, emphasis))
 
-def to_markdown(html: Column, front: bool = False) -> Column:
-    """Markdown of a page, its blank lines squeezed; ``front``: after a block of what its head says: title, canonical, base."""
-    return normalize_lines((_with_front if front else _plain)(html))
+    return tidied(run(html))
 
 
 def line_range(markdown: Column, begin: str | None = None, end: str | None = None) -> Column:
@@ -162,24 +181,18 @@ def front_matter(markdown: Column) -> Column:
     return F.when(markdown.rlike(whole), F.struct(field("base"), field("canonical"), field("title"), body))
 
 
-def sections(pages: DataFrame, key: list[str], markdown: str) -> DataFrame:
-    """``key, title, position, body``: the sections under headings of level two and deeper.
+def sections(pages: DataFrame, key: list[str], markdown: str, plain: bool = False) -> DataFrame:
+    """``key, title, position, body``: the sections under headings of level two and deeper, as ``blocks.sections`` reads them.
 
-    Level-one headings are passed over; text before the first section and sections without text are left out; sections of one
-    title are joined, in order, at the place of the first. Windows are over the lines of one page.
+    ``plain``: their text without marks; else as it is written. A page is read where it lies.
     """
-    lines = pages.select(*key, F.posexplode(F.split(markdown, "\n")).alias("at", "line"))
-    heading = F.regexp_extract("line", r"^(#{1,6})[ \t]+(.*?)[ \t]*#*$", 1)
-    page = Window.partitionBy(*key)
-    lines = lines.withColumn("level", F.length(heading)).filter("level <> 1")
-    lines = lines.withColumn("section", F.sum((F.col("level") > 1).cast("int")).over(page.orderBy("at")))
-    lines = lines.filter("section > 0")
-    title = F.max(F.when(F.col("level") > 1, normalize_lines(F.regexp_extract("line", r"^(#{1,6})[ \t]+(.*?)[ \t]*#*$", 2))))
-    body = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "line"))))
-    parts = lines.groupBy(*key, "section").agg(title.alias("title"), normalize_lines(F.array_join(body["line"], "\n")).alias("body"))
-    parts = parts.filter("title <> '' and body <> ''")
-    bodies = F.array_sort(F.collect_list(F.struct("section", "body")))
-    return parts.groupBy(*key, "title").agg(F.min("section").alias("position"), F.array_join(bodies["body"], "\n\n").alias("body"))
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())])))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [{"title": a, "body": b} for a, b in blocks.sections(x, as_written=not plain)])
+
+    read = pages.select(*key, F.posexplode(run(F.col(markdown))).alias("position", "part"))
+    return read.select(*key, F.col("part.title").alias("title"), "position", F.col("part.body").alias("body"))
 
 
 def details_of(parts: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -63,12 +63,18 @@ def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.inline(F.array(*each)))
 
 
-def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.contact_rows(_site(spark, sf_dir).filter("kind = 'directory'"), ROLES, DEPARTMENTS)
+def _facts(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """What stands on the site's pages, all of them or some kinds; each page is read once a query."""
+    pages = _site(spark, sf_dir)
+    return stages.site_facts(pages.filter(F.col("kind").isin(*kinds)) if kinds else pages, unique=True)  # a page for each address
 
 
-def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.header_rows(_contacts(spark, sf_dir), _site(spark, sf_dir))
+def _contacts(facts: DataFrame) -> DataFrame:
+    return stages.contact_rows(facts, ROLES, DEPARTMENTS)
+
+
+def _headers(facts: DataFrame) -> DataFrame:
+    return stages.header_rows(_contacts(facts), facts)
 
 
 _ROLE_SQL = "CASE page_id % 3 WHEN 0 THEN 'full professor' WHEN 1 THEN 'fellow' ELSE 'Guest <b>' END"
@@ -82,13 +88,13 @@ _CONTACT_SQL = f"""
 @query("h1_contact_cards", _CONTACT_SQL)
 def h1_contact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contact card of the directory's pages, roles and departments classified or as written."""
-    return _contacts(spark, sf_dir)
+    return _contacts(_facts(spark, sf_dir, "directory"))
 
 
 @query("f3_guards", f"SELECT uid, CASE WHEN email = '' THEN 'empty e-mail' WHEN website = '' THEN 'empty website' END AS reason FROM ({_CONTACT_SQL})")
 def f3_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which contacts the next stage passes over, and why."""
-    return stages.with_reason(_contacts(spark, sf_dir), {"email": "empty e-mail", "website": "empty website"}).select("uid", "reason")
+    return stages.with_reason(_contacts(_facts(spark, sf_dir, "directory")), {"email": "empty e-mail", "website": "empty website"}).select("uid", "reason")
 
 
 _HEADER_SQL = f"""
@@ -103,7 +109,7 @@ _HEADER_SQL = f"""
 """)
 def h2_course_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every course block of each contact's teaching page, with the contact's columns; cells beside headers and links by label."""
-    return _headers(spark, sf_dir)
+    return _headers(_facts(spark, sf_dir, "directory", "courses"))
 
 
 @query("h4_person_pages", f"""
@@ -112,25 +118,27 @@ def h2_course_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def h4_person_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of people's pages, each read once and joined to every course of the person."""
-    rows = stages.with_person(_headers(spark, sf_dir), _site(spark, sf_dir), ROLES, DEPARTMENTS)
+    facts = _facts(spark, sf_dir, "directory", "courses", "person")
+    rows = stages.with_person(_headers(facts), facts, ROLES, DEPARTMENTS)
     return rows.select("contact_uid", "course_url", "person.role", "person.affiliation", F.col("person.ssd.name").alias("ssd"), F.col("person.ssd.description").alias("description"))
 
 
-def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    site = _site(spark, sf_dir)
-    return stages.language_urls(site.filter("kind = 'course'").select("page_id", F.col("url").alias("course_url")), site, _LANGUAGES)
+def _languages(facts: DataFrame) -> DataFrame:
+    courses = facts.filter("kind = 'markdown'").select(F.col("url").alias("course_url")).filter(F.startswith("course_url", F.lit(f"{_AT}/courses/")))
+    return stages.language_urls(courses, facts, _LANGUAGES)
 
 
 @query("h12_language_urls", f"SELECT page_id, '{_AT}/it/2025/' || page_id AS it, '{_AT}/en/2025/' || page_id AS en FROM pages")
 def h12_language_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses of a course's pages in both languages, found on its page."""
-    return _languages(spark, sf_dir).select("page_id", "urls.it", "urls.en")
+    found = _languages(_facts(spark, sf_dir, "course"))
+    return found.select(F.substring_index("course_url", "/", -1).cast("long").alias("page_id"), "urls.it", "urls.en")
 
 
-def _syllabi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _languages(spark, sf_dir).filter("urls is not null")
+def _syllabi(facts: DataFrame, plain: bool = True) -> DataFrame:
+    found = _languages(facts).filter("urls is not null")
     each = F.array(*[F.struct(F.lit(v).alias("language"), F.col(f"urls.{v}").alias("page_url")) for v in ("it", "en")])
-    return stages.syllabus_pages(found.select("course_url", F.inline(each)), ["course_url", "language"], _site(spark, sf_dir))
+    return stages.syllabus_pages(found.select("course_url", F.inline(each)), ["course_url", "language"], facts, plain)
 
 
 _SYLLABUS_SQL = f"""
@@ -142,8 +150,8 @@ _SYLLABUS_SQL = f"""
 
 @query("h11_syllabus_pages", _SYLLABUS_SQL)
 def h11_syllabus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Syllabus pages from markup to address, title, sections and details."""
-    rows = _syllabi(spark, sf_dir)
+    """Syllabus pages from markup to address, title, sections as they are written, and details."""
+    rows = _syllabi(_facts(spark, sf_dir, "course", "it", "en"), plain=False)
     said = F.array_join(F.transform(F.map_entries("syllabus_page.contents"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "|")
     return rows.select("course_url", "language", "syllabus_page.url", "syllabus_page.title", said.alias("contents"), "details.credits", "details.ssd")
 
@@ -154,8 +162,9 @@ def h11_syllabus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def p21_teaching_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain: contacts, course headers, people, language pages, syllabi, and the teaching records composed of them."""
-    headers = stages.with_person(_headers(spark, sf_dir), _site(spark, sf_dir), ROLES, DEPARTMENTS)
-    rows = stages.teaching_records(headers, _syllabi(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
+    headers = stages.with_person(_headers(facts), facts, ROLES, DEPARTMENTS)
+    rows = stages.teaching_records(headers, _syllabi(facts))
     return rows.select(
         "year", "url", "credits", "ssd", F.col("teacher.id").alias("teacher_id"), "teacher.email", "teacher.website", "teacher.role", F.col("teacher.ssd.name").alias("teacher_ssd"),
         F.col("course_title.id").alias("course_id"), "course_title.name", F.array_join("course_title.details", "|").alias("details"), "integrated_course", "campus", "programme", F.array_join(F.array_sort(F.map_keys("syllabus")), ",").alias("languages"),
@@ -165,7 +174,7 @@ def p21_teaching_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u3_union_rows", f"SELECT uid, count(*) AS n FROM (SELECT uid FROM ({_CONTACT_SQL}) UNION ALL SELECT uid FROM ({_CONTACT_SQL}) WHERE website <> '') GROUP BY uid")
 def u3_union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of several pages one after the other, repeats kept."""
-    rows = _contacts(spark, sf_dir).select("uid", "website")
+    rows = _contacts(_facts(spark, sf_dir, "directory")).select("uid", "website")
     return rows.unionByName(rows.filter("website <> ''")).groupBy("uid").agg(F.count("*").alias("n"))
 
 
@@ -236,6 +245,32 @@ def j8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("year", "course_id", F.col("syllabus")["en"]["contents"]["Aims"].alias("aims"), F.array_join("files", " ").alias("members"))
 
 
+@query("h9_plain_sections", f"""
+    SELECT '{_AT}/courses/2025/' || page_id AS course_url, language, 'Aims: Some bold words' || chr(10) || 'and a link (/u).|Texts: - one' || chr(10) || '- two ' || page_id AS contents FROM pages, (VALUES ('it'), ('en')) AS t(language)
+""")
+def h9_plain_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of syllabus pages as plain text: links as label and target."""
+    rows = _syllabi(_facts(spark, sf_dir, "course", "it", "en"))
+    said = F.array_join(F.transform(F.map_entries("syllabus_page.contents"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "|")
+    return rows.select("course_url", "language", said.alias("contents"))
+
+
+@query("h8_fenced_sections", r"""
+    WITH p AS (SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(html, '<[^>]*>|[^a-zA-Z<> ]', ' ', 'g'), ' +', ' ', 'g')), ''), 'none') AS said FROM pages)
+    SELECT page_id, 'Aims ' || page_id AS title, said || chr(10) || chr(10) || '```sh' || chr(10) || '# not a heading' || chr(10) || '## nor ' || page_id || chr(10) || '```' || chr(10) || chr(10) || 'after the fence' AS body, 0 AS position FROM p
+    UNION ALL SELECT page_id, 'Texts', '- outer' || chr(10) || '  ' || chr(10) || '  1. inner ' || page_id || chr(10) || '  2. ' || CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END || chr(10) || '- last' || chr(10) || chr(10) || '> quoted' || chr(10) || '> lines', 1 FROM p WHERE page_id % 3 > 0
+""")
+def h8_fenced_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose headings are told from lines in fences, by underlines too; nested lists, images, emphasis and quotes as text."""
+    n = F.col("page_id")
+    words = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>|[^a-zA-Z<> ]", " "), " +", " "))
+    page = _html(
+        "# Course\nlost\n\n## *Aims* ", n, " ##\n", F.coalesce(F.nullif(words, F.lit("")), F.lit("none")), "\n\n~~~~ sh\n# not a heading\n## nor ", n, "\n~~~~\n\n![after](/a.png) **the** `fence`\n\n",
+        F.when(n % 3 > 0, _html("Texts\n-----\n* outer\n\n  1) inner ", n, "\n  7) ", F.when(n % 2 == 0, "even").otherwise("odd"), "\n* last\n\n> quoted\n> _lines_\n")).otherwise(""),
+    )
+    return markup.sections(table(spark, sf_dir, "pages").select("page_id", page.alias("markdown")), ["page_id"], "markdown", plain=True)
+
+
 @query("h6_front_matter", "SELECT page_id, 'b' || page_id AS base, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS canonical, 'T: ' || page_id AS title, 'body' AS body FROM pages WHERE page_id % 3 > 0")
 def h6_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address, title and body of pages with a block of front matter; pages without one are left out."""

@@ -1,8 +1,8 @@
 """From pages to teaching records: contacts, course headers, people's pages, syllabus pages, and the record that joins them.
 
-Pages come from a page table (``url, html``, a row for each address); every step asks it by key, so nothing is fetched. A page is
-parsed once, however many rows want it: the distinct addresses meet the page table, and what was read is joined back. Rows that a
-step can't use are kept out by guards that give a reason.
+Pages come from a page table (``url, html``, a row for each address), so nothing is fetched. ``site_facts`` reads each of them once
+and writes what is on it, in a folder for each kind, by the address's key; the steps join what they want of it, and no markup is
+shuffled or parsed again. Rows that a step can't use are kept out by guards that give a reason.
 
 Null and empty fields are missing; a page that the table lacks has no rows and no fields; rows that repeat are each processed; of
 several pages of one address any one counts.
@@ -15,16 +15,22 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabary.functions import classify, markup, pages, text, titles
+from syllabary.functions import classify, markup, site, text, titles
 from syllabary.operators.merge import has_value
 from syllabary.sources.schemas import CONTACT, COURSE_BLOCK, COURSE_HEADER, TEACHING
+from syllabary.sources.shared import Tables
 
 Dictionary = Mapping[str, tuple[str, ...] | list[str]]
 
 
-def contact_rows(directory: DataFrame, roles: Dictionary, departments: Dictionary) -> DataFrame:
-    """``schemas.CONTACT`` rows of the directory's pages (``url, html``); roles and departments by class, or as written."""
-    rows = directory.select(F.inline(pages.contact_cards(F.col("html"), F.col("url"))))
+def site_facts(page_table: DataFrame, unique: bool = False) -> DataFrame:
+    """What stands on every page (``site.read_pages``), written in the shared folder by kind; stages read the kinds they need."""
+    return Tables(page_table.sparkSession, "site").keep(site.read_pages(page_table, unique), "facts", by=("kind",))
+
+
+def contact_rows(facts: DataFrame, roles: Dictionary, departments: Dictionary) -> DataFrame:
+    """``schemas.CONTACT`` rows of the pages that have contact cards; roles and departments by class, or as written."""
+    rows = facts.filter("kind = 'card'").select("card.*")
     known = {"role": roles, "department": departments}
     return rows.select(*[classify.or_raw(F.col(c), known[c])["value"].alias(c) if c in known else F.col(c) for c in CONTACT.names])
 
@@ -34,47 +40,48 @@ def with_reason(rows: DataFrame, needed: Mapping[str, str]) -> DataFrame:
     return rows.withColumn("reason", F.coalesce(*[F.when(~has_value(F.trim(c)) | F.col(c).isNull(), F.lit(said)) for c, said in needed.items()]))
 
 
-def read_pages(wanted: DataFrame, url: str, page_table: DataFrame, read, out: str) -> DataFrame:
-    """``wanted`` with ``out``: what ``read`` (html, url) makes of the page at its ``url``, read once an address; null without a page."""
-    asked = wanted.filter(has_value(F.col(url))).select(F.col(url).alias("asked_url")).distinct()
-    held = page_table.select(F.col("url").alias("page_url"), text.url_key(F.col("url")).alias("page_key"), F.col("html").alias("page_html")).dropDuplicates(["page_key"])
-    found = asked.join(held, text.url_key(F.col("asked_url")) == F.col("page_key")).select("asked_url", read(F.col("page_html"), F.col("asked_url")).alias(out))
-    return wanted.join(found, F.col(url) == F.col("asked_url"), "left").drop("asked_url")
+def on_page(wanted: DataFrame, url: str, facts: DataFrame, kind: str, what: str, how: str = "left") -> DataFrame:
+    """``wanted`` with ``what``: the facts of a kind on the page at its ``url``, a row for each; ``how`` a page without them is met."""
+    own = facts.filter(F.col("kind") == kind).select(F.col("page_key").alias("fact_key"), what)
+    asked = wanted.withColumn("asked_key", F.when(has_value(F.col(url)), text.url_key(F.col(url))))
+    return asked.join(own, F.col("asked_key") == F.col("fact_key"), how).drop("asked_key", "fact_key")
 
 
-def header_rows(contacts: DataFrame, page_table: DataFrame) -> DataFrame:
+def header_rows(contacts: DataFrame, facts: DataFrame) -> DataFrame:
     """``schemas.COURSE_HEADER`` rows: every course block of each contact's teaching page, with the contact's columns."""
     fit = with_reason(contacts, {"website": "empty website"}).filter("reason is null").drop("reason")
     fit = fit.withColumn("didattica_url", text.child_url(F.col("website"), "didattica"))
-    rows = read_pages(fit, "didattica_url", page_table, pages.course_blocks, "blocks")
+    rows = on_page(fit, "didattica_url", facts, "block", "block", "inner")
     carried = [F.col("uid").alias("contact_uid"), F.col("name").alias("contact_name"), F.col("email").alias("contact_email"), F.col("website").alias("sito_web"), "didattica_url"]
-    rows = rows.select(*carried, F.explode("blocks").alias("block"))
+    rows = rows.select(*carried, "block")
     return rows.select(*[F.col(f"block.{c}").alias(c) if c in COURSE_BLOCK.names else F.col(c) for c in COURSE_HEADER.names])
 
 
-def with_person(headers: DataFrame, page_table: DataFrame, roles: Dictionary, departments: Dictionary) -> DataFrame:
+def with_person(headers: DataFrame, facts: DataFrame, roles: Dictionary, departments: Dictionary) -> DataFrame:
     """``headers`` with ``person``: struct(role, affiliation, ssd struct) of the page at ``sito_web``, empty fields without one."""
-    rows = read_pages(headers, "sito_web", page_table, pages.person_fields, "page")
+    rows = on_page(headers, "sito_web", facts, "person", "person").withColumnRenamed("person", "page")
     known = lambda c, d: F.coalesce(classify.or_raw(F.col(f"page.{c}"), d)["value"], F.lit(""))
     person = F.struct(known("role", roles).alias("role"), known("affiliation", departments).alias("affiliation"), text.code_and_description(F.col("page.ssd")).alias("ssd"))
     return rows.withColumn("person", person).drop("page")
 
 
-def language_urls(found: DataFrame, page_table: DataFrame, pattern: str, languages: tuple[str, ...] = ("it", "en")) -> DataFrame:
+def language_urls(found: DataFrame, facts: DataFrame, pattern: str, languages: tuple[str, ...] = ("it", "en")) -> DataFrame:
     """``found`` (with ``course_url``) with ``urls``: struct of the first address of each language on the course's page, or null."""
-    rows = read_pages(found, "course_url", page_table, lambda html, _: text.urls(markup.to_markdown(html)), "links")
-    return rows.withColumn("urls", text.first_by_language(F.col("links"), pattern, languages)).drop("links")
+    rows = on_page(found, "course_url", facts, "markdown", "said")
+    links = text.urls(F.coalesce(markup.front_matter(F.col("said"))["body"], F.col("said")))
+    return rows.withColumn("urls", text.first_by_language(links, pattern, languages)).drop("said")
 
 
-def syllabus_pages(wanted: DataFrame, key: list[str], page_table: DataFrame) -> DataFrame:
+def syllabus_pages(wanted: DataFrame, key: list[str], facts: DataFrame, plain: bool = True) -> DataFrame:
     """``key, syllabus_page, details`` of the pages at ``page_url`` (one for each key): struct(url, title, contents) and the course's details.
 
-    The page's own address is its canonical one, or its base, or the one asked for. Pages without sections are left out.
+    The page's own address is its canonical one, or its base, or the one asked for. Pages without sections are left out. Texts are
+    without marks if ``plain``, else as they are written.
     """
-    rows = read_pages(wanted, "page_url", page_table, lambda html, _: markup.to_markdown(html, front=True), "markdown").filter("markdown is not null")
+    rows = on_page(wanted, "page_url", facts, "markdown", "said", "inner").withColumnRenamed("said", "markdown")
     front = markup.front_matter(F.col("markdown"))
     rows = rows.withColumn("front", front).withColumn("body", markup.syllabus_text(F.coalesce("front.body", "markdown")))
-    parts, details = markup.details_of(markup.sections(rows.filter("body is not null"), key, "body"), key)
+    parts, details = markup.details_of(markup.sections(rows.filter("body is not null"), key, "body", plain), key)
     entries = F.array_sort(F.collect_list(F.struct("position", "title", "body")))
     contents = parts.groupBy(*key).agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["title"], e["body"]))).alias("contents"))
     first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs])
