@@ -4,7 +4,7 @@ Each word belongs to one class. P(word | word before) = P(class | class before)
 
 1. *Encode.* Documents become chunks: a row holds the words of up to ``CHUNK`` bytes of text, how often each stands in training
    documents, and the documents as numbers of those words. Texts are read once and never shuffled.
-2. *Core.* The ``CORE`` most frequent words begin as classes of their own (as many as there are) or in the last class.
+2. *Core.* The most frequent words, ``CORE`` at most, begin as classes of their own (as many as there are) or in the last class.
 3. *Exchange.* In each round every core word is offered the class that raises the likelihood of the training text most, the others
    staying. Counts of the classes before and after each core word are summed by tasks as they read chunks, and met by blocks of
    words in a shuffle; the classes of the core (a bounded vector) are all that reaches the driver. Half of the words move in a
@@ -102,6 +102,26 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i].values.take(pa.array(at)), pa.array(counts[at])], names=["word", "n"])
 
 
+def most_frequent(counted: DataFrame, most: int = CORE) -> list[bytes]:
+    """The most frequent words of ``counted`` (word, n), ``most`` at most, by falling count, then by word.
+
+    Counts fall into some hundred steps of 5 %; the words of all steps that fit whole are the core, so no task sends more words than
+    there are in it.
+    """
+    step = F.floor(F.log2("n") * 14).cast("int")
+    steps = sorted((r["step"], r["words"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect())[::-1]
+    total, least = 0, None
+    for at, words in steps:
+        total += words
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return []
+    rows = counted.filter(step >= least).collect()  # ``most`` at most
+    return [w for _, w in sorted((-r["n"], bytes(r["word"])) for r in rows)]
+
+
 @dataclass(frozen=True)
 class Core:
     """Words that are exchanged and their classes: 0 is the end of a document, ``k`` stands for all words outside the core."""
@@ -452,8 +472,9 @@ def score(docs: DataFrame, held_out: Column, k: int = 64, rounds: int = 4) -> Da
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "class-lm")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of().alias("text"))
     chunks = scratch.keep(plain.mapInArrow(encode, _CHUNK), "chunks")
-    frequent = chunks.select("words", "counts").mapInArrow(candidates, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r["word"]) for r in frequent.filter("n > 0").orderBy(F.desc("n"), "word").limit(CORE).collect()]  # CORE words
+    counted = chunks.select("words", "counts").mapInArrow(candidates, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = most_frequent(scratch.keep(counted.filter("n > 0"), "candidates"))
+    scratch.drop("candidates")
     classes = np.minimum(np.arange(1, len(top) + 1), k - 1)
     core, best = Core(tuple(top), classes, k), None
     tasks = max(4 * spark.sparkContext.defaultParallelism, 1)
