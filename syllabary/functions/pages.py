@@ -25,6 +25,7 @@ MAP_LABEL = "[ Vai alla mappa ]"
 PARTS = {"integrated_course": "Componente del corso integrato", "lesson_period": "Periodo delle lezioni:"}
 HEADERS = {"campus": "Campus", "degree_course": "Corso"}
 LINKS = {"schedule_url": "Orario delle lezioni", "virtuale_url": "Risorse didattiche su Virtuale"}
+PAGER = ("pages_before", ".totalPageNumber")
 PERSON_TEXTS = {"role": "p.qualifica", "affiliation": "p.sede", "ssd": "p.ssd"}
 # End of fixed values.
 

@@ -12,7 +12,7 @@ from syllabary.functions import markup, pages
 from syllabary.functions.text import url_key
 from syllabary.sources.schemas import CONTACT, COURSE_BLOCK, PERSON
 
-#: kind: card, block, person, link or markdown; place: its number on the page; the column of its kind, or said.
+#: kind: card, block, person, link, pager or markdown; place: its number on the page; the column of its kind, or said.
 FACT = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("card", CONTACT), T.StructField("block", COURSE_BLOCK),
     T.StructField("person", PERSON), T.StructField("said", T.StringType()),
@@ -21,7 +21,7 @@ FACT = T.StructType([
 
 class ReadPage:
     """(html, url) to rows of ``FACT``: one for each contact card, course block and link, one for the fields of a person, one for the
-    Markdown with what the head says. A null page has none."""
+    label of a pager if there is one, one for the Markdown with what the head says. A null page has none."""
 
     def eval(self, html: str | None, url: str | None) -> Iterator[tuple]:
         if html is None:
@@ -35,6 +35,10 @@ class ReadPage:
         yield "person", 0, None, None, tuple(person[c] for c in PERSON.names), None
         for i, anchor in enumerate(x for x in page.below() if x.tag == "a" and x.attributes.get("href", "").strip()):
             yield "link", i, None, None, None, pages.resolved(base, anchor.attributes["href"])
+        for pager in (x for x in page.below() if x.attributes.get("id") == pages.PAGER[0]):
+            if said := next(pager.find(pages.PAGER[1]), None):
+                yield "pager", 0, None, None, None, said.text()
+                break
         yield "markdown", 0, None, None, None, markup.raw_markdown(html, front=True, full=True)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syllabary.functions import markup
-from syllabary.jobs.catalogue import query
-from syllabary.operators import merge, stages
+from syllabary.jobs.catalogue import _decoded, query
+from syllabary.operators import changes, discovery, merge, stages
+from syllabary.sources import page_table
+from syllabary.sources.shared import Tables
 from syllabary.sources.tables import table
 
 ROLES = {"full professor": ("ordinario", "full professor"), "fellow": ("assegnista",)}
@@ -289,3 +291,80 @@ def h10_year_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, details = markup.details_of(markup.sections(rows, ["page_id"], "markdown"), ["page_id"])
     named = parts.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("title")), ",").alias("titles"))
     return named.join(details, "page_id", "left").select("page_id", "details.credits", "titles")
+
+
+@query("s13_discovery", rf"""
+    WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+    r(k, d) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 2 * k + t, d + 1 FROM r, n, (VALUES (1), (2)) AS v(t) WHERE k % 7 <> 3 AND 2 * k + t < n),
+    named AS (SELECT '{_AT}/list/' || k || '?page=1' AS url, 2 * d AS round, true AS held FROM r
+      UNION ALL SELECT '{_AT}/list/' || k || '?page=' || p, 2 * d + 1, true FROM r, unnest(range(2, k % 3 + 2)) AS t(p)
+      UNION ALL SELECT '{_AT}/people/' || k, 2 * d + 1, k % 7 <> 3 FROM r
+      UNION ALL SELECT '{_AT}/list/' || (2 * k + t) || '?page=1', 2 * d + 2, 2 * k + t < n FROM r, n, (VALUES (1), (2)) AS v(t) WHERE k % 7 <> 3
+      UNION ALL SELECT '{_AT}' || {_decoded("h")}, 2 * d + 2, false FROM (SELECT d, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS h FROM r JOIN pages ON page_id = k WHERE k % 7 <> 3))
+    SELECT url, min(round)::INTEGER AS round, bool_or(held) AS held FROM named GROUP BY url
+""")
+def s13_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address that can be reached from the first list: lists of several pages by their pagers, people by the lists' cards, and
+    what people's pages (the given markup among it) link to, back as well; with the round that finds it and whether it has a page."""
+    n = F.col("page_id")
+    card = _html('<table class="contact vcard"><tr><th class="uid">U</th></tr><tr><td><a class="url" href="/people/', n, '">web</a></td></tr></table>')
+    pager = _html("<div id='pages_before'><b class='totalPageNumber'>page 1 of ", n % 3 + 1, "</b></div>")
+    person = _html(F.coalesce("html", F.lit("")), "<a href='/list/", 2 * n + 1, "?page=1'>a</a><a href='../list/", 2 * n + 2, "?page=1'>b</a><a href='/list/", F.greatest(F.floor((n - 1) / 2), F.lit(0)), "?page=1'>up</a>")
+    lists = F.transform(F.sequence(F.lit(1).cast("long"), n % 3 + 1), lambda p: F.struct(_html(f"{_AT}/list/", n, "?page=", p).alias("url"), F.when(p == 1, F.concat(pager, card)).otherwise("more").alias("html")))
+    own = F.filter(F.array(F.struct(_html(f"{_AT}/people/", n).alias("url"), person.alias("html"))), lambda _: n % 7 != 3)
+    facts = stages.site_facts(table(spark, sf_dir, "pages").select(F.inline(F.concat(lists, own))), unique=True)
+    start = spark.createDataFrame([(f"{_AT}/list/0?page=1",)], "url string")
+    found = discovery.discover(start, lambda frontier: discovery.linked(frontier, facts).unionByName(discovery.paged(frontier, facts)))
+    held = facts.filter("kind = 'markdown'").select(F.col("url").alias("held_url"))
+    return found.join(held, F.col("url") == F.col("held_url"), "left").select("url", "round", F.col("held_url").isNotNull().alias("held"))
+
+
+@query("s11_page_table", """
+    WITH f AS (SELECT url || '#' || page_id AS url, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS code, html, 0 AS moment FROM pages
+      UNION ALL SELECT url || '#' || page_id, 200, 'v1' || html, CASE WHEN page_id % 10 = 0 THEN -1 ELSE 1 END FROM pages WHERE page_id % 2 = 0
+      UNION ALL SELECT url || '#' || page_id, CASE WHEN page_id % 5 = 0 THEN 500 WHEN page_id % 5 = 1 THEN 404 ELSE 200 END, 'v2' || html, 2 FROM pages WHERE page_id % 3 = 0
+      UNION ALL SELECT url || '#new' || page_id, 200, html, 2 FROM pages WHERE page_id % 3 = 0)
+    SELECT url, CASE WHEN max(moment) < 1 THEN 'stale' WHEN arg_max(code, moment) = 404 THEN 'missing' ELSE 'held' END AS state, max(moment)::INTEGER AS moment, CASE WHEN arg_max(code, moment) = 404 THEN NULL ELSE sha256(arg_max(html, moment)) END AS content FROM f WHERE code <> 500 GROUP BY url
+    UNION ALL SELECT 'never asked', 'unknown', NULL, NULL
+""")
+def s11_page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table after three batches of fetches, one of them given twice: newest fetches win, missing pages are remembered,
+    failures leave what is known; and what a look-up says of each address."""
+    path, pages = Tables(spark, "pages").path, table(spark, sf_dir, "pages")
+    n, at = F.col("page_id"), lambda day: F.timestamp_add("DAY", day, F.lit("2025-01-10").cast("timestamp"))
+    fetch = lambda url, code, html, day: F.struct(url.alias("url"), code.cast("int").alias("code"), html.alias("html"), at(day).alias("fetched_at"))
+    url, html = F.concat("url", F.lit("#"), n.cast("string")), F.col("html")
+    first = pages.select(F.inline(F.array(fetch(url, F.when(n % 11 == 0, 404).otherwise(200), html, F.lit(0)))))
+    # Older than what is there for some, and each address twice.
+    newer = fetch(url, F.lit(200), F.concat(F.lit("v1"), html), F.when(n % 10 == 0, -1).otherwise(1))
+    second = pages.filter(n % 2 == 0).select(F.inline(F.array(newer, newer, fetch(url, F.lit(503), F.lit(""), F.lit(3)))))
+    last = fetch(url, F.when(n % 5 == 0, 500).when(n % 5 == 1, 404).otherwise(200), F.concat(F.lit("v2"), html), F.lit(2))
+    third = pages.filter(n % 3 == 0).select(F.inline(F.array(last, fetch(F.concat("url", F.lit("#new"), n.cast("string")), F.lit(200), html, F.lit(2)))))
+    for number, batch in enumerate((first, second, third)):
+        page_table.upsert(batch, number, path, slots=16)
+    page_table.upsert(second, 1, path, slots=16)
+    held = page_table.read(spark, path)
+    asked = held.select("url", F.date_diff("fetched_at", F.lit("2025-01-10")).alias("moment")).unionByName(spark.createDataFrame([("never asked", None)], "url string, moment int"))
+    states = page_table.look_up(asked, "url", held, fresh_since=F.lit("2025-01-11").cast("timestamp"))
+    return states.select("url", F.col("page_state").alias("state"), "moment", F.sha2("page_html", 256).alias("content"))
+
+
+@query("k5_change_set", """
+    WITH w AS (SELECT 'y' || year(o_orderdate) || '/course-' || o_orderkey AS path, 'f' || o_custkey AS target, o_orderkey AS k FROM orders WHERE o_orderkey % 9 > 0),
+    t AS (SELECT 'y' || year(o_orderdate) || '/course-' || o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'folder' WHEN o_orderkey % 5 = 0 THEN 'file' ELSE 'link' END AS kind,
+          CASE WHEN o_orderkey % 35 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'f' || o_custkey END AS was, o_orderkey AS j FROM orders WHERE o_orderkey % 4 > 0),
+    d AS (SELECT coalesce(w.path, t.path) AS path, target, was, CASE WHEN k IS NULL AND kind = 'folder' THEN NULL WHEN k IS NULL THEN 'delete' WHEN kind = 'folder' THEN 'conflict' WHEN j IS NULL THEN 'create'
+          WHEN kind = 'link' AND was = target THEN 'keep' ELSE 'replace' END AS action FROM w FULL OUTER JOIN t ON w.path = t.path)
+    SELECT path, action, target, was, CASE action WHEN 'conflict' THEN 'conflict' WHEN 'delete' THEN NULL ELSE 'keep' END AS again FROM d WHERE action IS NOT NULL
+""")
+def k5_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the links and files that are there when links are wanted, folders in the way told; and the same asked again
+    after the changes are done."""
+    k, customer = F.col("o_orderkey"), F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", _html("y", F.year("o_orderdate"), "/course-", k).alias("path"), customer.alias("target"))
+    kind = F.when(k % 7 == 0, "folder").when(k % 5 == 0, "file").otherwise("link")
+    there = rows.filter(k % 4 > 0).select("path", kind.alias("kind"), F.when(kind == "link", F.when(k % 3 == 0, "old").otherwise(F.col("target"))).alias("target"))
+    wanted = rows.filter(k % 9 > 0).select("path", "target")
+    found = changes.change_set(there, wanted)
+    again = changes.change_set(changes.applied(there, found), wanted).select(F.col("path").alias("again_path"), F.col("action").alias("again"))
+    return found.join(again, F.col("path") == F.col("again_path"), "left").select("path", "action", "target", "was", "again")
