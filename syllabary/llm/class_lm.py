@@ -230,7 +230,9 @@ def gains(near: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     both = np.arange(k1)
     corner = xlogx(left[:, both, both] + before + after + itself[:, None]) - logs[:, both, both]
     gain = ins.sum(2) - ins[:, both, both] + outs.sum(1) - outs[:, both, both] + corner
-    from_class, to_class = left.sum(2), left.sum(1)
+    from_class, to_class = np.repeat(pairs.sum(1)[None].astype(float), len(near), axis=0), np.repeat(pairs.sum(0)[None].astype(float), len(near), axis=0)
+    from_class[rows, own] -= n_out
+    to_class[rows, own] -= n_in
     return gain - (xlogx(from_class + n_out[:, None]) - xlogx(from_class)) - (xlogx(to_class + n_in[:, None]) - xlogx(to_class))
 
 

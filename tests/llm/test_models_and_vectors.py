@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import types
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,31 @@ def test_probabilities_after_every_class_sum_to_one():
     assert model.distinct == len(every) and model.tokens == pairs.sum()
 
 
+def test_chunks_do_not_show(monkeypatch):
+    """The counts and classes of words, gathered from chunks of any size, are those of one chunk."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "held_out": [i % 7 == 0 for i in range(60)], "text": texts})
+    monkeypatch.setattr(class_lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    core = class_lm.Core((b"a", b"bb", b"c"), np.array([1, 2, 3]), 4)
+    seen = []
+    for size in (1 << 30, 300, 1):
+        monkeypatch.setattr(class_lm, "CHUNK", size)
+        chunks = list(class_lm.encode(iter([docs.slice(0, 25), docs.slice(25)])))
+        assert [unpacked for b in chunks for unpacked in class_lm.unpacked(b.column(1)[0])[0].tolist()] == list(range(60))
+        counts = pa.Table.from_batches(class_lm._core_counts(core)(iter([b.select(["docs", "ids", "words"]) for b in chunks])))
+        pairs = np.frombuffer(zlib.decompress(counts.column(1)[0].as_py()), np.int64).reshape(5, 5)
+        rows = pa.Table.from_batches(class_lm._occurrences(core)(iter(chunks))).sort_by("word")
+        found = pa.Table.from_batches(class_lm._settle(core, pairs)(iter(rows.to_batches(max_chunksize=7)))).to_pylist()
+        place = {(r["chunk"], r["place"]): r["word"] for r in rows.to_pylist()}
+        words = {place[r["chunk"], r["place"]]: (r["c"], r["class"]) for r in found if r["chunk"] >= 0}
+        assert len(place) == sum(r["chunk"] >= 0 for r in found)
+        seen.append((pairs.tolist(), words, sorted((r["class"], r["place"], r["c"]) for r in found if r["chunk"] < 0), counts.column(1)[1].as_py()))
+    assert seen[0] == seen[1] == seen[2]
+    learnt = [w for i, t in enumerate(texts) if i % 7 for w in t.encode().split()]
+    assert {w: c for w, (c, _) in seen[0][1].items()} == {w: learnt.count(w) for w in {w for t in texts for w in t.encode().split()}}
+
+
 def words_of(text):
     return (text or "").encode().translate(class_lm._LOWER).split()
 
@@ -89,8 +116,8 @@ def test_class_lm_query_counts_and_beats_single_words(spark):
     assert sum(r["score"] for r in unseen) > 0.95 * sum(r["base_score"] for r in unseen)
 
 
-def test_class_lm_scores_by_hand(spark, monkeypatch):
-    """With one class for all words a score is plain arithmetic; chunks, blocks and batches do not show in it."""
+def test_class_lm_edge_cases(spark):
+    """Nulls, empty and repeated texts, a clashing column, no training documents, an empty table; counts by hand."""
     texts = ["a b a", "B c\n", None, "", "x a", "a " * 50 + "b", "x a"]
     df = spark.createDataFrame([(i if i != 2 else None, t, i == 4, "k") for i, t in enumerate(texts)], "doc_id long, text string, out boolean, score string")
     rows = class_lm.score(df, F.col("out"), k=3, rounds=1).collect()
@@ -103,8 +130,6 @@ def test_class_lm_scores_by_hand(spark, monkeypatch):
     assert by_id[None]["n_tokens"] == by_id[3]["n_tokens"] == 1 and by_id[None]["score"] == by_id[3]["score"] and not by_id[None]["held_out"]
     assert by_id[4]["score"] == by_id[6]["score"]
     assert by_id[0]["base_score"] == pytest.approx(sum(math.log10((x + 1) / (n + len(c) + 2)) for x in (c[b"a"], c[b"b"], c[b"a"], len(learnt))))
-    class_lm_small = class_lm.CHUNK
-    assert class_lm_small == 8 << 20
     nothing = class_lm.score(df, F.lit(True), k=3, rounds=1).collect()
     assert {(r["score"], r["base_score"], r["n_known"], r["train_tokens"]) for r in nothing} == {(0.0, 0.0, 0, 0)}
     assert class_lm.score(df.limit(0), F.lit(False)).count() == 0
