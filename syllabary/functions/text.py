@@ -93,6 +93,64 @@ def letter_url(base: Column, letter: Column, key: str = "initial") -> Column:
     return F.concat(base, F.lit("?mode=people&query="), F.url_encode(F.concat(F.lit(f"+{key}:"), letter)))
 
 
+# The schemes under which links are relative to their page.
+RELATIVE = ("http", "https", "ftp", "file", "sftp", "ws", "wss")
+# End of fixed values.
+
+
+def _url_parts(x: Column) -> dict[str, Column]:
+    """Scheme, host, path, query and fragment of a URL; what is not there is empty."""
+    whole = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    parts = {name: F.regexp_extract(x, whole, i) for i, name in enumerate(("scheme", "host", "path", "query", "fragment"), 1)}
+    return parts | {"scheme": F.lower(parts["scheme"])}
+
+
+def _merged_path(base: Column, path: Column) -> Column:
+    """A path seen from another, its segments ``.`` and ``..`` resolved: a fold over the segments."""
+    folder = F.split(F.regexp_replace(base, "[^/]*$", ""), "/")
+    # The last segment of the base goes; an empty one between two others, too.
+    before = F.when(F.startswith(path, F.lit("/")), F.array().cast("array<string>")).otherwise(F.slice(folder, 1, F.greatest(F.size(folder) - 1, F.lit(1))))
+    every = F.concat(before, F.split(path, "/"))
+    inner = F.filter(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda s: s != "")
+    segments = F.when(F.size(every) < 2, every).otherwise(F.concat(F.slice(every, 1, 1), inner, F.slice(every, -1, 1)))
+
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
+    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.coalesce(F.nullif(F.array_join(closed, "/"), F.lit("")), F.lit("/"))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """A link resolved against its page, inside the JVM; an empty link stays empty, one with a malformed host is null.
+
+    As browsers and the usual libraries do it: a link with a host stands for itself, one without a path keeps the page's path and, if
+    it has none, its query, and others are merged with the page's path. Schemes that know no relative links leave the link as it is.
+    """
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+    def joined(p: Column) -> Column:
+        b, h = _url_parts(p["base"]), _url_parts(p["href"])
+        tail = lambda query: F.concat(F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(h["fragment"] != "", F.concat(F.lit("#"), h["fragment"])).otherwise(""))
+        rooted = lambda path: F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
+        slashes = lambda host, path: F.when((host != "") | ((b["scheme"] != "") & ~path.rlike("^[^/]")), F.concat(F.lit("//"), host)).otherwise("")
+        head = lambda host, path: F.concat(F.when(b["scheme"] != "", F.concat(b["scheme"], F.lit(":"))).otherwise(""), slashes(host, path), path)
+        at_host = lambda path: F.when(b["host"] != "", rooted(path)).otherwise(path)
+        odd = h["host"].rlike(r"[\[\]]") & ~h["host"].rlike(r"^([^\[\]@]*@)?\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\](:[0-9]*)?$")
+        return (
+            F.when(odd, None)
+            .when((h["scheme"] != "") & (h["scheme"] != b["scheme"]) | ~b["scheme"].isin("", *RELATIVE), p["given"])
+            .when(h["host"] != "", F.concat(head(h["host"], rooted(h["path"])), tail(h["query"])))
+            .when(h["path"] == "", F.concat(head(b["host"], at_host(b["path"])), tail(F.when(h["query"] != "", h["query"]).otherwise(b["query"]))))
+            .otherwise(let(at_host(_merged_path(b["path"], h["path"])), lambda path: F.concat(head(b["host"], path), tail(h["query"]))))
+        )
+
+    page = F.coalesce(base, F.lit(""))
+    made = F.struct(tidy(page).alias("base"), tidy(href).alias("href"), href.alias("given"))
+    return F.when(href.isNull() | (href == ""), "").when(page == "", href).otherwise(let(made, joined))
+
+
 def child_url(url: Column, child: str) -> Column:
     """The URL of a page below another."""
     return F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/" + child))
@@ -172,7 +230,8 @@ def page_count(label: Column) -> Column:
 def last_with_prefix(parts: Column, prefix: str) -> Column:
     """The last element of an array of texts that begins with a prefix, without it; empty where there is none."""
     found = F.filter(parts, lambda p: F.startswith(p, F.lit(prefix)))
-    return F.coalesce(F.trim(F.substring(F.get(found, F.size(found) - 1), len(prefix) + 1, 1_000_000)), F.lit(""))
+    rest = let(F.get(found, F.size(found) - 1), lambda p: F.trim(F.substring(p, F.lit(len(prefix) + 1), F.length(p))))
+    return F.coalesce(rest, F.lit(""))
 
 
 def url_key(url: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syllabary.functions import classify, markup, text, titles
-from syllabary.operators import merge, report
+from syllabary.operators import merge, ranks, report
 from syllabary.sources import files
+from syllabary.sources.shared import Tables
 from syllabary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,7 +571,7 @@ def h5_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p13_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of a page, resolved against it."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(markup.links(F.col("html"))).alias("at", "href"))
-    return rows.select("page_id", "at", markup.absolute("url", "href").alias("link"), markup.wrapped("href").alias("wrapped"))
+    return rows.select("page_id", "at", text.resolved(F.col("url"), F.col("href")).alias("link"), markup.wrapped("href").alias("wrapped"))
 
 
 @query("k3_partition_layout", """
@@ -582,3 +583,48 @@ def k3_partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select("segment", F.year("o_orderdate").alias("year"), "o_orderkey")
     back = files.write_folders(rows, ["segment", "year"])
     return back.groupBy("segment", "year").agg(F.count("*").alias("n"))
+
+
+@query("o3_global_rank", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, round(o_totalprice) DESC, o_orderkey) AS place FROM orders")
+def o3_global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's place among all, by ranges and prefix sums; no window over the table."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.round("o_totalprice").alias("price"))
+    return ranks.global_rank(rows, [("o_orderpriority", False), ("price", True), ("o_orderkey", False)]).select("o_orderkey", "place")
+
+
+@query("s1_numbered_values", """
+    WITH l AS (SELECT year(o_orderdate)::INTEGER AS year, o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) + 1 AS line FROM orders)
+    SELECT year, line, 'k' || o_orderkey AS value FROM l WHERE o_orderkey % 3 > 0
+""")
+def s1_numbered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of a CSV's column that are not blank, in files of a year each, with the numbers of their rows."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" k"), k.cast("string")))
+    rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), k.cast("string").alias("key"), value.alias("value"), "o_orderkey")
+    folder = Tables(spark, "lines").path
+    laid = rows.repartition("year").sortWithinPartitions("year", "o_orderkey").drop("o_orderkey")
+    laid.write.partitionBy("year").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder, header=True)
+    read = spark.read.csv(folder, header=True, escape='"')
+    return ranks.numbered_lines(read, first=2).select("year", "line", F.trim("value").alias("value")).filter("value <> ''")
+
+
+@query("p23_wrapped_labels", """
+    WITH w AS (SELECT p_partkey, string_split(p_name || ' of the department for ' || lower(p_type) || ' and ' || p_name, ' ') AS words FROM part)
+    SELECT p_partkey, list_reduce(words, lambda a, w: a || CASE WHEN length(regexp_extract(replace(a, '<br>', chr(10)), '[^\n]*$')) + 1 + length(w) <= 32 THEN ' ' ELSE '<br>' END || w) AS label FROM w
+""")
+def p23_wrapped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of several words broken into lines of 32 characters at most."""
+    label = F.concat("p_name", F.lit(" of the department for "), F.lower("p_type"), F.lit(" and "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", markup.wrapped(label).alias("label"))
+
+
+@query("p30_paragraphs", """
+    WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'The ') OR starts_with(x, 'Le ')) AS fit FROM documents)
+    SELECT doc_id, coalesce(trim(CASE WHEN starts_with(fit[-1], 'The ') THEN substr(fit[-1], 5) END), '') AS last_the, coalesce(trim(substr(list_filter(fit, lambda x: starts_with(x, 'Le '))[-1], 4)), '') AS last_le FROM l
+""")
+def p30_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a text's lines the last with a prefix, in full however long it is."""
+    lines = F.split("text", "\n")
+    fit = F.filter(lines, lambda x: F.startswith(x, F.lit("The ")) | F.startswith(x, F.lit("Le ")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.last_with_prefix(F.slice(fit, F.greatest(F.size(fit), F.lit(1)), 1), "The ").alias("last_the"), text.last_with_prefix(lines, "Le ").alias("last_le"))
+    return rows.select("doc_id", F.coalesce("last_the", F.lit("")).alias("last_the"), F.coalesce("last_le", F.lit("")).alias("last_le"))

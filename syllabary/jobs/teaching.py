@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from syllabary.functions import markup
 from syllabary.jobs.catalogue import _decoded, query
 from syllabary.operators import changes, discovery, merge, stages
-from syllabary.sources import page_table
+from syllabary.sources import documents, files, page_table
 from syllabary.sources.shared import Tables
 from syllabary.sources.tables import table
 
@@ -368,3 +368,23 @@ def k5_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = changes.change_set(there, wanted)
     again = changes.change_set(changes.applied(there, found), wanted).select(F.col("path").alias("again_path"), F.col("action").alias("again"))
     return found.join(again, F.col("path") == F.col("again_path"), "left").select("path", "action", "target", "was", "again")
+
+
+@query("k3_documents", """
+    SELECT 'p' || page_id % 5 AS teacher_dir, 2020 + page_id % 3 AS year_dir, 'teaching-' || page_id || '.yml' AS file, CASE WHEN page_id % 4 > 0 THEN (page_id % 13)::INTEGER END AS credits, url,
+    sha256(html) AS content, CASE WHEN page_id % 3 = 0 THEN NULL ELSE DATE '2025-02-01' + (page_id % 28)::INTEGER END AS begins, '0' || page_id AS course_id FROM pages
+""")
+def k3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as one document each, their null fields left out, and read back from the folders of teacher and year."""
+    n = F.col("page_id")
+    begins = F.date_add(F.lit("2025-02-01").cast("date"), (n % 28).cast("int"))
+    page = F.struct(F.col("url"), F.lit("T").alias("title"), F.create_map(F.lit("Aims"), "html").alias("contents"))
+    title = F.struct(F.concat(F.lit("0"), n.cast("string")).alias("id"), F.lit("LOGIC").alias("name"), F.array().cast("array<string>").alias("details"))
+    made = table(spark, sf_dir, "pages").select(
+        _html("p", n % 5, "/", n % 3 + 2020, "/teaching-", n, ".yml").alias(documents.PATH), (n % 3 + 2020).cast("int").alias("year"), "url", F.when(n % 4 > 0, (n % 13).cast("int")).alias("credits"),
+        F.when(n % 3 > 0, F.struct(begins.alias("from"), begins.alias("to"))).alias("schedule"), title.alias("course_title"), F.create_map(F.lit("it"), page).alias("syllabus"),
+    )
+    folder = f"{Tables(spark, 'documents').path}/courses"
+    documents.write_documents(made, folder)
+    back = files.read_records(spark, folder)
+    return back.select("teacher_dir", "year_dir", "file", "credits", "url", F.sha2(F.col("syllabus")["it"]["contents"]["Aims"], 256).alias("content"), F.col("schedule.from").alias("begins"), F.col("course_title.id").alias("course_id"))

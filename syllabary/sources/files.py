@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 import pandas as pd
@@ -12,18 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syllabary.functions.text import clean, local_part
+from syllabary.operators.ranks import numbered_lines
 from syllabary.sources.schemas import TEACHING
+from syllabary.sources.shared import shared_folder
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """A CSV with a header as strings; an error that lists the columns it lacks."""
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], line: str | None = None) -> DataFrame:
+    """A CSV with a header as strings; an error that lists the columns it lacks; ``line``: with each row's number (the header is 1)."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if line:
+        df = numbered_lines(df, first=2, out=line)
+        columns = (line, *columns)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError("missing columns: " + ", ".join(missing))
     return df.select(*columns)
 
 
+def read_column(spark: SparkSession, path: str, column: str, limit: int | None = None) -> DataFrame:
+    """``line, value``: the values of a CSV's column that are not blank, trimmed, with the numbers of their rows (the header is 1).
+
+    ``limit`` counts values that are not blank (0: none); an error if the column is not there.
+    """
+    df = spark.read.csv(path, header=True, escape='"')
+    if column not in df.columns:
+        raise ValueError(f"missing column: {column}")
+    rows = numbered_lines(df, first=2).select("line", F.trim(F.col(f"`{column}`")).alias("value")).filter("value <> ''")
+    return rows if limit is None else rows.orderBy("line").limit(limit)
+
+
 def filled_values(rows: DataFrame, column: str, order: list[str], limit: int | None = None) -> DataFrame:
     """The values of a column that are not blank, trimmed, in order, ``limit`` of them at most (0: none)."""
     values = rows.select(*order, F.trim(column).alias("value")).filter("value <> ''")
@@ -111,11 +127,7 @@ def teaching_path(email, year, teaching_id):
 def write_folders(rows: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
     """Write one folder for each key and read the layout back; rows of a key may come from many tasks, so no key needs one."""
     spark = rows.sparkSession
-    if path is None:
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
-        path = f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/folders-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/folders-{uuid.uuid4().hex}"
     rows.write.partitionBy(*keys).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
