@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from syllabary.functions import text
+from syllabary.operators.ranks import global_rank
+
 
 def same(a: Column, b: Column) -> Column:
     """Equality under which null equals null."""
@@ -63,6 +66,16 @@ def credit_totals(entries: DataFrame, department: str = "department", courses: s
     return entries.select(*keep, F.when(name == "", "(no department)").otherwise(name).alias("department"), total.alias("credits"))
 
 
+def chart(totals: DataFrame, longest: int = 38) -> tuple[DataFrame, DataFrame]:
+    """(``place, label, credits`` of a bar chart, the smallest bar first, equal ones by name; one row ``caption, all_credits,
+    n_departments`` that says what it shows) of ``department, credits``."""
+    named = totals.select(text.shorten(F.col("department"), (), longest).alias("label"), "credits", "department")
+    rows = global_rank(named, [("credits", False), ("department", False)]).select("place", "label", "credits")
+    sums = totals.agg(F.coalesce(F.sum("credits"), F.lit(0)).cast("long").alias("all_credits"), F.count("*").alias("n_departments"))
+    said = F.concat(F.lit("Credits by department: "), F.col("all_credits").cast("string"), F.lit(" in "), F.col("n_departments").cast("string"), F.lit(" departments"))
+    return rows, sums.select(said.alias("caption"), "all_credits", "n_departments")
+
+
 def status_counts(rows: DataFrame, status: Column) -> DataFrame:
     """``status, n`` over ok, skipped and failed rows."""
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))

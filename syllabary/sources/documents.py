@@ -1,7 +1,7 @@
 """Records as documents: a file for each record, by a Spark data source whose tasks commit together.
 
-Every row becomes one document (JSON, which is YAML too; fields in the schema's order, null ones left out) at the path that its
-``document_path`` names below a folder. It goes in two steps. Tasks write into folders of their attempts; as a task ends it tells
+Every row becomes one document (JSON, which is YAML too; fields in the schema's order, null ones left out; or, where the records have
+a field ``document_text``, that text) at the path that its ``document_path`` names below a folder. It goes in two steps. Tasks write into folders of their attempts; as a task ends it tells
 its folder, and when all have ended the driver writes the list of folders, a row a task. Then a Spark job moves each folder's files
 to their places, so neither documents nor their names pass the driver. A job that fails in the first step leaves nothing; one that
 fails in the second is done again from its list by ``place_documents``, which passes over what has been moved.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: The column that names a record's file.
-PATH = "document_path"
+#: The column that names a record's file, and the one that holds its text as it is to be written, if there is one.
+PATH, TEXT = "document_path", "document_text"
 
 
 def plain(value):
@@ -63,7 +63,8 @@ class _Writer(DataSourceWriter):
             at = f"{folder}/{fields.pop(PATH)}"
             system.create_dir(at.rpartition("/")[0])
             with system.open_output_stream(at) as out:
-                out.write((json.dumps(plain(fields), ensure_ascii=False) + "\n").encode())
+                said = (fields[TEXT] or "") if TEXT in fields else json.dumps(plain(fields), ensure_ascii=False) + "\n"
+                out.write(said.encode())
             number += 1
         return Ended(folder, number)
 

@@ -137,6 +137,12 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("teacher_dir", "year").json(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """A CSV with a header."""
-    rows.write.mode("overwrite").csv(path, header=True, escape='"')
+def merged_documents(merged: DataFrame) -> DataFrame:
+    """Merged courses with the path of each one's document, ``.files/YEAR/course-ID-LETTER.yml``, for ``documents.write_documents``."""
+    path = F.concat(F.lit(".files/"), F.col("year").cast("string"), F.lit("/course-"), "course_id", "suffix", F.lit(".yml"))
+    return merged.select(path.alias("document_path"), *[c for c in merged.columns if c not in ("signature", "suffix", "files")])
+
+
+def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
+    """A CSV with a header: a new one, or rows after those that are there."""
+    rows.write.mode("append" if append else "overwrite").csv(path, header=True, escape='"')

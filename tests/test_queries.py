@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from syllabary.jobs import catalogue, teaching  # noqa: F401
+from syllabary.jobs import catalogue, intake, teaching  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
