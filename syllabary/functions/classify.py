@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from syllabary.sources.shared import Tables
+
 #: Aliases that a literal expression holds; larger dictionaries are joined as tables.
 MOST_LITERALS = 1000
 #: Characters of an anchor.
@@ -45,9 +47,8 @@ def classify(x: Column, dictionary: Dictionary) -> Column:
 
 
 def _pieces(x: Column, lengths: list[int]) -> Column:
-    """The distinct pieces of the given lengths of a text."""
-    cut = lambda n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[cut(n) for n in lengths]))
+    """The distinct pieces of the given lengths of a text, in one pass a length over it, however long it is."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
 
 
 def contained(values: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,15 +57,20 @@ def contained(values: DataFrame, aliases: DataFrame) -> DataFrame:
     Only a hash of a value travels with its pieces, and the value itself once with all aliases whose anchors it holds, so long texts
     are values too. Null values and aliases are left out, and so are values without an alias; the empty alias stands in every value.
     """
+    tables = Tables(values.sparkSession, "aliases")
     told = aliases.select("alias").filter("alias is not null").distinct()
-    lengths = sorted(r["n"] for r in told.select(F.least(F.length("alias"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM + 1 at most
+    cut = F.when(F.length("alias") < GRAM, F.array("alias")).otherwise(_pieces(F.col("alias"), [GRAM]))
+    own = tables.keep(told.select("alias", F.explode(cut).alias("piece")), "own")
+    # Written, so that Spark knows how large they are: few go to the values, many meet them by a shuffle.
+    known = tables.keep(own.select("piece").distinct(), "pieces")
+    lengths = sorted(r["n"] for r in known.select(F.length("piece").alias("n")).distinct().collect())  # GRAM + 1 at most
     held = values.select("value").filter("value is not null").withColumn("hash", F.xxhash64("value"))
     pieces = held.select("hash", F.explode(_pieces(F.col("value"), [n for n in lengths if n] or [GRAM])).alias("piece"))
-    own = told.filter("alias <> ''").withColumn("piece", F.explode(F.when(F.length("alias") < GRAM, F.array("alias")).otherwise(_pieces(F.col("alias"), [GRAM]))))
-    common = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    hits = tables.keep(pieces.join(known, "piece", "left_semi"), "hits")
+    common = hits.groupBy("piece").agg(F.count("*").alias("n"))
     # A piece that no value holds rules its alias out; else the rarest is the anchor.
-    rated = own.join(common, "piece", "left").groupBy("alias").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    near = pieces.join(rated, "piece").groupBy("hash").agg(F.collect_set("alias").alias("near"))
+    rated = own.filter("piece <> ''").join(common, "piece", "left").groupBy("alias").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    near = hits.join(rated, "piece").groupBy("hash").agg(F.collect_set("alias").alias("near"))
     rows = held.join(near, "hash", "left" if 0 in lengths else "inner")
     found = F.filter(F.coalesce("near", F.array().cast("array<string>")), lambda a: F.contains(F.col("value"), a))
     found = F.concat(found, F.array(F.lit(""))) if 0 in lengths else found

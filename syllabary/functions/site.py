@@ -46,7 +46,10 @@ def read_pages(page_table: DataFrame, unique: bool = False) -> DataFrame:
     """``page_key, url`` and the columns of ``FACT`` of every page of a table (``url, html``; a page an address if ``unique``, else of
     several any one counts). Each page is parsed once, whatever is asked of it later; its markup goes no further."""
     held = page_table.select("url", "html").filter("url is not null and html is not null").withColumn("page_key", url_key(F.col("url")))
-    held = held if unique else held.dropDuplicates(["page_key"])
+    if not unique:
+        held = held.dropDuplicates(["page_key"])
+    elif held.rdd.getNumPartitions() < (tasks := held.sparkSession.sparkContext.defaultParallelism):
+        held = held.repartition(tasks, "page_key")  # few files: parsing is dearer than moving them
     read = F.udtf(ReadPage, returnType=FACT, useArrow=True)
     facts = held.lateralJoin(read(F.col("html").outer(), F.col("url").outer()))
     said = F.when(F.col("kind") == "markdown", markup.tidied(F.col("said"))).otherwise(F.col("said"))
