@@ -50,15 +50,21 @@ def chunk_places(docs: DataFrame, long_words: int, divisor: int, summed: bool =
     """``doc, row_hash, start, length, hash, bytes`` of every eligible chunk of ``doc_id, text``; ``summed``: with the hashes of ``run_places``."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row_hash"), F.split("text", "\n").alias("parts")).filter("parts is not null")
     counted = F.transform("parts", lambda x: F.struct(line_hash(F.encode(x, "UTF-8")).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    rows = rows.withColumn("lines", counted)
-    rows = rows.select("doc", "row_hash", "parts", "lines", F.inline(_chunk_spans(F.col("lines"), long_words, divisor)))
-    own = F.slice("lines", F.col("start") + 1, F.col("length"))
-    filled = F.size(F.filter(own, lambda x: x["words"] > 0))
-    rows = rows.filter((filled >= 2) | ((F.col("length") == 1) & (F.get("lines", F.col("start"))["words"] >= long_words)))
-    text = F.array_join(F.slice("parts", F.col("start") + 1, F.col("length")), "\n")
-    lines = F.transform(F.slice("parts", F.col("start") + 1, F.col("length")), lambda x: F.shiftrightunsigned(F.xxhash64(x), 24))
-    total = F.xxhash64(F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x), F.col("length")) if summed else F.xxhash64(text)
-    return rows.select("doc", "row_hash", "start", "length", total.alias("hash"), F.octet_length(text).alias("bytes"))
+    rows = rows.withColumn("lines", counted).withColumn("spans", _chunk_spans(F.col("lines"), long_words, divisor))
+
+    def eligible(s: Column) -> Column:
+        filled = F.size(F.filter(F.slice("lines", s["start"] + 1, s["length"]), lambda x: x["words"] > 0))
+        return (filled >= 2) | ((s["length"] == 1) & (F.get("lines", s["start"])["words"] >= long_words))
+
+    def measured(s: Column) -> Column:
+        own = F.slice("parts", s["start"] + 1, s["length"])
+        hashes = F.transform(own, lambda x: F.shiftrightunsigned(F.xxhash64(x), 24))
+        text = F.array_join(own, "\n")
+        total = F.xxhash64(F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + x), s["length"]) if summed else F.xxhash64(text)
+        return F.struct(s["start"].alias("start"), s["length"].alias("length"), total.alias("hash"), F.octet_length(text).alias("bytes"))
+
+    # Chunks are measured inside of their document, so that no row of a chunk carries its lines.
+    return rows.select("doc", "row_hash", F.inline(F.transform(F.filter("spans", eligible), measured)))
 
 
 def run_places(docs: DataFrame, over: int) -> DataFrame:
@@ -116,11 +122,14 @@ def remove_repeats(docs: DataFrame, long_words: int = 50, divisor: int = 4, runs
     # many documents are suspect grows with the input, so none of these sides is broadcast.
     texts = docs.select(*_row(F.col("doc_id"), F.xxhash64("text")), "text")
     held = texts.hint("merge").join(suspects.select(*_row(F.col("doc"), F.col("row_hash")), "doc", "found"), _ROW)
-    held = held.withColumn("parts", F.split("text", "\n")).select("doc", "h0", "parts", F.inline("found"))
-    chunk = F.array_join(F.slice("parts", F.col("start") + 1, F.col("length")), "\n")
-    if runs_over is not None:  # runs overlap: their bytes would be many times the text's
-        chunk = F.unhex(F.sha2(chunk, 256))
-    held = scratch.keep(held.select("doc", "h0", "start", "length", "hash", chunk.alias("chunk")), "held")
+
+    def cut(f: Column) -> Column:
+        chunk = F.array_join(F.slice("parts", f["start"] + 1, f["length"]), "\n")
+        # Runs overlap: their bytes would be many times the text's.
+        return F.struct(f["start"].alias("start"), f["length"].alias("length"), f["hash"].alias("hash"), (chunk if runs_over is None else F.unhex(F.sha2(chunk, 256))).alias("chunk"))
+
+    held = held.withColumn("parts", F.split("text", "\n")).select("doc", "h0", F.inline(F.transform("found", cut)))
+    held = scratch.keep(held, "held")
     scratch.drop("places")
     at = F.struct("doc", "h0", "start")
     groups = held.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.max(at).alias("last"))
