@@ -2,9 +2,10 @@
 
 The layout of a record is known by its schema fingerprint: a hash of its nested field paths, array elements written ``[]``. A
 fingerprint selects a declarative mapping (``Mapping``): where the turns are, which fields hold role and text, or which single
-fields are a prompt and its answer. As records carry more fields than a mapping needs, the fingerprint is taken over those of a
-record's paths that the mapping names, and the mapping of most paths goes first. Tables have their fingerprint taken from their
-schema (``turn_rows``), JSON records one by one (``canonical_turns``).
+fields are a prompt and its answer. The fingerprints of the mappings' own layouts are known from the start (``registry``). Records
+carry more fields than a mapping needs, so other fingerprints are entered as they are met: of each distinct one, once, the mapping
+of most paths that the layout holds, or none (``choose``). Records then find their mapping by their fingerprint alone, in a join with
+that table (``canonical_turns``), as a table of turns does by its schema (``turn_rows``).
 
 Formatted text marks turns with two strings. Wherever a control string begins in a text, a backslash is put after its first
 character, and backslashes of the text are doubled, so no text can be taken for a mark and every text can be had back. The
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syllabary.llm.common import together
+from syllabary.llm.common import Scratch, together
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that some template takes for control.
@@ -92,6 +93,11 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def registry(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
+    """The mappings by the fingerprints of their own layouts; of two with one, the first."""
+    return {m.fingerprint: m for m in reversed(mappings)}
+
+
 def value_paths(value, at: str = "") -> set[str]:
     """Nested field paths of a JSON value; null fields count as present."""
     if isinstance(value, dict):
@@ -102,12 +108,15 @@ def value_paths(value, at: str = "") -> set[str]:
 
 
 def choose(paths, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
-    """The mapping whose fingerprint the paths have, restricted to those it names; of several that of most paths, then the first."""
+    """The mapping of a layout: by its fingerprint, if that is a mapping's own; else of those whose paths it holds the one of most paths,
+    then the first, as it is entered under the layout's fingerprint."""
+    paths = set(paths)
+    if (own := registry(mappings).get(fingerprint(paths))) is not None:
+        return own
     for mapping in sorted(mappings, key=lambda m: -len(m.paths)):
-        own = set(mapping.paths).intersection(paths)
-        if mapping.turns and f"{mapping.turns}[]" in paths and not any(p.startswith(f"{mapping.turns}[].") for p in paths):
-            own = mapping.paths  # an array without elements shows none of their fields
-        if fingerprint(own) == mapping.fingerprint:
+        # An array without elements shows none of their fields.
+        empty = mapping.turns and f"{mapping.turns}[]" in paths and not any(p.startswith(f"{mapping.turns}[].") for p in paths)
+        if empty or paths.issuperset(mapping.paths):
             return mapping
     return None
 
@@ -153,13 +162,18 @@ def _text(value) -> str:
     return out if out.isascii() else out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def record_turns(record: str | None, mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[str | None, list[tuple[int | None, str | None, str | None]]]:
-    """(layout, turns (number, role, text)) of a JSON record."""
+def _parsed(record: str | None) -> dict | None:
+    """A record that is a JSON object."""
     try:
         value = json.loads(record or "")
-        mapping = choose(value_paths(value), mappings) if isinstance(value, dict) else None
-        if mapping is None:
-            return _UNKNOWN
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def record_turns(value: dict, mapping: Mapping) -> tuple[str | None, list[tuple[int | None, str | None, str | None]]]:
+    """(layout, turns (number, role, text)) of a record by its mapping."""
+    try:
         if mapping.turns:
             if not all(isinstance(x, dict) for x in value[mapping.turns]):
                 return _UNKNOWN
@@ -176,19 +190,63 @@ def record_turns(record: str | None, mappings: tuple[Mapping, ...] = MAPPINGS) -
         return _UNKNOWN
 
 
+def _layout(record: str | None) -> tuple[str | None, list[str]]:
+    """(fingerprint, paths) of a record; no fingerprint if it is no JSON object or nests too deep."""
+    value = _parsed(record)
+    try:
+        paths = sorted(value_paths(value)) if value is not None else []
+        return (fingerprint(paths) if value is not None else None), paths
+    except (RecursionError, ValueError):
+        return None, []
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records to their distinct layouts, as far as a batch shows: (fingerprint, paths)."""
+    for batch in batches:
+        met = dict(map(_layout, batch.column(0).to_pylist()))
+        met.pop(None, None)
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.list_(pa.string()))], names=["fingerprint", "paths"])
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, record) with the record's fingerprint."""
+    for batch in batches:
+        prints = [_layout(x)[0] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=["conv_id", "record", "fingerprint"])
+
+
+def known_layouts(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """``fingerprint, mapping``: the layouts of ``record``, each once, and the number of the mapping that each selects, if any."""
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [choose(x, mappings) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if m is None else mappings.index(m) for m in found], pa.int32())], names=["fingerprint", "mapping"])
+
+    met = records.select("record").mapInArrow(_layouts, "fingerprint string, paths array<string>")
+    return met.groupBy("fingerprint").agg(F.first("paths").alias("paths")).mapInArrow(enter, "fingerprint string, mapping int")
+
+
 def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``conv_id, turn, role, text, layout`` of JSON records (columns conv_id and ``record``)."""
+    """``conv_id, turn, role, text, layout`` of JSON records (columns conv_id and ``record``).
+
+    The table of layouts is written, so that Spark knows its size when it joins it; one layout may have all records, as there is one
+    row of it on the other side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in together(batch, 1):
                 rows = []
-                for conv_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    layout, found = record_turns(text, mappings)
+                for conv_id, text, number in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    layout, found = _UNKNOWN if number is None else record_turns(_parsed(text), mappings[number])
                     rows += [{"conv_id": conv_id, "turn": i, "role": r, "text": t, "layout": layout} for i, r, t in found]
                 yield pa.RecordBatch.from_pylist(rows, _TURNS_ARROW)
 
-    return records.select(F.col("conv_id").cast("long"), F.col(record).cast("string")).mapInArrow(run, _TURNS)
+    plain = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(record).cast("string").alias("record"))
+    layouts = Scratch(records.sparkSession, "layouts").keep(known_layouts(plain, mappings), "layouts")
+    printed = plain.mapInArrow(_printed, "conv_id long, record string, fingerprint string")
+    return printed.join(layouts, "fingerprint", "left").select("conv_id", "record", "mapping").mapInArrow(run, _TURNS)
 
 
 def escape(text: str) -> str:

@@ -200,6 +200,35 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written)
 
 
+@query(
+    "op4_layouts",
+    """
+    WITH c AS (SELECT conv_id * 1048576 + turn AS id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, (conv_id + turn) % 5 AS kind FROM conversations)
+    SELECT id AS conv_id, CASE WHEN kind = 2 THEN turn WHEN kind < 2 THEN 0 END::BIGINT AS turn, CASE WHEN kind < 3 THEN role END AS role, CASE WHEN kind < 3 THEN text END AS text,
+    CASE kind WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'turn rows' END AS layout FROM c WHERE kind <> 3
+    UNION ALL SELECT id, 0, 'user', text, 'prompt and response' FROM c WHERE kind = 3 AND text <> ''
+    UNION ALL SELECT id, CASE WHEN text <> '' THEN 1 ELSE 0 END, 'assistant', 'yes', 'prompt and response' FROM c WHERE kind = 3
+    """,
+)
+def op4_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a JSON record of one of five layouts, with more fields than the mappings name; each finds its mapping by its
+    fingerprint and becomes canonical turns; the fifth layout has no mapping."""
+    rows = read(spark, sf_dir, "conversations")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    other = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    layouts = (
+        F.struct(F.array(F.struct(role.alias("role"), text.alias("content"), F.lit(1).alias("weight"))).alias("messages"), F.lit("x").alias("source")),
+        F.struct(F.array(F.struct(other.alias("from"), text.alias("value"))).alias("conversations")),
+        F.struct("conv_id", "turn", role.alias("role"), text.alias("text"), F.struct(F.lit(1).alias("a")).alias("meta")),
+        F.struct(text.alias("prompt"), F.lit("yes").alias("response")),
+        F.struct(text.alias("body"), F.array(F.lit(1)).alias("messages")),
+    )
+    kind, record = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)), F.lit(None).cast("string")
+    for number, layout in enumerate(layouts):
+        record = F.when(kind == number, F.to_json(layout)).otherwise(record)
+    return chat.canonical_turns(rows.select((F.col("conv_id") * 1048576 + F.col("turn")).alias("conv_id"), record.alias("record")))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by a model of the labelled rows outside the held-out third."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from syllabary.llm import queries, quality, toxicity
+from syllabary.llm import chat, queries, quality, toxicity
 from syllabary.llm.common import Scratch
 from tests.llm.test_duplicates_and_lines import brute_components, words_of
 from tests.llm.test_scores_chat_search import levenshtein
@@ -24,7 +25,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     return con
 
@@ -160,3 +161,53 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         pieces.setdefault((r["doc_id"], r["doc_tokens"], r["start"]), []).append(bytes(r["ids"]))
     assert sorted(x for (_, n, start), found in pieces.items() for x in found) == want_ids and all(start == 0 for _, _, start in pieces)
     assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()))) == sorted(str(r["doc_id"]) for r in kept["packing"])
+
+
+def test_chat_query_over_its_table(spark):
+    """Every conversation's digests, and those of the one made of control strings, from plain Python."""
+    turns = {}
+    for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    turns[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    found = {r["conv_id"]: r for r in queries.QUERIES["op4_chat_format"](spark, FOLDER).collect()}
+    assert found.keys() == turns.keys()
+    for i, own in turns.items():
+        own = sorted(own)
+        said, learnt = "".join(f"{role}\n{text}\n" for _, role, text in own), "".join(text for _, role, text in own if role == "assistant")
+        r = found[i]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert r["formatted_chars"] >= len(said)
+
+
+def test_a_fingerprint_selects_the_mapping(spark):
+    rows = [(1, '{"messages": [{"role": "user", "content": "a"}], "n": 1}'), (2, '{"n": 2, "messages": [{"content": "b", "role": "gpt"}]}'), (3, '{"prompt": "p", "response": "r"}'), (4, '{"zzz": 1}'), (5, "[1]"), (6, None)]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    layouts = {r["fingerprint"]: r["mapping"] for r in chat.known_layouts(df).collect()}
+    names = {k: None if m is None else chat.MAPPINGS[m].name for k, m in layouts.items()}
+    assert names == {chat.fingerprint(["messages[].role", "messages[].content", "n"]): "messages", chat.registry(chat.MAPPINGS)[chat.fingerprint(["prompt", "response"])].fingerprint: "prompt and response", chat.fingerprint(["zzz"]): None}
+    found = sorted((r["conv_id"], r["turn"] if r["turn"] is not None else -1, r["role"], r["text"]) for r in chat.canonical_turns(df).collect())
+    assert found == [(1, 0, "user", "a"), (2, 0, "assistant", "b"), (3, 0, "user", "p"), (3, 1, "assistant", "r"), (4, -1, None, None), (5, -1, None, None), (6, -1, None, None)]
+
+
+def test_toxicity_query_learns_apart_from_the_held_out_third(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    found = {r["doc_id"]: r for r in queries.QUERIES["op5_toxicity"](spark, FOLDER).collect()}
+    docs = [r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()]
+    assert sorted(found) == sorted(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for i, r in found.items())
+    held = [(labels[i], r["predicted"]) for i, r in found.items() if r["held_out"] and labels.get(i) is not None]
+    assert sum(a == b for a, b in held) >= 0.8 * len(held)
+
+
+def test_quality_query_against_its_functions(spark, documents):
+    model = queries.quality_model(spark, FOLDER)
+    assert len(model.ratios) == quality.COUNTERS
+    found = {r["doc_id"]: r for r in queries.QUERIES["op10_quality_rules"](spark, FOLDER).collect()}
+    assert sorted(found) == [i for i, _ in documents]
+    for i, text in documents:
+        n, chars, symbols, lines, repeated = quality.base_counts(text or "")
+        r, failed = found[i], n < 20 or 100 * repeated > 30 * n
+        features = quality._features([(text or "").encode()], len(model.ratios))[0]
+        score = float(model.ratios[features].mean()) if len(features) else 0.0
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, chars, symbols, lines, repeated, failed)
+        assert r["kept"] == (not failed and score >= model.threshold)
