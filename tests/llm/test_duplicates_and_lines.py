@@ -216,9 +216,9 @@ def test_block_permutations_are_permutations(spark):
 
 
 def test_long_documents_are_cut_in_linear_time(spark):
-    """128,000 lines: half of them stand in another document as well, and go from the later one."""
+    """128,000 lines: half of them stand in another document as well, and go from the later one, but lines that are a chunk alone."""
     text = "\n".join(f"line {i * 7919 % 1_000_003} of words" for i in range(128_000))
     df = spark.createDataFrame([(1, text[: len(text) // 2]), (2, text)], "doc_id long, text string")
     begun = time.perf_counter()
     found = {r["doc_id"]: (len(r["removed_lines"]), len(r["text"])) for r in line_chunks.remove_repeats(df).collect()}
-    assert found[1] == (0, len(text) // 2) and 60_000 < found[2][0] <= 64_001 and time.perf_counter() - begun < 60
+    assert found[1] == (0, len(text) // 2) and 55_000 < found[2][0] <= 64_001 and time.perf_counter() - begun < 60
