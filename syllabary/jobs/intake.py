@@ -158,7 +158,7 @@ def k7_chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("department")).agg(F.sum("p_size").cast("long").alias("credits"))
     rows, caption = report.chart(totals)
     said = caption.first()  # one row
-    return rows.select("*", *[F.lit(said[c]).alias(c) for c in ("all_credits", "n_departments")])
+    return rows.select("*", *[F.lit(said[c]).cast("long").alias(c) for c in ("all_credits", "n_departments")])
 
 
 _TITLE = _decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")

@@ -387,4 +387,4 @@ def k3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Tables(spark, 'documents').path}/courses"
     documents.write_documents(made, folder)
     back = files.read_records(spark, folder)
-    return back.select("teacher_dir", "year_dir", "file", "credits", "url", F.sha2(F.col("syllabus")["it"]["contents"]["Aims"], 256).alias("content"), F.col("schedule.from").alias("begins"), F.col("course_title.id").alias("course_id"))
+    return back.select("teacher_dir", F.col("year_dir").cast("long").alias("year_dir"), "file", "credits", "url", F.sha2(F.col("syllabus")["it"]["contents"]["Aims"], 256).alias("content"), F.col("schedule.from").alias("begins"), F.col("course_title.id").alias("course_id"))
