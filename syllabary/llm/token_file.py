@@ -31,8 +31,6 @@ from syllabary.llm.common import TOGETHER, Scratch, text_of, together
 BLOCK = 256
 #: Tokens of a segment, but for a single longer document.
 SEGMENT = 1 << 19
-#: Chunks of text in one generation of a worker's lookup, twice the usual: no other stage runs in the workers that write a file.
-KEPT = 1_000_000
 #: Longest code; the decoding table has two to this power entries.
 LONGEST = 18
 
@@ -137,7 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     scratch = Scratch(spark, "token-ids")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, row, first = tokens.load(tokenizer, kept=KEPT), TaskContext.get().partitionId(), 0, 0
+        encoder, part, row, first = tokens.load(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for some in together(batch, 1, most=4 * TOGETHER, rows=2000):
@@ -158,8 +156,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                found = np.bincount(np.frombuffer(x.as_buffer(), wide))
+            for some in together(batch, 0):
+                found = np.bincount(np.frombuffer(b"".join(some.column(0).to_pylist()), wide))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found

@@ -12,18 +12,27 @@ import json
 import os
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks kept by one generation of the lookup, and characters of a chunk that is kept; two generations live at once, which bounds
 #: a worker's memory.
-KEPT_CHUNKS, LONGEST_KEPT = 500_000, 64
+KEPT_CHUNKS, LONGEST_KEPT = 800_000, 64
+#: Runs of marks whose ids are kept.
+MARKS_KEPT = 10_000
 #: New chunks that are joined into one string for the tokenizer.
 JOINED = 256
 
 _loaded: dict[str, ChunkTokenizer] = {}
-_SPACE_AT_EDGE = re.compile(r"\s | \s")
+#: What ``\\s`` is in Python, for Arrow: a blank beside another white space.
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACE_AT_EDGE = f"{_SPACES} | {_SPACES}"
 _CHUNKS = re.compile(r"(?<=\S)(?= )")
 _MARK = "~"
 #: Letters of two Latin blocks, then marks: what every pre-tokenizer at hand cuts in at most two.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|*$%&#]*")
+_LETTERS = "".join(x for x in map(chr, range(256)) if _PLAIN.fullmatch(x))
+_MARKS = ".,;:!?|*$%&#"
 
 
 class ChunkTokenizer:
@@ -53,6 +62,10 @@ class ChunkTokenizer:
                 self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         # Whether line feeds and tabs are as good as blanks.
         self.drops_space = self.mark is not None and self._ids("\ta\n\n b\t \nc\n") == self._ids("a b c")
+        self.cuts_marks = self._pieces_as_expected() and (self.starts is not None or self.ends is not None)
+        self.lowers = self.ends is not None and self._ids(_LETTERS) == self._ids(_LETTERS.lower()) and _LETTERS.lower() == pc.utf8_lower(_LETTERS).as_py()
+        self.marks: dict[str, bytes] = {}
+        #: No generation holds more, but for the chunks of one call.
         self.kept = kept
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -63,7 +76,7 @@ class ChunkTokenizer:
     def _pieces_as_expected(self) -> bool:
         """Whether the tokenizer takes a run of letters, and one of marks after it, as one piece each."""
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        return all(len(cut(x)) == n for x, n in (("abéß", 1), ("ab.", 2), ("àb,!|", 2), ("Zürich?", 2)))
+        return all(len(cut(x)) == n for x, n in (("abéß", 1), ("ab.", 2), ("àb,!|", 2), ("Zürich?", 2), (" Ab*$%&#", 2), (" é;: a", 3), (_LETTERS, 1), (_LETTERS + _MARKS, 2)))
 
     def _by_ends(self, words: list[str]) -> list[bytes] | None:
         """Ids of plain words from the marks at their ends: one for the letters, one for what follows them."""
@@ -107,9 +120,9 @@ class ChunkTokenizer:
 
     def _learn(self, words: set[str]) -> list[str]:
         """Give every word an entry in the younger generation; those are returned that are too long to stay there."""
-        if len(self.new) > self.kept:
-            self.old, self.new = self.new, {}
         missing = words.difference(self.new)
+        if len(self.new) + len(missing) > self.kept and self.new:
+            self.old, self.new, missing = self.new, {}, set(words)
         if self.old:
             again = missing.intersection(self.old)
             self.new.update((w, self.old[w]) for w in again)
@@ -137,8 +150,74 @@ class ChunkTokenizer:
             others = [t for i, t in enumerate(texts) if i not in kept]
             rest = iter(self.encode(others) if others else ())
             return [kept[i] if i in kept else next(rest) for i in range(len(texts))]
-        cut = [_blanks(text) if self.drops_space else _cut(text) for text in texts]
-        begun = [b""] * len(cut) if self.drops_space else self._one_by_one([x.pop(0) for x in cut])
+        if self.drops_space:
+            return self._by_words(texts, begun=None)
+        edged = pc.match_substring_regex(pa.array(texts, pa.string()), _SPACE_AT_EDGE).to_pylist()
+        begun = self._one_by_one([(_CHUNKS.split(t, maxsplit=1) if x else t.split(" ", 1))[0] for t, x in zip(texts, edged, strict=True)])
+        even, uneven = ([i for i, x in enumerate(edged) if x == y] for y in (False, True))
+        out = dict(zip(even, self._by_words([texts[i] for i in even], [begun[i] for i in even]), strict=True))
+        out.update(zip(uneven, self._by_chunks([texts[i] for i in uneven], [begun[i] for i in uneven]), strict=True))
+        return [out[i] for i in range(len(texts))]
+
+    def _by_words(self, texts: list[str], begun: list[bytes] | None) -> list[bytes]:
+        """Ids of texts that are cut at every blank; ``begun``: ids of what stands before each one's first blank, where they are
+        other than after a blank."""
+        if not texts:
+            return []
+        import numpy as np
+
+        if begun is None:
+            texts = [t.replace("\n", " ").replace("\t", " ") for t in texts]
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words, edges = cut.values, cut.offsets.to_numpy()
+        if begun is not None:
+            rest = np.ones(len(words), bool)
+            rest[edges[:-1]] = False
+            words = pc.if_else(pa.array(rest), words, pa.scalar(None, words.type))
+        coded = words.dictionary_encode()
+        ids, at = self._ids_of(coded.dictionary), coded.indices
+        if begun is not None:
+            at = at.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            at[edges[:-1]] = np.arange(len(ids), len(ids) + len(begun))
+            at = pa.array(at)
+        # The ids of all words one after the other, of which each text has a part.
+        joined = pa.concat_arrays([ids, pa.array(begun or [], pa.large_binary())]).take(at)
+        ends, packed = np.frombuffer(joined.buffers()[1], np.int64)[edges].tolist(), memoryview(joined.buffers()[2] or b"")
+        return [bytes(packed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _ids_of(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of different words. Letters with marks after them are looked up as two pieces, so that fewer are new."""
+        if not self.cuts_marks:
+            return self._looked_up(words)
+        letters, marks = pc.utf8_rtrim(words, characters=_MARKS), pc.utf8_ltrim(words, characters=_LETTERS)
+        both = pc.add(pc.binary_length(letters), pc.binary_length(marks))
+        plain = pc.and_(pc.equal(both, pc.binary_length(words)), pc.greater(pc.binary_length(letters), 0))
+        marks = pc.if_else(plain, marks, "").dictionary_encode()
+        if self.lowers:
+            letters = pc.utf8_lower(letters)
+        pieces = pc.if_else(plain, letters, words).dictionary_encode()
+        after = pa.array([self._packed(x) for x in marks.dictionary.to_pylist()], pa.large_binary())
+        return pc.binary_join_element_wise(self._looked_up(pieces.dictionary).take(pieces.indices), after.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+
+    def _packed(self, marks: str) -> bytes:
+        """Ids of marks that follow a letter."""
+        if marks not in self.marks:
+            if len(self.marks) > MARKS_KEPT:
+                self.marks.clear()
+            self.marks[marks] = self._one_by_one([marks])[0]
+        return self.marks[marks]
+
+    def _looked_up(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        found = words.to_numpy(zero_copy_only=False).tolist()
+        long = self._learn(set(found))
+        ids = pa.array([self.new[w] for w in found], pa.large_binary())
+        for w in long:
+            del self.new[w]
+        return ids
+
+    def _by_chunks(self, texts: list[str], begun: list[bytes]) -> list[bytes]:
+        """Ids of texts of which some blanks follow or precede white space; ``begun``: ids of the first chunk of each."""
+        cut = [[x[1:] for x in _CHUNKS.split(text)[1:]] for text in texts]
         long = self._learn(set().union(*cut))
         get = self.new.__getitem__
         out = [first + b"".join(map(get, rest)) for first, rest in zip(begun, cut, strict=True)]
@@ -147,21 +226,8 @@ class ChunkTokenizer:
         return out
 
 
-def _cut(text: str) -> list[str]:
-    """Chunks of a text: the first as it is, the others without the blank that each begins with."""
-    if not _SPACE_AT_EDGE.search(text):
-        return text.split(" ")
-    first, *rest = _CHUNKS.split(text)
-    return [first, *(x[1:] for x in rest)]
-
-
-def _blanks(text: str) -> list[str]:
-    """Chunks between blanks, line feeds and tabs, for a tokenizer that drops them."""
-    return text.replace("\n", " ").replace("\t", " ").split(" ")
-
-
-def load(path: str, kept: int = KEPT_CHUNKS) -> ChunkTokenizer:
-    """The tokenizer of a file, once in each Python worker; ``kept`` bounds the chunks of one generation of its lookup."""
+def load(path: str) -> ChunkTokenizer:
+    """The tokenizer of a file, once in each Python worker."""
     if path not in _loaded:
-        _loaded[path] = ChunkTokenizer(path, kept)
+        _loaded[path] = ChunkTokenizer(path)
     return _loaded[path]

@@ -42,6 +42,16 @@ def test_chunks_encode_as_whole_texts(name, texts):
         assert np.frombuffer(ids, encoder.dtype).tolist() == direct(name, text, 0)[:-1].tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_lookup_keeps_its_bound(name):
+    encoder = tokens.ChunkTokenizer(public_tokenizers.path(name), kept=1000)
+    for i in range(12):
+        texts = [" ".join(f"w{(i * 400 + k) % 3600}x" for k in range(400)), f"  w{i}  x\n y", ""]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, encoder.dtype).tolist() == direct(name, text, 0)[:-1].tolist()
+        assert len(encoder.new) <= 1000 and len(encoder.old) <= 1000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 400), max_size=3000), st.integers(9, 18))
 def test_codes_round_trip(ids, longest):
