@@ -42,6 +42,16 @@ def test_chunks_encode_as_whole_texts(name, texts):
         assert np.frombuffer(ids, encoder.dtype).tolist() == direct(name, text, 0)[:-1].tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_are_looked_up_once(name):
+    """However many marks follow them, and in capitals or not where the tokenizer takes both alike."""
+    encoder = tokens.ChunkTokenizer(public_tokenizers.path(name))
+    texts = [f"x {w}{m} {w}. a" for w in ("éclatant", "Éclatant") for m in (*".,;:!?|*$%&#", "!!!", "***", ".'s", "'s", "1", "~")]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == direct(name, text, 0)[:-1].tolist()
+    assert sum("clatant" in w and not w.endswith(("'s", "1", "~")) for w in encoder.new) == (2 if name.startswith("byte") else 1)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_lookup_keeps_its_bound(name):
     encoder = tokens.ChunkTokenizer(public_tokenizers.path(name), kept=1000)
