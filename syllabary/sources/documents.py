@@ -15,9 +15,11 @@ from __future__ import annotations
 import datetime
 import decimal
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyarrow import fs
@@ -51,17 +53,40 @@ class Ended(WriterCommitMessage):
     documents: int
 
 
+def _drop(attempts: str) -> None:
+    """Delete the folder of the attempts while tasks may still write there: under another name, where they don't find it."""
+    system, base = fs.FileSystem.from_uri(attempts)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        return
+    gone = f"{base}-gone"
+    try:
+        system.move(base, gone)
+    except (OSError, NotImplementedError):  # no file system for this; then where it is
+        gone = base
+    for left in reversed(range(20)):
+        try:
+            return system.delete_dir(gone)
+        except OSError:  # a file came in between
+            if not left:
+                raise
+            time.sleep(0.1)
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, attempts: str):
         self.attempts = attempts
 
     def write(self, rows: Iterator[Row]) -> Ended:
         system, base = fs.FileSystem.from_uri(self.attempts)
-        folder, number = f"{base}/{uuid.uuid4().hex}", 0
+        folder, number, made = f"{base}/{uuid.uuid4().hex}", 0, set()
         for row in rows:
             fields = row.asDict()
             at = f"{folder}/{fields.pop(PATH)}"
-            system.create_dir(at.rpartition("/")[0])
+            # Level by level, so that a task which is still at work when its job has been aborted can't bring the attempts back.
+            for level in accumulate([folder, *at.removeprefix(f"{folder}/").split("/")[:-1]], "{}/{}".format):
+                if level not in made:
+                    system.create_dir(level, recursive=False)
+                    made.add(level)
             with system.open_output_stream(at) as out:
                 said = (fields[TEXT] or "") if TEXT in fields else json.dumps(plain(fields), ensure_ascii=False) + "\n"
                 out.write(said.encode())
@@ -75,9 +100,7 @@ class _Writer(DataSourceWriter):
             out.write("".join(json.dumps({"folder": m.folder, "documents": m.documents}) + "\n" for m in messages if m and m.documents).encode())
 
     def abort(self, messages: list[Ended | None]) -> None:
-        system, base = fs.FileSystem.from_uri(self.attempts)
-        if system.get_file_info(base).type == fs.FileType.Directory:
-            system.delete_dir(base)
+        _drop(self.attempts)
 
 
 class Documents(DataSource):
@@ -120,5 +143,11 @@ def write_documents(rows: DataFrame, target: str) -> None:
         raise ValueError(f"{wrong[0][PATH]!r} is no path of one document below the folder")
     spark.dataSource.register(Documents)
     attempts = f"{target if '://' in target else 'file://' + target}.attempts-{uuid.uuid4().hex}"
-    rows.write.format("documents").option("attempts", attempts).mode("append").save()
+    system, base = fs.FileSystem.from_uri(attempts)
+    system.create_dir(base)  # tasks write below it as long as it is there
+    try:
+        rows.write.format("documents").option("attempts", attempts).mode("append").save()
+    except Exception:
+        _drop(attempts)
+        raise
     place_documents(spark, attempts, target)

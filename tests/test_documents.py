@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from syllabary.sources import documents, files
@@ -42,6 +43,22 @@ def test_failed_jobs_leave_nothing(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("*.json"))) == 8 and [p.name for p in tmp_path.iterdir()] == ["out"]
 
 
+def test_late_tasks_leave_nothing(tmp_path):
+    """A task that is still at work when its job is aborted."""
+    (tmp_path / "a").mkdir()
+    writer = documents._Writer(f"file://{tmp_path}/a")
+
+    def rows():
+        yield Row(document_path="d/e/1.json", i=1)
+        assert [p.name for p in tmp_path.rglob("*.json")] == ["1.json"]
+        writer.abort([])
+        yield Row(document_path="d/f/2.json", i=2)
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert not list(tmp_path.iterdir())
+
+
 def test_moving_is_taken_up_again(spark, tmp_path):
     attempts, target = tmp_path / "a", tmp_path / "t"
     (attempts / "task" / "x").mkdir(parents=True)
