@@ -212,6 +212,32 @@ def test_quality_cut_bears_wrong_labels():
     assert quality.best_cut(np.array([1.0]), np.array([0.0])) == 0.5
 
 
+def test_quality_cut_of_a_table(spark):
+    schema, r = "score double, good long, bad long", np.random.default_rng(5)
+    for few in (False, True):
+        good, bad = r.normal(1, 1, 700), r.normal(0, 1, 500)
+        good, bad = (np.round(x, 1) if few else x for x in (good, bad))
+        rows = [(float(x), int((good == x).sum()), int((bad == x).sum())) for x in np.unique(np.concatenate([good, bad]))]
+        assert quality.cut_of(spark.createDataFrame(rows, schema).repartition(7)) == quality.best_cut(good, bad)
+    assert quality.cut_of(spark.createDataFrame([(1.0, 1, 0), (0.0, 0, 1)], schema)) == 0.5
+    assert quality.cut_of(spark.createDataFrame([(1.0, 3, 2)], schema)) == 1.0
+    for none in ([], [(1.0, 1, 0)], [(1.0, 0, 1)]):
+        assert quality.cut_of(spark.createDataFrame(none, schema)) is None
+
+
+def test_quality_learns_from_every_label(spark):
+    """More labelled documents than were once looked at: each one's word is in the target."""
+    n = 50_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("good").alias("text"))
+    model = quality.learn(docs.unionByName(docs.limit(1).select((F.col("doc_id") + n).alias("doc_id"), F.lit("bad").alias("text"))), docs.select("doc_id", F.lit(True).alias("trusted")), threshold=0.0, buckets=1 << 8)
+    good, bad = (quality._features([x], 1 << 8)[0][0] for x in (b"good", b"bad"))
+    target, raw = np.full(1 << 8, 0.5), np.full(1 << 8, 0.5)
+    for counts, texts in ((target, {b"good": n}), (raw, {b"good": n, b"bad": 1})):
+        for text, times in texts.items():
+            np.add.at(counts, quality._features([text], 1 << 8)[0], times)
+    assert good != bad and np.array_equal(model.ratios, quality._log_ratios(target, raw))
+
+
 def test_quality_against_plain_counts(spark):
     """Learning and verdict against a dictionary of features, with no array operations."""
     from syllabary.llm import shingles
