@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         encoder, part, row, first = tokens.load(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for some in together(batch, 1, most=4 * TOGETHER, rows=2000):
+            for some in together(batch, 1, most=8 * TOGETHER, rows=4000):
                 ids = [x + end for x in encoder.encode(some.column(1).to_pylist())]
                 sizes = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
                 firsts = first + np.cumsum(sizes) - sizes

@@ -1,13 +1,14 @@
 """Token ids of whole texts, as packed bytes.
 
-A text is cut before every blank that follows a character which is no white space. A pre-tokenizer that splits at white space
-yields the same pieces from each chunk alone as from the whole text, so ids of a chunk are looked up where it was seen before
-and only new chunks reach the tokenizer, many in one call. A text that holds one of the vocabulary's added tokens goes to the
-tokenizer whole, which cuts it there and gives that token's id.
+A text is cut before every blank (and line feed, where the vocabulary is of bytes) that follows a character which is no white
+space. A pre-tokenizer that splits at white space yields the same pieces from each chunk alone as from the whole text, so ids of a
+chunk are looked up where it was seen before and only new chunks reach the tokenizer, many in one call. A text that holds one of the
+vocabulary's added tokens goes to the tokenizer whole, which cuts it there and gives that token's id.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -33,6 +34,9 @@ _MARK = "~"
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|*$%&#]*")
 _LETTERS = "".join(x for x in map(chr, range(256)) if _PLAIN.fullmatch(x))
 _MARKS = ".,;:!?|*$%&#"
+#: Words that byte-level pre-tokenizers take as one piece, or as a line feed and one.
+_BARE = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_INNER_LINE = f"({_SPACES.replace('[', '[^', 1)})\n"
 
 
 class ChunkTokenizer:
@@ -41,7 +45,7 @@ class ChunkTokenizer:
     def __init__(self, path: str, kept: int = KEPT_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -50,16 +54,27 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         layout = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        self.starts, self.mark, self.ends = None, None, None
+        self.starts, self.mark, self.ends, self.bare = None, None, None, None
         if layout.get("type") == "ByteLevel" and layout.get("use_regex"):
             self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
             self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+            if "Ċ" in vocabulary:
+                # The same model behind a pre-tokenizer that needs no pattern: bytes are spelt as in the vocabulary, 0 parts pieces.
+                self.bare = Tokenizer(self.tokenizer.model)
+                self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+                self.begins = self.starts.copy()
+                self.begins[vocabulary["Ċ"]] = True
+                as_is, others = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
+                self.spelt = " " + "".join(chr(i if i in as_is else next(others)) for i in range(256))[1:]
         elif len(mark := self._ids(_MARK)) == 1 and self._ids(f" a {_MARK} b") == self._ids("a") + mark + self._ids("b"):
             self.mark = mark[0]
             suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
             if suffix and self._pieces_as_expected():
                 self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
                 self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        probe = ["aB", _LETTERS, f"\n{_LETTERS}", "\nab", "é", "\nÀ"]
+        if self.bare and self._joined(probe, bare=True) != self._one_by_one([w if w[0] == "\n" else f" {w}" for w in probe]):
+            self.bare = None
         # Whether line feeds and tabs are as good as blanks.
         self.drops_space = self.mark is not None and self._ids("\ta\n\n b\t \nc\n") == self._ids("a b c")
         self.cuts_marks = self._pieces_as_expected() and (self.starts is not None or self.ends is not None)
@@ -100,17 +115,22 @@ class ChunkTokenizer:
 
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[bytes] | None:
-        """Ids of words that hold no blank, each as it is after one blank; None where the joined ids can't be told apart."""
+    def _joined(self, words: list[str], bare: bool = False) -> list[bytes] | None:
+        """Ids of words that hold no blank, each as it is after one blank (``bare``: words as in ``_BARE``, as they are after a blank
+        or with their line feed); None where the joined ids can't be told apart."""
         import numpy as np
 
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        between = " " if self.starts is not None else f" {_MARK} "
-        found = self.tokenizer.encode_batch_fast([between + between.join(x) for x in groups], add_special_tokens=False)
+        between = "\0 " if bare else " " if self.starts is not None else f" {_MARK} "
+        joined = [between + between.join(x) for x in groups]
+        if bare:
+            joined = [codecs.charmap_decode(x.replace("\0 \n", "\0\n\0").encode(), "strict", self.spelt)[0] for x in joined]
+        found = (self.bare if bare else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)
+        starts = self.begins if bare else self.starts
         out = []
         for group, ids in zip(groups, found, strict=True):
             ids = np.array(ids.ids, self.dtype)
-            at = np.flatnonzero(self.starts[ids] if self.starts is not None else ids == self.mark)
+            at = np.flatnonzero(starts[ids] if starts is not None else ids == self.mark)
             if len(at) != len(group):
                 return None
             skip, size = int(self.starts is None), self.dtype.itemsize
@@ -118,29 +138,37 @@ class ChunkTokenizer:
             out += [packed[(a + skip) * size : b * size] for a, b in zip(at.tolist(), ends, strict=True)]
         return out
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Give every word an entry in the younger generation; those are returned that are too long to stay there."""
-        missing = words.difference(self.new)
+    def _is_line(self, word: str) -> bool:
+        """Whether a word stands for itself, where others stand for what they are after a blank."""
+        return self.bare is not None and word.lstrip(" ").startswith("\n")
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of different words that the younger generation lacks; it takes up those that are not too long to stay there."""
         if len(self.new) + len(missing) > self.kept and self.new:
-            self.old, self.new, missing = self.new, {}, set(words)
-        if self.old:
-            again = missing.intersection(self.old)
-            self.new.update((w, self.old[w]) for w in again)
-            missing -= again
-        long = [w for w in missing if len(w) > LONGEST_KEPT]
+            self.old, self.new = self.new, {}
+        learnt = {w: ids for w, ids in zip(missing, map(self.old.get, missing), strict=True) if ids is not None} if self.old else {}
+        if learnt:
+            missing = [w for w in missing if w not in learnt]
+        long = {w for w in missing if len(w) > LONGEST_KEPT}
         if self.ends is not None:
             plain = [w for w in missing if _PLAIN.fullmatch(w)]
             if (ids := self._by_ends(plain)) is not None:
-                self.new.update(zip(plain, ids, strict=True))
-                missing.difference_update(plain)
-        odd = [w for w in missing if not w or " " in w or (_MARK in w and self.starts is None)]
-        plain = list(missing.difference(odd)) if odd else list(missing)
+                learnt.update(zip(plain, ids, strict=True))
+                missing = [w for w in missing if w not in learnt]
+        if self.bare:
+            plain = [w for w in missing if _BARE.fullmatch(w)]
+            if (ids := self._joined(plain, bare=True)) is not None:
+                learnt.update(zip(plain, ids, strict=True))
+                missing = [w for w in missing if w not in learnt]
+        odd = [w for w in missing if not w or " " in w or (_MARK in w and self.starts is None) or (self.bare and w[0] == "\n")]
+        plain = list(set(missing).difference(odd)) if odd else missing
         ids = self._joined(plain) if self.starts is not None or self.mark is not None else None
         if ids is None:
             odd, plain, ids = odd + plain, [], []
-        self.new.update(zip(plain, ids, strict=True))
-        self.new.update(zip(odd, self._one_by_one([" " + w for w in odd]), strict=True))
-        return long
+        learnt.update(zip(plain, ids, strict=True))
+        learnt.update(zip(odd, self._one_by_one([w if self._is_line(w) else " " + w for w in odd]), strict=True))
+        self.new.update({w: ids for w, ids in learnt.items() if w not in long} if long else learnt)
+        return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -153,10 +181,13 @@ class ChunkTokenizer:
         if self.drops_space:
             return self._by_words(texts, begun=None)
         edged = pc.match_substring_regex(pa.array(texts, pa.string()), _SPACE_AT_EDGE).to_pylist()
-        begun = self._one_by_one([(_CHUNKS.split(t, maxsplit=1) if x else t.split(" ", 1))[0] for t, x in zip(texts, edged, strict=True)])
         even, uneven = ([i for i, x in enumerate(edged) if x == y] for y in (False, True))
-        out = dict(zip(even, self._by_words([texts[i] for i in even], [begun[i] for i in even]), strict=True))
-        out.update(zip(uneven, self._by_chunks([texts[i] for i in uneven], [begun[i] for i in uneven]), strict=True))
+        evens, unevens = ([texts[i] for i in x] for x in (even, uneven))
+        if self.bare:  # lines are cut too, as if a blank stood before each
+            evens = pc.replace_substring_regex(pa.array(evens, pa.string()), _INNER_LINE, "\\1 \n").to_pylist()
+        begun = self._one_by_one([t.split(" ", 1)[0] for t in evens] + [_CHUNKS.split(t, maxsplit=1)[0] for t in unevens])
+        out = dict(zip(even, self._by_words(evens, begun[: len(even)]), strict=True))
+        out.update(zip(uneven, self._by_chunks(unevens, begun[len(even) :]), strict=True))
         return [out[i] for i in range(len(texts))]
 
     def _by_words(self, texts: list[str], begun: list[bytes] | None) -> list[bytes]:
@@ -209,21 +240,19 @@ class ChunkTokenizer:
 
     def _looked_up(self, words: pa.StringArray) -> pa.LargeBinaryArray:
         found = words.to_numpy(zero_copy_only=False).tolist()
-        long = self._learn(set(found))
-        ids = pa.array([self.new[w] for w in found], pa.large_binary())
-        for w in long:
-            del self.new[w]
-        return ids
+        ids = list(map(self.new.get, found))  # each word is looked for once, as most of the time goes into that
+        if missing := [w for w, x in zip(found, ids, strict=True) if x is None]:
+            learnt = self._learn(missing)
+            ids = [learnt[w] if x is None else x for w, x in zip(found, ids, strict=True)]
+        return pa.array(ids, pa.large_binary())
 
     def _by_chunks(self, texts: list[str], begun: list[bytes]) -> list[bytes]:
         """Ids of texts of which some blanks follow or precede white space; ``begun``: ids of the first chunk of each."""
-        cut = [[x[1:] for x in _CHUNKS.split(text)[1:]] for text in texts]
-        long = self._learn(set().union(*cut))
-        get = self.new.__getitem__
-        out = [first + b"".join(map(get, rest)) for first, rest in zip(begun, cut, strict=True)]
-        for w in long:
-            del self.new[w]
-        return out
+        cut = [[x if self._is_line(x) else x[1:] for x in _CHUNKS.split(text)[1:]] for text in texts]
+        words = set().union(*cut)
+        known = {w: self.new[w] for w in words if w in self.new}
+        get = (known | self._learn(list(words.difference(known)))).__getitem__
+        return [first + b"".join(map(get, rest)) for first, rest in zip(begun, cut, strict=True)]
 
 
 def load(path: str) -> ChunkTokenizer:

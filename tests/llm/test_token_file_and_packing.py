@@ -52,6 +52,19 @@ def test_letters_are_looked_up_once(name):
     assert sum("clatant" in w and not w.endswith(("'s", "1", "~")) for w in encoder.new) == (2 if name.startswith("byte") else 1)
 
 
+def test_ends_and_beginnings_of_lines_are_looked_up_apart():
+    encoder = tokens.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    ends, begins = ["fin", "été.", "über!!", "x1", "don't", "a~"], ["Bon", "Élan", "ÿ", "2nd", "(so)", "ªº", "мир", "İ", "\u2003a", "'s", "- b"]
+    breaks = ["\n", "\n\n", "\n\n\n", " \n", "  \n", "\n ", "\n  \n", "\r\n", "\n\t", "\u00a0\n", "\n\u00a0", "\x00\n"]
+    texts = [f"{first}x {a}{mid}{b} y{last}" for a in ends for b in begins for mid in breaks for first, last in (("", ""), ("\n", "\n"), (" \n", " \n"), ("\n\n", "\n\n"))]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == direct("byte_bpe_50k.json", text, 0)[:-1].tolist()
+    encoder = tokens.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    encoder.encode([f"x {a}.\n{b} y" for a in words for b in words])
+    assert len(encoder.new) == 2 * len(words) + 1  # not one for each two of them
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_lookup_keeps_its_bound(name):
     encoder = tokens.ChunkTokenizer(public_tokenizers.path(name), kept=1000)
