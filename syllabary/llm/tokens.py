@@ -171,12 +171,18 @@ class ChunkTokenizer:
         return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
+        """The packed ids of each text. What Arrow needed for that goes back to the system, as workers wait for long with what they hold."""
+        try:
+            return self._encode(texts)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if self.always_whole or any(x in t for x in self.added)]
         if whole:
             kept = dict(zip(whole, self._one_by_one([texts[i] for i in whole]), strict=True))
             others = [t for i, t in enumerate(texts) if i not in kept]
-            rest = iter(self.encode(others) if others else ())
+            rest = iter(self._encode(others) if others else ())
             return [kept[i] if i in kept else next(rest) for i in range(len(texts))]
         if self.drops_space:
             return self._by_words(texts, begun=None)
