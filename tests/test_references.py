@@ -21,7 +21,7 @@ def found_and_wanted(spark, folder, name):
     return sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(folder)).select(*columns).collect()), sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["h5_html_to_text"])
+@pytest.mark.parametrize("name", ["h5_html_to_text", "h6_page_front"])
 def test_only_closed_references_are_decoded(spark, tmp_path, name):
     found, want = found_and_wanted(spark, tmp_path, name)
     assert found == want and len(found) == len(TITLES)
