@@ -1,10 +1,7 @@
 """Classification by a dictionary of aliases: the longest alias that a value contains decides.
 
-Small dictionaries are a literal expression. Dictionaries of any size are tables: ``contained`` finds which aliases stand in which
-values by equal pieces. An alias of ``GRAM`` characters or more is known by one of its pieces of that length, its anchor: the one
-that the fewest values hold, so that common pieces are no join keys unless an alias has no other. A shorter alias is its own
-anchor. Values meet the aliases whose anchors they hold, and each such pair is compared in full. Nothing is broadcast that Spark
-has not measured, and no value meets all aliases.
+Small dictionaries are a literal expression. Dictionaries of any size are tables (``matching``): a value meets them where it lies,
+in blocks, and only what it contains is compared with it. Nothing passes the driver and no value is shuffled.
 """
 
 from __future__ import annotations
@@ -14,12 +11,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from syllabary.functions.matching import Aliases
 from syllabary.sources.shared import Tables
 
-#: Aliases that a literal expression holds; larger dictionaries are joined as tables.
+#: Aliases that a literal expression holds; larger dictionaries are tables.
 MOST_LITERALS = 1000
-#: Characters of an anchor.
-GRAM = 4
 
 Dictionary = Mapping[str, tuple[str, ...] | list[str]]
 
@@ -46,53 +42,27 @@ def classify(x: Column, dictionary: Dictionary) -> Column:
     return F.get(F.filter(aliases, lambda a: F.contains(value, a["alias"])), F.lit(0))["key"]
 
 
-def _pieces(x: Column, lengths: list[int]) -> Column:
-    """The distinct pieces of the given lengths of a text, in one pass a length over it, however long it is."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
-
-
-def contained(values: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``value, found``: the aliases (of ``aliases``, a row each) that stand in each value (of ``values``, a row each, distinct).
-
-    Only a hash of a value travels with its pieces, and the value itself once with all aliases whose anchors it holds, so long texts
-    are values too. Null values and aliases are left out, and so are values without an alias; the empty alias stands in every value.
-    """
-    tables = Tables(values.sparkSession, "aliases")
-    told = aliases.select("alias").filter("alias is not null").distinct()
-    cut = F.when(F.length("alias") < GRAM, F.array("alias")).otherwise(_pieces(F.col("alias"), [GRAM]))
-    own = tables.keep(told.select("alias", F.explode(cut).alias("piece")), "own")
-    # Written, so that Spark knows how large they are: few go to the values, many meet them by a shuffle.
-    known = tables.keep(own.select("piece").distinct(), "pieces")
-    lengths = sorted(r["n"] for r in known.select(F.length("piece").alias("n")).distinct().collect())  # GRAM + 1 at most
-    held = values.select("value").filter("value is not null").withColumn("hash", F.xxhash64("value"))
-    pieces = held.select("hash", F.explode(_pieces(F.col("value"), [n for n in lengths if n] or [GRAM])).alias("piece"))
-    hits = tables.keep(pieces.join(known, "piece", "left_semi"), "hits")
-    common = hits.groupBy("piece").agg(F.count("*").alias("n"))
-    # A piece that no value holds rules its alias out; else the rarest is the anchor.
-    rated = own.filter("piece <> ''").join(common, "piece", "left").groupBy("alias").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    near = hits.join(rated, "piece").groupBy("hash").agg(F.collect_set("alias").alias("near"))
-    rows = held.join(near, "hash", "left" if 0 in lengths else "inner")
-    found = F.filter(F.coalesce("near", F.array().cast("array<string>")), lambda a: F.contains(F.col("value"), a))
-    found = F.concat(found, F.array(F.lit(""))) if 0 in lengths else found
-    return rows.select("value", found.alias("found")).filter(F.size("found") > 0)
+def _with(df: DataFrame, out: str, column: Column) -> DataFrame:
+    """``df`` with a last column ``out``, in place of one that it may have."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != out], column.alias(out))
 
 
 def classify_by_table(df: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
     """``df`` with the class of ``column`` in ``out``, by a table of any size: ``alias, key, place`` (equal lengths: smaller place).
 
-    Each distinct value is looked up once. An alias of two keys is an error.
+    An alias of two keys is an error; null aliases are left out, and the empty one stands in every value.
     """
-    twice = duplicate_aliases(aliases).select("alias").limit(1).collect()
-    if twice:
-        raise ValueError(f"alias {twice[0]['alias']!r} stands for several keys")
-    raw = df.select(F.trim(F.lower(F.col(column))).alias("value")).filter("value is not null").distinct()
-    found = contained(raw, aliases).select("value", F.explode("found").alias("alias")).join(aliases.select(F.col("alias").alias("named"), "key", "place"), F.col("alias") == F.col("named"))
-    best = found.groupBy("value").agg(F.max_by("key", F.struct(F.length("alias"), -F.col("place"))).alias("class"))
-    names = [f"carried_{i}" for i in range(len(df.columns))]
-    carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
-    value = F.trim(F.lower(F.col(names[df.columns.index(column)])))
-    rows = carried.join(best, value == F.col("value"), "left")
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True) if c != out], F.col("class").alias(out))
+    whole = dict(aliases.dtypes)["place"] in ("tinyint", "smallint", "int", "bigint")
+    place = F.coalesce(F.col("place").cast("long"), F.lit(2**63 - 1)) if whole else F.coalesce(F.col("place").cast("double"), F.lit(float("inf")))
+    own = aliases.filter("alias is not null").select("alias", "key", place.alias("place")).groupBy("alias")
+    twice = F.min("key") != F.max("key")
+    said = own.agg(twice.alias("twice"), F.max(F.octet_length(F.col("key").cast("string"))).alias("n"))
+    size = F.octet_length("alias") + F.coalesce("n", F.lit(0))
+    seen = said.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size"), F.min(F.when(F.col("twice"), F.col("alias"))).alias("twice")).first()  # one row
+    if seen["twice"] is not None:
+        raise ValueError(f"alias {seen['twice']!r} stands for several keys")
+    table = Aliases(own.agg(F.min_by("key", "place").alias("key"), F.min("place").alias("place")), Tables(df.sparkSession, "aliases"), seen["n"], seen["size"])
+    return _with(df, out, table.best(F.trim(F.lower(F.col(f"`{column}`")))))
 
 
 def classify_distinct(df: DataFrame, column: str, dictionary: Dictionary, out: str) -> DataFrame:
@@ -108,12 +78,10 @@ def classify_distinct(df: DataFrame, column: str, dictionary: Dictionary, out: s
 
 def keywords_by_table(df: DataFrame, column: str, keywords: DataFrame, out: str) -> DataFrame:
     """``df`` with the keywords (of ``keyword``, a row each, any number) that ``column`` holds, whatever their case, in order."""
-    told = keywords.select(F.trim(F.lower("keyword")).alias("alias")).filter("alias <> ''")
-    lists = contained(df.select(F.lower(F.col(column)).alias("value")).distinct(), told).select("value", F.sort_array("found").alias("found"))
-    names = [f"carried_{i}" for i in range(len(df.columns))]
-    carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
-    rows = carried.join(lists, F.lower(F.col(names[df.columns.index(column)])) == F.col("value"), "left")
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True) if c != out], F.coalesce("found", F.array().cast("array<string>")).alias(out))
+    told = keywords.select(F.trim(F.lower("keyword")).alias("alias")).filter("alias <> ''").distinct()
+    seen = told.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("alias")), F.lit(0)).alias("size")).first()  # one row
+    found = Aliases(told, Tables(df.sparkSession, "keywords"), seen["n"], seen["size"]).all(F.lower(F.col(f"`{column}`")))
+    return _with(df, out, F.coalesce(found, F.array().cast("array<string>")))
 
 
 def or_raw(x: Column, dictionary: Dictionary) -> Column:

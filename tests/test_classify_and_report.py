@@ -97,3 +97,48 @@ def test_keyword_tables_equal_brute_force(spark):
     found = classify.keywords_by_table(df, "text", spark.createDataFrame([(w,) for w in words], "keyword string"), "found").collect()
     plain = sorted({w.strip().lower() for w in words if w and w.strip()})
     assert {r["i"]: r["found"] for r in found} == {i: [w for w in plain if w in (t or "").lower()] for i, t in enumerate(texts)}
+
+
+def numbered(spark, aliases, values):
+    """Numbers as aliases, and values that hold many of them, as ``c1_classify_by_table`` has."""
+    told = spark.range(aliases).select(F.col("id").cast("string").alias("alias"), F.concat(F.lit("k"), F.col("id") % 97).alias("key"), F.col("id").alias("place"))
+    return told, spark.range(values).select("id", F.concat(F.col("id") * 7919 % 1_000_003, F.lit("/"), F.col("id") * 104_729 % 100_003).alias("said"))
+
+
+def brute_number(said, aliases):
+    fit = {said[i:j] for i in range(len(said)) for j in range(i + 1, len(said) + 1)}
+    fit = [x for x in fit if x.isdecimal() and str(int(x)) == x and int(x) < aliases]
+    return f"k{int(min(fit, key=lambda x: (-len(x), int(x)))) % 97}" if fit else None
+
+
+def test_values_stay_where_they_lie(spark):
+    """Nothing of them is written or shuffled, however many aliases they hold."""
+    from pathlib import Path
+
+    from syllabary.sources.shared import shared_folder
+
+    told, rows = numbered(spark, 3000, 5000)
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.rglob("*.parquet"))
+    found = classify.classify_by_table(rows, "said", told, "class")
+    assert {r["said"]: r["class"] for r in found.collect()} == {r["said"]: brute_number(r["said"], 3000) for r in rows.collect()}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - before) < 100_000
+
+
+def test_aliases_of_several_blocks(spark, monkeypatch):
+    from syllabary.functions import matching
+
+    monkeypatch.setattr(matching, "MOST", 100)
+    told, rows = numbered(spark, 1000, 300)
+    table = told.unionByName(spark.createDataFrame([("", "none", None), ("à l'été 😀", "é", 5), ("7/", "k", 7), ("/7", "l", 6)], "alias string, key string, place long"))
+    more = rows.unionByName(spark.createDataFrame([(-1, "À L'ÉTÉ 😀 1234567"), (-2, ""), (-3, None), (-4, " x7/7x ")], "id long, said string"))
+    found = {r["id"]: r["class"] for r in classify.classify_by_table(more, "said", table, "class").collect()}
+    flat = [(r["alias"], r["key"], r["place"]) for r in table.collect()]
+
+    def best(said):
+        return min((-len(a), 10**9 if p is None else p, k) for a, k, p in flat if a in said.strip().lower())[2] if said is not None else None
+
+    assert found == {r["id"]: best(r["said"]) for r in more.collect()} and found[-1] == "é" and found[-2] == "none" and found[-4] == "l"
+    lists = classify.keywords_by_table(more, "said", told.select(F.col("alias").alias("keyword")), "found")
+    assert {r["id"]: r["found"] for r in lists.collect()} == {r["id"]: sorted(str(a) for a in range(1000) if str(a) in (r["said"] or "")) for r in more.collect()}
