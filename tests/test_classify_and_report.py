@@ -142,3 +142,15 @@ def test_aliases_of_several_blocks(spark, monkeypatch):
     assert found == {r["id"]: best(r["said"]) for r in more.collect()} and found[-1] == "é" and found[-2] == "none" and found[-4] == "l"
     lists = classify.keywords_by_table(more, "said", told.select(F.col("alias").alias("keyword")), "found")
     assert {r["id"]: r["found"] for r in lists.collect()} == {r["id"]: sorted(str(a) for a in range(1000) if str(a) in (r["said"] or "")) for r in more.collect()}
+
+
+def test_texts_meet_keywords_where_they_lie(spark):
+    """Texts are neither cut into rows nor shuffled, whatever their length; long ones equal brute force."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words + ["zz", "ZE"]) for _ in range(n)).title() for n in (0, 1, 40, 40_000, 3)] + [None, "é" * 200_000 + words[7]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = classify.keywords_by_table(df, "text", spark.createDataFrame([(w,) for w in words], "keyword string"), "found")
+    assert {r["i"]: r["found"] for r in found.collect()} == {i: sorted({w for w in words if w in (t or "").lower()}) for i, t in enumerate(texts)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
