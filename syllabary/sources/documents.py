@@ -30,6 +30,8 @@ from pyspark.sql.types import StructType
 
 #: The column that names a record's file, and the one that holds its text as it is to be written, if there is one.
 PATH, TEXT = "document_path", "document_text"
+#: Documents that a task writes, about, where there are more.
+DOCUMENTS = 10_000
 
 
 def plain(value):
@@ -121,11 +123,15 @@ def place_documents(spark: SparkSession, attempts: str, target: str) -> None:
         system, base = fs.FileSystem.from_uri(target)
         for pdf in batches:
             for folder in pdf["folder"]:
-                for one in system.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)):
-                    if one.type == fs.FileType.File:
-                        at = base + one.path.removeprefix(folder)
-                        system.create_dir(at.rpartition("/")[0])
-                        system.move(one.path, at)
+                todo = [folder]
+                while todo:  # folder by folder, so that no task lists all of its documents at once
+                    inside = system.get_file_info(fs.FileSelector(here := todo.pop(), allow_not_found=True))
+                    todo += [x.path for x in inside if x.type == fs.FileType.Directory]
+                    moving, at = [x for x in inside if x.type == fs.FileType.File], base + here.removeprefix(folder)
+                    if moving:
+                        system.create_dir(at)
+                    for one in moving:
+                        system.move(one.path, f"{at}/{one.base_name}")
             yield pd.DataFrame({"moved": [len(pdf)]})
 
     ended = spark.read.schema("folder string, documents long").json(f"{attempts}/ended.json")
@@ -138,9 +144,12 @@ def write_documents(rows: DataFrame, target: str) -> None:
     """Write each row as a document below ``target``."""
     spark, target = rows.sparkSession, target.rstrip("/")
     sound = F.col(PATH).isNotNull() & (F.col(PATH) != "") & ~F.col(PATH).rlike(r"^/|(^|/)\.\.(/|$)|/$")
-    wrong = rows.groupBy(PATH).agg(F.count("*").alias("n"), F.max(~sound).alias("wrong")).filter("n > 1 or wrong").limit(1).collect()
-    if wrong:
-        raise ValueError(f"{wrong[0][PATH]!r} is no path of one document below the folder")
+    paths = rows.groupBy(PATH).agg(F.count("*").alias("n"), F.max(~sound).alias("wrong"))
+    seen = paths.agg(F.sum("n").alias("n"), F.min(F.when((F.col("n") > 1) | F.col("wrong"), F.struct(PATH))).alias("wrong")).first()  # one row
+    if seen["wrong"]:
+        raise ValueError(f"{seen['wrong'][PATH]!r} is no path of one document below the folder")
+    if (seen["n"] or 0) > DOCUMENTS:
+        rows = rows.repartition(-(-seen["n"] // DOCUMENTS))
     spark.dataSource.register(Documents)
     attempts = f"{target if '://' in target else 'file://' + target}.attempts-{uuid.uuid4().hex}"
     system, base = fs.FileSystem.from_uri(attempts)

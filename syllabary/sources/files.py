@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
 
 import pandas as pd
+from pyarrow import ArrowException, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +17,10 @@ from pyspark.sql import types as T
 from syllabary.functions.text import clean, local_part
 from syllabary.operators.ranks import numbered_lines
 from syllabary.sources.schemas import TEACHING
-from syllabary.sources.shared import shared_folder
+from syllabary.sources.shared import Tables, shared_folder
+
+#: Files of records that one task reads, and bytes of them that it holds at a time.
+FILES, HELD = 10_000, 8 << 20
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], line: str | None = None) -> DataFrame:
@@ -51,8 +58,8 @@ def head(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
     return rows if limit <= 0 else rows.orderBy(*order).limit(limit)
 
 
-def _decode(batches):
-    """(path, JSON, error) of (path, YAML) rows."""
+def _decoder():
+    """A function of a YAML text: (JSON, error)."""
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
@@ -68,26 +75,97 @@ def _decode(batches):
         except yaml.YAMLError as error:
             return None, str(error).splitlines()[0]
 
+    return one
+
+
+def _decode(batches):
+    """(path, JSON, error) of (path, YAML) rows."""
+    one = _decoder()
     for pdf in batches:
         found = [one(x) for x in pdf["value"]]
         yield pd.DataFrame({"path": pdf["path"], "json": [x[0] for x in found], "error": [x[1] for x in found]})
 
 
+def _visible(name: str) -> bool:
+    """Whether Spark's readers see a file or folder of that name."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _below(folder: str, wanted: Callable[[fs.FileInfo], bool]):
+    """A task's part of a listing: the wanted entries of folders, whose paths are told from ``folder`` on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            for at in pdf["path"]:
+                inside = system.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/")))
+                found = [f"{at}/{x.base_name}".lstrip("/") for x in inside if _visible(x.base_name) and wanted(x)]
+                yield from (pd.DataFrame({"path": found[i : i + FILES]}) for i in range(0, len(found), FILES))
+
+    return run
+
+
+def _decode_files(folder: str):
+    """(path, JSON, error) of the files of paths below ``folder``, some of them at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one, (system, base) = _decoder(), fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            held, size = [], 0
+            for at in pdf["path"]:
+                with system.open_input_stream(f"{base}/{at}") as file:
+                    said = file.read()
+                held.append((at, *one(said.decode("utf-8", "replace"))))
+                size += len(said)
+                if size >= HELD:
+                    yield pd.DataFrame(held, columns=["path", "json", "error"], dtype=object)
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=["path", "json", "error"], dtype=object)
+
+    return run
+
+
+def _known_to_arrow(folder: str, pattern: str) -> bool:
+    """Whether tasks can list and read the files by themselves."""
+    try:
+        system, base = fs.FileSystem.from_uri(folder)
+        return not re.search(r"[\[\]{}\\]", pattern) and not re.search(r"[*?\[\]{}\\]", folder) and system.get_file_info(base).type == fs.FileType.Directory
+    except (ArrowException, OSError, NotImplementedError):
+        return False
+
+
+def _decoded_records(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path`` (from ``folder`` on), ``json, error`` of the files that are records by their places and names.
+
+    Tasks list the folders, level by level, and read the files, so the driver knows none of them. Where the file system is unknown to
+    Arrow, or a name is a pattern of Hadoop's, Spark's reader does it, whose list of all files is the driver's.
+    """
+    kinds = "path string, json string, error string"
+    if not _known_to_arrow(folder, pattern):
+        whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+        path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^.*{folder.rstrip('/').rsplit('/', 1)[-1]}/", "")
+        decoded = whole.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(_decode, kinds).withColumn("path", path)
+        return decoded.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
+    tables, tasks = Tables(spark, "listed"), 2 * spark.sparkContext.defaultParallelism
+    folders = spark.range(1).select(F.lit("").alias("path"))
+    for wanted in (lambda x: x.type == fs.FileType.Directory, lambda x: x.type == fs.FileType.Directory and re.fullmatch("[0-9]{4}", x.base_name)):
+        folders = folders.mapInPandas(_below(folder, wanted), "path string").repartition(tasks)
+    found = tables.keep(folders.mapInPandas(_below(folder, lambda x: x.type == fs.FileType.File and x.size > 0 and fnmatchcase(x.base_name, pattern)), "path string"), "files")
+    return found.repartition(max(tasks, -(-found.count() // FILES))).mapInPandas(_decode_files(folder), kinds)
+
+
 def read_records(spark: SparkSession, folder: str, pattern: str = "teaching-*.yml", schema: T.StructType = TEACHING) -> DataFrame:
     """Records of ``folder/TEACHER/YEAR/pattern``: ``teacher_dir, year_dir, file``, the schema's fields, and ``error``.
 
     Files elsewhere in the tree are left out. A file is a row; only its decoding to JSON runs in Python.
     """
-    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    paths = whole.select(F.col("_metadata.file_path").alias("path"), "value")
-    decoded = paths.mapInPandas(_decode, "path string, json string, error string")
-    parts = F.split(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^.*{folder.rstrip('/').rsplit('/', 1)[-1]}/", ""), "/")
+    decoded = _decoded_records(spark, folder.rstrip("/"), pattern)
     numbers = [f.name for f in schema if isinstance(f.dataType, T.IntegerType)]
     plain = T.StructType([T.StructField(f.name, T.StringType()) if f.name in numbers else f for f in schema])
-    record = decoded.withColumn("parts", parts).withColumn("r", F.from_json("json", plain))
+    record = decoded.withColumn("parts", F.split("path", "/")).withColumn("r", F.from_json("json", plain))
     record = record.filter((F.size("parts") == 3) & F.col("parts")[1].rlike("^[0-9]{4}$"))
     fields = [F.col(f"r.{f.name}").try_cast("int").alias(f.name) if f.name in numbers else F.col(f"r.{f.name}") for f in schema]
-    return record.select(F.url_decode(F.col("parts")[0]).alias("teacher_dir"), F.col("parts")[1].cast("int").alias("year_dir"), F.col("parts")[2].alias("file"), *fields, "error")
+    return record.select(F.col("parts")[0].alias("teacher_dir"), F.col("parts")[1].cast("int").alias("year_dir"), F.col("parts")[2].alias("file"), *fields, "error")
 
 
 def read_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

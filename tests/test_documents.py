@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -68,3 +69,28 @@ def test_moving_is_taken_up_again(spark, tmp_path):
     (attempts / "ended.json").write_text(json.dumps({"folder": str(attempts / "task"), "documents": 2}) + "\n" + json.dumps({"folder": str(attempts / "gone"), "documents": 1}) + "\n")
     documents.place_documents(spark, f"file://{attempts}", f"file://{target}")
     assert [str(p.relative_to(target)) for p in target.rglob("*") if p.is_file()] == ["x/1"] and not attempts.exists()
+
+
+def test_tasks_list_and_read_records(spark, tmp_path):
+    """The driver has no list of the files; what Spark's reader passes over is passed over."""
+    texts = {f"a+b c/{y}/teaching-{i} x.yml": f"credits: {i}" for y in (2024, 2025) for i in range(40)} | {"é/2024/teaching-é.yml": "year: [\n: x", "é/2024/teaching-1.yml": "\n"}
+    passed = ("é/2024/teaching-0.yml", "é/2024/course-1.yml", "é/20245/teaching-1.yml", "é/2024/deep/teaching-1.yml", "_é/2024/teaching-1.yml", ".é/2024/teaching-1.yml", "é/2024/_teaching-1.yml", "é/teaching-1.yml")
+    for name, said in (texts | dict.fromkeys(passed, "credits: 1") | {passed[0]: ""}).items():
+        (tmp_path / "courses" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "courses" / name).write_text(said)
+    told = {f"{r['teacher_dir']}/{r['year_dir']}/{r['file']}": (r["credits"], r["error"] is not None) for r in files.read_records(spark, str(tmp_path / "courses")).collect()}
+    assert told == {n: (int(s[9:]) if s.startswith("credits") else None, "[" in s) for n, s in texts.items()}
+    assert not [f for f in files.read_records(spark, str(tmp_path / "courses")).inputFiles() if f.endswith(".yml")]
+    by_spark = files.read_records(spark, f"file://{tmp_path}/courses/", "teaching-[0-9]*.yml")
+    assert {f"{r['teacher_dir']}/{r['year_dir']}/{r['file']}" for r in by_spark.collect()} == set(texts) - {"é/2024/teaching-é.yml"}
+    (tmp_path / "none").mkdir()
+    assert files.read_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_documents_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "DOCUMENTS", 7)
+    wrote = []
+    place = documents.place_documents
+    monkeypatch.setattr(documents, "place_documents", lambda spark, attempts, target: (wrote.extend(Path(attempts.removeprefix("file://"), "ended.json").read_text().splitlines()), place(spark, attempts, target)))
+    documents.write_documents(spark.range(0, 50, 1, 1).select(F.concat(F.lit("d/"), F.col("id") % 3, F.lit("/"), "id").alias(documents.PATH), "id"), str(tmp_path / "out"))
+    assert sorted(int(p.name) for p in (tmp_path / "out").rglob("*") if p.is_file()) == list(range(50)) and len(wrote) > 4
