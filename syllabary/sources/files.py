@@ -157,7 +157,7 @@ def _decoded_records(spark: SparkSession, folder: str, pattern: str) -> DataFram
 def read_records(spark: SparkSession, folder: str, pattern: str = "teaching-*.yml", schema: T.StructType = TEACHING) -> DataFrame:
     """Records of ``folder/TEACHER/YEAR/pattern``: ``teacher_dir, year_dir, file``, the schema's fields, and ``error``.
 
-    Files elsewhere in the tree are left out. A file is a row; only its decoding to JSON runs in Python.
+    Files elsewhere in the tree are left out. A file is a row; its decoding to JSON runs in Python, its fields are cast by Spark.
     """
     decoded = _decoded_records(spark, folder.rstrip("/"), pattern)
     numbers = [f.name for f in schema if isinstance(f.dataType, T.IntegerType)]
